@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, minhash_dedup, quality_rules, secret_scan
+from . import decontaminate, language_id, minhash_dedup, quality_rules, secret_scan
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated(5).alias("contaminated"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
