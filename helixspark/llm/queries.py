@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, minhash_dedup, quality_rules, secret_scan
+from . import decontaminate, language_id, line_dedup, minhash_dedup, mixture, quality_rules, secret_scan, url_filter
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "rejected_by")
 
 
+#: Production weights of the mixture's tree; sources weigh the same.
+MIXTURE = mixture.Mixture(domains={"bulk": 2.0, "web": 5.0, "books": 3.0}, languages={"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, share=0.5, max_epochs=4, seed=7)
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), MIXTURE).drop("text_key")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", 4, 2)
@@ -38,6 +50,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep={"held_out": out})
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # A page shows the document whose number its path holds; that document's quality labels the page.
+    shown = pages.select("page_id", F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1).try_cast("long").alias("shown"))
+    good = labels.select(F.col("doc_id").alias("shown"), F.col("quality").alias("good"))
+    return url_filter.url_verdicts(pages, shown.join(good, "shown").select("page_id", "good"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
