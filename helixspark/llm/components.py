@@ -16,20 +16,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     one node vanish, so the graph shrinks each round until no link is left. A
     hub's links are summed map-side, so a hot hub needs no task of its own.
     """
-    pairs = links.select("a", "b").where(F.col("a") != F.col("b"))
-    edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while not edges.isEmpty():
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    steps = []
+    while True:
+        edges = cut(ends.where("a != b").distinct())
+        if edges.isEmpty():
+            break
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         up = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("up"))
-        up = cut(up)
-        top = cut(up.join(up.toDF("k", "top"), F.col("up") == F.col("k"), "left").select("node", F.coalesce("top", "up").alias("up")))
-        if labels is None:
-            labels = top.toDF("node", "component")
-        else:
-            moved = top.toDF("k", "to")
-            labels = labels.join(moved, F.col("component") == F.col("k"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
-        ends = edges.join(top.toDF("a", "x"), "a").join(top.toDF("b", "y"), "b")
-        edges = cut(ends.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels if labels is not None else edges.toDF("node", "component")
+        top = up.join(up.toDF("k", "top"), F.col("up") == F.col("k"), "left").select("node", F.coalesce("top", "up").alias("up"))
+        steps.append(cut(top))
+        ends = edges.join(steps[-1].toDF("a", "x"), "a").join(steps[-1].toDF("b", "y"), "b")
+        ends = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if not steps:
+        return edges.toDF("node", "component")
+    labels = steps[0].toDF("node", "component")
+    for step in steps[1:]:
+        labels = labels.join(step.toDF("k", "to"), F.col("component") == F.col("k"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(labels)

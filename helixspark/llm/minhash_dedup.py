@@ -150,7 +150,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 6, hubs: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 6, hubs: int = 64) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_shingles, component_id, kept``.
 
     ``text_key`` is Spark's xxhash64 of the text, to find the row again.
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     stars = members.where((F.col("vertex") != F.col("hub")) & sizes_allow("n", "hub_n"))
-    stars = cut(stars.groupBy(F.col("vertex").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+    stars = cut(stars.select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct())
 
     # Texts are fetched once, for the vertices that share a bucket with a vertex of like size.
     ranges = members.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("c"))
@@ -182,52 +182,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = source.toDF("i", "text", "k").join(wanted, (F.col("i").eqNullSafe(F.col("doc_id"))) & (F.col("k") == F.col("text_key")))
     texts = cut(texts.select("vertex", "text").dropDuplicates(["vertex"]))
 
-    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    tried = stars.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b")
-    links = cut(_confirm(tried, texts, words, percent))
-    comps = cut(connected_components(links))
-    compared = cut(tried)
+    links = cut(_confirm(stars, texts, words, percent))
+    comps = connected_components(links)
+    compared = stars
 
     def comp_of(df: DataFrame, node: str, out: str) -> DataFrame:
         return df.join(comps.toDF("_node", out), F.col(node) == F.col("_node"), "left").drop("_node").withColumn(out, F.coalesce(out, node))
 
-    def grow(links: DataFrame, comps: DataFrame, fresh: DataFrame) -> DataFrame:
-        """Components after ``fresh`` links between old components."""
-        moved = connected_components(comp_of(comp_of(fresh, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("_from", "to")
+    def joined_by(fresh: DataFrame) -> DataFrame:
+        """Components after ``fresh`` links between members of old components."""
+        ends = comp_of(comp_of(fresh, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = connected_components(ends).toDF("_from", "to")
         nodes = comps.union(fresh.select("a", "a")).union(fresh.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
         nodes = nodes.join(moved, F.col("component") == F.col("_from"), "left")
         return cut(nodes.select("node", F.coalesce("to", "component").alias("component")))
 
-    def confirm_new(pairs: DataFrame) -> bool:
-        nonlocal comps, links, compared
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti").join(compared.toDF("b", "a"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return False
-        fresh = cut(_confirm(pairs, texts, words, percent))
-        compared = compared.union(pairs)
-        if not fresh.isEmpty():
-            comps = grow(links, comps, fresh)
-        return True
-
-    rest = comp_of(comp_of(stars, "a", "x"), "b", "y").where("x != y").select("a", "b")
-    confirm_new(rest)
-
     active = members.select("key", "vertex", "n")
     while True:
         active = comp_of(active, "vertex", "comp")
-        split = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("vertex").alias("low"))
-        open_keys = split.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key")
+        open_keys = active.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
         active = cut(active.join(open_keys, "key", "left_semi"))
         if active.isEmpty():
             break
         split = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("vertex", "n")).alias("hub"))
         split = split.select("key", F.col("comp").alias("hub_comp"), "c", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n"))
-        chosen = cut(split.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c", "hub"))).where(F.col("r") <= hubs))
+        chosen = split.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c", "hub"))).where(F.col("r") <= hubs)
         pairs = active.join(chosen, "key").where((F.col("comp") != F.col("hub_comp")) & sizes_allow("n", "hub_n"))
         pairs = pairs.select(F.least("vertex", "hub").alias("a"), F.greatest("vertex", "hub").alias("b")).distinct()
-        confirm_new(pairs)
+        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti").join(compared.toDF("b", "a"), ["a", "b"], "left_anti"))
         gone = chosen.select("key", F.col("hub").alias("vertex"))
-        active = cut(active.drop("comp").join(gone, ["key", "vertex"], "left_anti"))
+        active = active.drop("comp").join(gone, ["key", "vertex"], "left_anti")
+        if not pairs.isEmpty():
+            compared = compared.union(pairs)
+            fresh = cut(_confirm(pairs, texts, words, percent))
+            if not fresh.isEmpty():
+                comps = joined_by(fresh)
 
     lows = comp_of(reps.select("vertex", "low"), "vertex", "comp")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("vertex", "component_id")

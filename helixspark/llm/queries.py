@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, line_dedup, minhash_dedup, mixture, quality_rules, secret_scan, url_filter
+from . import decontaminate, language_id, line_dedup, lm_score, minhash_dedup, mixture, quality_rules, secret_scan, toxicity, url_filter
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "rejected_by")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.held_out("doc_id", 5, 0)
+    grammar = toxicity.learn_grammar(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~out))
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), grammar, keep={"held_out": out})
+
+
 #: Production weights of the mixture's tree; sources weigh the same.
 MIXTURE = mixture.Mixture(domains={"bulk": 2.0, "web": 5.0, "books": 3.0}, languages={"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, share=0.5, max_epochs=4, seed=7)
 
@@ -39,6 +45,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score_texts(docs, lm_score.learn(docs))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
 
