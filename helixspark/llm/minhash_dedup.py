@@ -15,11 +15,12 @@ make one shingle). Texts are linked if their sets' Jaccard similarity reaches
    pairs grow with the bucket, not with its square. Sizes alone rule out most
    pairs that can't reach the similarity.
 4. Confirmation on full sets, from the texts, and components of the links.
-5. What stars may miss: members of a bucket that are still in different
-   components. Again and again some members of its smallest components become
-   hubs, are compared with all members of other components, and leave the
-   bucket, until each bucket holds one component. So every pair of a bucket is
-   either compared or already connected.
+5. What stars may miss: vertices of one bucket that are in different components
+   after that. Every member of a bucket is in the cluster of its hub. In
+   clusters that span components, members outside the largest component meet all
+   members of others. Their sets are told by how they differ from the hub's, so
+   the exact similarity takes a few numbers, and only links come out of the join.
+   After it, each pair of a bucket is connected or has been compared.
 
 Two texts of similarity s share a bucket with probability 1-(1-s^rows)^bands;
 with the defaults 1 - 5e-6 at 0.8, and more above. Nothing is capped or dropped.
@@ -39,7 +40,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from .components import connected_components
@@ -124,33 +124,84 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, vertex long, keys array<long>")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; b's set is kept while b repeats."""
+def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, schema: str, row):
+    """For pairs (a, b): rows of ``schema`` made from both full sets by ``row(a, b, set_a, set_b)``, None for no row.
+
+    b's set is kept while b repeats, so a hub's text is cut into words once per task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray | None] = (None, None)
+        names = [x.split()[0] for x in schema.split(", ")]
 
         def shingles(text: str) -> np.ndarray:
             data, _, starts, ends, _ = group_words([text.encode("utf-8", "surrogatepass")], lower=True)
             return shingle_hashes(word_hashes(data, starts, ends), words)
 
         for batch in batches:
-            linked = []
-            for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+            rows = []
+            for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
                 if held[0] != b:
                     held = b, shingles(text_b.as_py())
-                x, y = shingles(text_a.as_py()), held[1]
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                made = row(a, b, shingles(text_a.as_py()), held[1])
+                if made is not None:
+                    rows.append(made)
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "), strict=True)], names=names)
 
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+
+    def linked(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+        both = np.concatenate((x, y))
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return (a, b) if 100 * common >= percent * (len(both) - common) else None
 
+    return _with_sets(pairs, texts, words, "a long, b long", linked)
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 6, hubs: int = 64) -> DataFrame:
+
+def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """For pairs (a, b): sizes of both sets, what b's has more (``lost``) and what a's has more (``new``)."""
+
+    def differing(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple:
+        lost, new = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+        return a, b, len(x), len(y), lost.view(np.int64), new.view(np.int64)
+
+    return _with_sets(pairs, texts, words, "a long, b long, n long, hub_n long, lost array<long>, new array<long>", differing)
+
+
+def _links_inside(clusters: DataFrame, percent: int, slice_rows: int) -> DataFrame:
+    """Links between different components of the same cluster, as (a, b).
+
+    ``clusters`` (hub, vertex, comp, n, hub_n, lost, new) tells each set by how
+    it differs from its hub's, which gives the exact size of any two members'
+    intersection. Members outside a cluster's largest component meet all others,
+    dealt in slices of the cluster so that a large one fills many tasks.
+    """
+    sizes = clusters.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("hub").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    sizes = sizes.select("hub", F.col("largest.comp").alias("largest"), F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))
+    rows = cut(clusters.join(sizes, "hub"))
+    left = rows.where("comp != largest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    left = left.select("hub", "slice", *[F.col(c).alias(f"{c}_1") for c in ("vertex", "comp", "n", "lost", "new")], "hub_n")
+    right = rows.withColumn("slice", F.pmod(F.xxhash64("vertex"), F.col("slices")).cast("int"))
+    right = right.select("hub", "slice", *[F.col(c).alias(f"{c}_2") for c in ("vertex", "comp", "n", "lost", "new")])
+    both = F.col("n_1") + F.col("n_2")
+    most = F.col("hub_n") - F.greatest(F.size("lost_1"), F.size("lost_2")) + F.least(F.size("new_1"), F.size("new_2"))
+    common = F.col("hub_n") - F.size("lost_1") - F.size("lost_2") + F.size(F.array_intersect("lost_1", "lost_2")) + F.size(F.array_intersect("new_1", "new_2"))
+    on = (F.col("comp_1") != F.col("comp_2")) & ((100 + percent) * most >= percent * both) & ((100 + percent) * common >= percent * both)
+    left, right = left.alias("x"), right.alias("y")
+    found = left.join(right, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.slice") == F.col("y.slice")) & on)
+    return found.select(F.col("vertex_1").alias("a"), F.col("vertex_2").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 6, slice_rows: int = 1000) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_shingles, component_id, kept``.
 
     ``text_key`` is Spark's xxhash64 of the text, to find the row again.
@@ -166,25 +217,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     rows_of = reps.select("vertex", "n", F.explode("keys").alias("key"))
-    crowded = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("vertex", "n")).alias("hub")).where("members > 1")
-    members = cut(rows_of.join(crowded, "key").select("key", "vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n")))
+    crowded = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(rows_of.join(crowded, "key").select("key", "vertex", "n", "size"))
+    weights = members.groupBy("vertex").agg(F.sum("size").alias("weight"))
+    members = cut(members.join(weights, "vertex").select("key", "vertex", "n", F.struct(F.col("weight"), F.col("vertex"), F.col("n")).alias("rank")))
 
     def sizes_allow(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    stars = members.where((F.col("vertex") != F.col("hub")) & sizes_allow("n", "hub_n"))
-    stars = cut(stars.select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct())
+    hubs = members.groupBy("key").agg(F.max("rank").alias("hub"))
+    cluster_rows = cut(members.join(hubs, "key").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
+    stars = cluster_rows.where((F.col("vertex") != F.col("hub")) & sizes_allow("n", "hub_n")).select(F.col("vertex").alias("a"), F.col("hub").alias("b"))
 
-    # Texts are fetched once, for the vertices that share a bucket with a vertex of like size.
-    ranges = members.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("c"))
-    wanted = members.join(ranges, "key").where((F.col("least") < F.col("n")) & sizes_allow("n", "least") | (F.col("most") > F.col("n")) & sizes_allow("n", "most") | (F.col("least") == F.col("n")) | (F.col("most") == F.col("n")) | (F.col("c") > 2))
+    # Texts are fetched once, for the vertices of buckets in which sizes allow a link.
+    ranges = members.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
+    wanted = members.join(ranges.where((F.col("size") > 2) | sizes_allow("least", "most")), "key")
     wanted = wanted.select("vertex").distinct().join(reps.select("vertex", "doc_id", "text_key"), "vertex")
     texts = source.toDF("i", "text", "k").join(wanted, (F.col("i").eqNullSafe(F.col("doc_id"))) & (F.col("k") == F.col("text_key")))
     texts = cut(texts.select("vertex", "text").dropDuplicates(["vertex"]))
 
     links = cut(_confirm(stars, texts, words, percent))
     comps = connected_components(links)
-    compared = stars
 
     def comp_of(df: DataFrame, node: str, out: str) -> DataFrame:
         return df.join(comps.toDF("_node", out), F.col(node) == F.col("_node"), "left").drop("_node").withColumn(out, F.coalesce(out, node))
@@ -197,26 +250,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = nodes.join(moved, F.col("component") == F.col("_from"), "left")
         return cut(nodes.select("node", F.coalesce("to", "component").alias("component")))
 
-    active = members.select("key", "vertex", "n")
-    while True:
-        active = comp_of(active, "vertex", "comp")
-        open_keys = active.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        active = cut(active.join(open_keys, "key", "left_semi"))
-        if active.isEmpty():
-            break
-        split = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("vertex", "n")).alias("hub"))
-        split = split.select("key", F.col("comp").alias("hub_comp"), "c", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n"))
-        chosen = split.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c", "hub"))).where(F.col("r") <= hubs)
-        pairs = active.join(chosen, "key").where((F.col("comp") != F.col("hub_comp")) & sizes_allow("n", "hub_n"))
-        pairs = pairs.select(F.least("vertex", "hub").alias("a"), F.greatest("vertex", "hub").alias("b")).distinct()
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti").join(compared.toDF("b", "a"), ["a", "b"], "left_anti"))
-        gone = chosen.select("key", F.col("hub").alias("vertex"))
-        active = active.drop("comp").join(gone, ["key", "vertex"], "left_anti")
-        if not pairs.isEmpty():
-            compared = compared.union(pairs)
-            fresh = cut(_confirm(pairs, texts, words, percent))
-            if not fresh.isEmpty():
-                comps = joined_by(fresh)
+    # Vertices that share a bucket are in the cluster of its hub. Clusters that span components are looked into.
+    clusters = comp_of(cluster_rows.select("vertex", "hub"), "vertex", "comp")
+    split = clusters.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("hub")
+    clusters = cut(clusters.join(split, "hub", "left_semi"))
+    if not clusters.isEmpty():
+        apart = _differences(clusters.where("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")), texts, words)
+        apart = cut(apart.withColumnsRenamed({"a": "vertex", "b": "hub"}))
+        none = F.array().cast("array<long>")
+        own = apart.groupBy("hub").agg(F.max("hub_n").alias("hub_n")).select(F.col("hub").alias("vertex"), "hub", F.col("hub_n").alias("n"), "hub_n", none.alias("lost"), none.alias("new"))
+        fresh = cut(_links_inside(clusters.join(apart.unionByName(own), ["hub", "vertex"]), percent, slice_rows).distinct())
+        if not fresh.isEmpty():
+            comps = joined_by(fresh)
 
     lows = comp_of(reps.select("vertex", "low"), "vertex", "comp")
     lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("vertex", "component_id")
