@@ -154,14 +154,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0")
     key = F.xxhash64(docs[text_col].cast("string"))
     if remove == "documents":
-        bad = found.where(is_contaminated(percent)).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+        bad = found.where(is_contaminated(percent)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"), hit.alias("_hit")).dropDuplicates(["_bad_id", "_bad_key"])
-    joined = docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left")
-    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    tail = F.regexp_extract(F.col("_text"), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.filter(F.transform("_pieces", lambda x, i: F.when(~F.array_contains("_hit", i), x)), lambda x: x.isNotNull())
-    joined = joined.withColumn("_text", F.col(text_col).cast("string")).withColumn("_pieces", F.when(F.col("_hit").isNotNull(), words))
-    text = F.when(F.col("_hit").isNull(), docs[text_col]).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    bad = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), hit.alias("_hit")).dropDuplicates(["_id", "_key"])
+    joined = docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left")
+    # A piece is a word with the separators before it; what follows the last word is the tail.
+    text, gap = docs[text_col].cast("string"), WORD.removesuffix("+").replace("[^", "[").replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    pieces = F.regexp_extract_all(text, F.lit(f"{gap}*{gap.replace('[', '[^', 1)}+"), F.lit(0))
+    kept = F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains(bad["_hit"], i), x)), lambda x: x.isNotNull())
+    cleaned = F.concat(F.array_join(kept, ""), F.regexp_extract(text, rf"({gap}*)\z", 1))
+    new = F.when(bad["_hit"].isNull(), docs[text_col]).otherwise(cleaned)
+    return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])

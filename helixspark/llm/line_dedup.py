@@ -42,14 +42,18 @@ class LineRules:
     short_docs: int = 10
     merged_words: int = 5
     merged_docs: int = 10
+    broadcast_leaves: int = 500_000  # of eight bytes; more are joined by a shuffle
 
 
 def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     """doc_id, text_key, at (0-based place), n words, leaf and template hashes; and the masked words."""
     lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    # A word with a digit is a variable field; the words are counted by the gaps between them.
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), r"[\x20\x09-\x0D]+", " "))
-    lines = lines.select("doc_id", "text_key", "at", masked.alias("masked")).where("masked != ''")
+    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # A word with a digit is a variable field. Most lines have neither a digit nor odd spacing and need no rewriting.
+    masked = F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
+    masked = F.trim(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))
+    odd = F.col("line").rlike(r"[0-9\x09-\x0D]") | F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
+    lines = lines.select("doc_id", "text_key", "at", F.when(odd, masked).otherwise(F.col("line")).alias("masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
     head = F.substring_index("masked", " ", rules.depth)
     return lines.select("doc_id", "text_key", "at", n.alias("n"), F.xxhash64(n, head).alias("leaf"), F.xxhash64(n, "masked").alias("template"), "masked")
@@ -67,6 +71,9 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     # Leaves with several templates and enough documents: only their lines' words are read.
     leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
     leaves = leaves.where((F.col("kinds") > 1) & (F.col("all_docs") >= rules.merged_docs) & (F.col("n") >= rules.merged_words)).select("leaf")
+    leaves = cut(leaves)
+    if leaves.count() <= rules.broadcast_leaves:
+        leaves = F.broadcast(leaves)
     worded = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("masked").alias("masked"))
     worded = cut(worded.join(counts.select("template", "docs"), "template"))
     hubs = worded.groupBy("leaf").agg(F.max(F.struct("docs", F.negative("template").alias("t"), "masked")).alias("hub"))
@@ -88,8 +95,8 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     marked = per_doc.join(dropped, "template")
     here = marked["doc_id"].eqNullSafe(F.col("first.doc_id")) & marked["text_key"].eqNullSafe(F.col("first.text_key"))
     # The first document keeps the first place of the template.
-    gone = F.when(here, F.slice(F.array_sort("places"), 2, 2147483647)).otherwise(F.col("places"))
-    return marked.select("doc_id", "text_key", F.explode(gone).alias("at"))
+    places = marked.select("doc_id", "text_key", here.alias("here"), F.array_min("places").alias("lowest"), F.explode("places").alias("at"))
+    return places.where(~F.col("here") | (F.col("at") > F.col("lowest"))).select("doc_id", "text_key", "at")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,14 +111,14 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     gone = recurring_lines(_keyed(docs, id_col, text_col), rules)
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("_gone")).withColumnsRenamed({"doc_id": "_gone_id", "text_key": "_gone_key"})
     text = docs[text_col].cast("string")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_key")), "left")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(text) == gone["_gone_key"]), "left")
 
     def keep(line: Column, at: Column) -> Column:
-        return F.when(~F.array_contains("_gone", at), line)
+        return F.when(~F.array_contains(gone["_gone"], at), line)
 
     kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), keep), lambda x: x.isNotNull()), "\n")
-    new = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    new = F.when(gone["_gone"].isNull(), text).otherwise(kept)
     if counts:
         n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
-        return joined.select(docs[id_col].alias("doc_id"), new.alias("text"), n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        return joined.select(docs[id_col].alias("doc_id"), new.alias("text"), n.alias("n_lines"), F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_dropped"))
     return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -273,4 +273,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each group; all columns as they are."""
     found = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept"))
     gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_gone_key")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_gone_key"]), "left_anti")

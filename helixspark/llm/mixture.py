@@ -123,5 +123,5 @@ def mixed_documents(docs: DataFrame, mixture: Mixture = Mixture(), id_col: str =
     """``docs`` as often as the mixture takes them, with ``mix_epoch`` added (``epoch`` of the mixture)."""
     taken = mix(docs, mixture, id_col, text_col, **options).groupBy("doc_id", "text_key").agg(F.max("epoch").alias("_last"))
     taken = taken.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_key")))
-    return rows.select(*[docs[c] for c in docs.columns if c != "mix_epoch"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("mix_epoch"))
+    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == taken["_key"]))
+    return rows.select(*[docs[c] for c in docs.columns if c != "mix_epoch"], F.explode(F.sequence(F.lit(0).cast("long"), taken["_last"])).alias("mix_epoch"))

@@ -215,7 +215,8 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return min(1.0, 2.0 * (bad + 1) / (bad + good + 2)) if bad < good else 1.0
 
     bad, good = tallies.get(("none", 1), 0), tallies.get(("none", 0), 0)
-    offset = min(math.log((bad + 0.5) / (good + 0.5)), -1.0)
+    # Never below minus the least weight of a stem by much, so that one matched clause can decide.
+    offset = max(min(math.log((bad + 0.5) / (good + 0.5)), -1.0), 0.5 - least_odds)
     return Grammar(stems, offset, negated=factor("negated"), reported=factor("reported"))
 
 
