@@ -4,7 +4,8 @@ The grammar composes five transducers. Each reads a clause word by word and
 writes a weight:
 
 * insult: a trie of word stems with learned weights (log odds of toxic against
-  clean documents), run as one Aho-Corasick automaton;
+  clean texts, counted by different neighbourhoods so that copies count once),
+  run as one Aho-Corasick automaton;
 * threat: an intent word followed, up to three words on, by a harm word;
 * target: a second-person word, or a name-like role, beside an insult;
 * negation: a negating word up to three words before an insult;
@@ -13,8 +14,8 @@ writes a weight:
 A clause without insult or threat scores nothing, whatever words it has. Target
 raises a clause's weight, negation and reported speech scale it by factors that
 are learned too, from the labelled clauses that have them (1 where there are
-too few to tell). A document's score is the logistic function of a learned
-offset plus its clauses' weights.
+too few to tell). A document's score is a logistic function of its clauses' summed
+weights, fitted to the labelled rows.
 
 Learning reads at most ``max_rows`` labelled rows, those with the smallest hash
 of their id, so the sample is the same however the rows are dealt; scoring
@@ -29,11 +30,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +57,11 @@ CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 @dataclass(frozen=True)
 class Grammar:
-    """Learned weights: by stem, for a threat, the scale of negated and reported clauses, and the offset."""
+    """Learned weights: by stem, for a threat, the factors of negated and reported clauses, and the logistic curve."""
 
     stems: dict[str, float]
     offset: float
+    scale: float = 1.0
     threat: float = 4.0
     target: float = 1.25
     negated: float = 1.0
@@ -128,39 +132,45 @@ class Scanner:
             return None
         return weight * (self.grammar.target if target else 1.0), not plain, quoted
 
-    def score(self, text: str | None) -> float:
+    def total(self, text: str | None) -> float:
         g = self.grammar
-        total = g.offset
-        for weight, negated, reported in self.clauses(text):
-            total += weight * (g.negated if negated else 1.0) * (g.reported if reported else 1.0)
+        return sum(w * (g.negated if negated else 1.0) * (g.reported if reported else 1.0) for w, negated, reported in self.clauses(text))
+
+    def score(self, text: str | None) -> float:
+        total = self.grammar.offset + self.grammar.scale * self.total(text)
         return 1.0 / (1.0 + math.exp(-max(min(total, 50.0), -50.0)))
 
 
-def stems_of(text: str | None, least: int, most: int) -> set[str]:
-    """The words of a text, lower-cased, and their beginnings of ``least`` to ``most`` letters."""
-    out = set()
-    for word in {m.group() for m in WORD.finditer((text or "").lower())}:
-        if len(word) >= least:
-            out.update(word[:k] for k in range(least, min(most, len(word)) + 1))
-            out.add(word)
-    return out
+def stems_of(text: str | None, least: int, most: int) -> set[tuple[str, int]]:
+    """The words of a text, lower-cased, and their beginnings of ``least`` to ``most`` letters, each with a hash of the neighbours at its first place."""
+    out: dict[str, int] = {}
+    words = WORD.findall((text or "").lower())
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if len(word) >= least and word not in out:
+            place = zlib.crc32(f"{before} {after}".encode())
+            for k in range(least, min(most, len(word)) + 1):
+                out.setdefault(word[:k], place)
+            out[word] = place
+    return set(out.items())
 
 
 def choose_stems(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, least_odds: float) -> dict[str, float]:
-    """Stems whose log odds reach ``least_odds``; shorter ones first, longer ones only where they tell more."""
-    def odds(toxic: int, clean: int) -> float:
-        return math.log((toxic + 0.5) / (n_toxic + 1.0)) - math.log((clean + 0.5) / (n_clean + 1.0))
+    """Stems whose log odds surely reach ``least_odds``; shorter ones first, longer ones only where they tell more."""
+    def odds(toxic: int, clean: int) -> tuple[float, float]:
+        """The log odds, and a lower bound of them that chance reaches in one of twenty rare stems."""
+        value = math.log((toxic + 0.5) / (n_toxic + 1.0)) - math.log((clean + 0.5) / (n_clean + 1.0))
+        return value, value - 1.64 * math.sqrt(1.0 / (toxic + 0.5) + 1.0 / (clean + 0.5))
 
     chosen: dict[str, float] = {}
     for stem in sorted(counts, key=lambda s: (len(s), s)):
-        weight = odds(*counts[stem])
+        weight, low = odds(*counts[stem])
         inside = max((chosen[stem[:k]] for k in range(1, len(stem)) if stem[:k] in chosen), default=None)
-        if weight >= least_odds and (inside is None or weight > inside + 1.0):
+        if low >= least_odds and (inside is None or weight > inside + 1.0):
             chosen[stem] = weight
     return chosen
 
 
-def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stem_letters: tuple[int, int] = (4, 7), least_docs: int = 5, least_odds: float = 2.5) -> Grammar:
+def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stem_letters: tuple[int, int] = (4, 7), least_docs: int = 5, least_odds: float = 2.0) -> Grammar:
     """Weights from the labelled rows; ``labels`` has the id and a 0/1 label."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -171,23 +181,28 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not n_toxic or not n_clean:
         return Grammar({}, -50.0)
 
-    def count(only: frozenset[str] | None):
+    def places(only: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter[str] = Counter()
             for batch in batches:
+                seen: set[tuple[str, int]] = set()
                 for text in batch.column("text"):
                     own = stems_of(text.as_py(), *stem_letters)
-                    seen.update(own if only is None else own & only)
-            for at in range(0, len(seen), 50_000):
-                part = list(seen.items())[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"stem": pa.array([x for x, _ in part], pa.string()), "c": pa.array([n for _, n in part], pa.int64())})
+                    seen.update(own if only is None else (x for x in own if x[0] in only))
+                    if len(seen) > 200_000:
+                        yield rows_of(seen)
+                        seen.clear()
+                yield rows_of(seen)
+
+        def rows_of(seen: set[tuple[str, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"stem": pa.array([x for x, _ in seen], pa.string()), "place": pa.array([n for _, n in seen], pa.int64())})
 
         return run
 
     def totals(df: DataFrame, only: frozenset[str] | None) -> DataFrame:
-        return df.select("text").mapInArrow(count(only), "stem string, c long").groupBy("stem").agg(F.sum("c").alias("c"))
+        """Stems by the number of different neighbourhoods they stand in, so that copies of a text count once."""
+        return df.select("text").mapInArrow(places(only), "stem string, place long").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("c"))
 
-    # A stem in at least a thousandth of the sample's toxic texts: their number is bounded with the sample.
+    # A stem in a thousandth as many places as there are toxic texts: their number is bounded with the sample.
     often = max(least_docs, n_toxic // 1000)
     toxic = {r["stem"]: r["c"] for r in totals(rows.where("toxic = 1"), None).where(F.col("c") >= often).collect()}
     clean = {r["stem"]: r["c"] for r in totals(rows.where("toxic = 0"), frozenset(toxic)).collect()}
@@ -196,13 +211,13 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     first = Grammar(stems, 0.0)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a clause, with negated ones only and with reported ones only, by label."""
+        """Texts with negated clauses only and with reported ones only, by label."""
         scanner = Scanner(first)
         seen: Counter[tuple[int, str]] = Counter()
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
                 found = scanner.clauses(text.as_py())
-                kinds = ["none"] if not found else [k for k, i in (("negated", 1), ("reported", 2)) if all(c[i] for c in found)]
+                kinds = [] if not found else [k for k, i in (("negated", 1), ("reported", 2)) if all(c[i] for c in found)]
                 seen.update((int(label.as_py()), k) for k in kinds)
         yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k in seen], pa.int64()), "kind": pa.array([k[1] for k in seen], pa.string()), "c": pa.array(list(seen.values()), pa.int64())})
 
@@ -214,10 +229,37 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             return 1.0
         return min(1.0, 2.0 * (bad + 1) / (bad + good + 2)) if bad < good else 1.0
 
-    bad, good = tallies.get(("none", 1), 0), tallies.get(("none", 0), 0)
-    # Never below minus the least weight of a stem by much, so that one matched clause can decide.
-    offset = max(min(math.log((bad + 0.5) / (good + 0.5)), -1.0), 0.5 - least_odds)
-    return Grammar(stems, offset, negated=factor("negated"), reported=factor("reported"))
+    second = Grammar(stems, 0.0, negated=factor("negated"), reported=factor("reported"))
+
+    def totals_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(second)
+        seen: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
+                seen[int(label.as_py()), min(round(4 * scanner.total(text.as_py())), 400)] += 1
+        yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k in seen], pa.int64()), "total": pa.array([k[1] for k in seen], pa.int64()), "c": pa.array(list(seen.values()), pa.int64())})
+
+    # At most 401 totals for each label.
+    points = [(r["total"] / 4.0, r["toxic"], r["c"]) for r in rows.mapInArrow(totals_by_label, "toxic long, total long, c long").groupBy("toxic", "total").agg(F.sum("c").alias("c")).collect()]
+    offset, scale = fit_logistic(points)
+    return Grammar(stems, offset, scale=scale, negated=second.negated, reported=second.reported)
+
+
+def fit_logistic(points: list[tuple[float, int, int]], ridge: float = 0.1) -> tuple[float, float]:
+    """Offset and slope of a logistic curve through (value, label, count), by Newton's steps; the slope is at least 0.05."""
+    x, y, c = (np.array(v, dtype=np.float64) for v in zip(*sorted(points), strict=True))
+    x = np.minimum(x, 12.0)
+    beta = np.array([math.log((c @ y + 0.5) / (c @ (1 - y) + 0.5)), 0.3])
+    design = np.stack([np.ones_like(x), x])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
+        grad = design @ (c * (p - y)) + ridge * beta
+        hess = (design * (c * p * (1 - p))) @ design.T + ridge * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        beta = beta - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(min(beta[0], -0.5)), float(max(beta[1], 0.05))
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
