@@ -14,6 +14,7 @@ from ..functions.vectors import cosine, squared_distance
 from ..operators import formats, kmer, lengths, motif, orf, protein, tfidf
 from ..session import table
 from ..sources import text as text_formats
+from ..svg import convert as svg_convert
 from ..vector import layout
 from . import tables as t
 
@@ -397,6 +398,29 @@ def target_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.w", "x.h")
 
 
+def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing of a rectangle for each part."""
+    markup = F.expr("concat('<svg width=\"', p_partkey % 40 + 8, '\" height=\"', p_partkey % 30 + 6, 'pt\"><rect width=\"', p_partkey % 40 + 8, '\" height=\"5\" fill=\"#', lpad(hex(p_partkey % 4096), 3, '0'), '\"/></svg>')")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(markup, "UTF-8").alias("content"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, true AS ok, CAST(p_partkey % 40 + 8 AS DOUBLE) AS width, round((p_partkey % 30 + 6) * 96.0 / 72.0, 6) AS height, CAST(p_partkey % 40 + 8 AS VARCHAR) AS width_unit, (p_partkey % 30 + 6) || 'pt' AS height_unit, round((p_partkey % 40 + 8) / 96.0, 6) AS physical_width_in, round((p_partkey % 30 + 6) / 72.0, 6) AS physical_height_in, CAST(NULL AS VARCHAR) AS error FROM part")
+def svg_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(svg_convert.svg_info(_drawings(spark, sf_dir)), "width", "height", "physical_width_in", "physical_height_in")
+
+
+def _encoded(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return svg_convert.convert_svgs(_drawings(spark, sf_dir), svg_convert.Options(format=kind)).drop("image")
+
+    run.__name__ = f"svg_convert_{kind}"
+    return run
+
+
+for _kind in ("png", "jpeg", "tiff", "bmp", "pdf"):
+    query()(_encoded(_kind))
+
+
 def queries() -> dict[str, Query]:
     return {name.removesuffix("_query"): f for name, f in QUERIES.items()}
 
