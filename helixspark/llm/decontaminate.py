@@ -15,7 +15,8 @@ word read, so the scan has two steps:
   window occurrences.
 
 The set of anchors is sent to the tasks as literals while it has at most
-``max_anchors`` words, a size that is checked first. Beyond that every word
+``max_anchors`` words in at most eight times as many places, which is checked
+first. Beyond that every word
 joins the anchors, by a join that Spark may shuffle; results are the same.
 
 Null texts have no words and no hits; items without id, text or words match
@@ -84,7 +85,7 @@ def _in_set(words: list[str]) -> str:
 def _anchor_filters(places: DataFrame, max_anchors: int) -> tuple[str, str] | None:
     """SQL for the places of the array column ``w`` where an anchor stands, and for its neighbours; None if there are too many anchors."""
     some = places.select("word").distinct().limit(max_anchors + 1).collect()
-    if len(some) > max_anchors:
+    if len(some) > max_anchors or places.limit(8 * max_anchors + 1).count() > 8 * max_anchors:
         return None
     names = sorted(r[0] for r in some)
     near = places.select(F.explode(F.array_distinct(F.array(F.concat_ws(" ", F.get("left", F.lit(0)), "word"), F.concat_ws(" ", "word", F.get("right", F.lit(0)))))).alias("x"))

@@ -14,8 +14,8 @@ token within its class.
   on the window counts, that is on every token of the corpus, by full-batch
   Adam on the driver; its cost doesn't depend on the corpus. Its output for
   every window is one small table, so scoring looks up and adds.
-* Within a class: the ``vocabulary`` most frequent words by their counts, the
-  rest share what remains of their class evenly.
+* Within a class: the most frequent words, at most ``vocabulary``, by their
+  counts; the rest share what remains of their class evenly.
 
 Null texts and texts without words have no tokens, sum 0 and a null mean. An
 empty corpus gives an empty result. Each row gives one row, with a null id too.
@@ -196,10 +196,29 @@ def train_network(counts: np.ndarray, shape: Shape) -> np.ndarray:
     return forward(places)[1].astype(np.float32)
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """The most frequent words, at most ``most``, by count and then hash.
+
+    Words are binned by count, exactly up to 4096 and in steps of a
+    sixty-fourth of a power of two above; the bins that fit as a whole are
+    taken. So the driver gets some thousand bins and then only these words.
+    """
+    binned = counts.withColumn("bin", F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64)))
+    sizes = sorted(((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect()), reverse=True)
+    taken, least = 0, None
+    for k, n in sizes:
+        if taken + n > most:
+            break
+        taken, least = taken + n, k
+    if least is None:
+        return []
+    return sorted(binned.where(F.col("bin") >= least).select("word", "suffix", "c").collect(), key=lambda r: (-r["c"], r["word"]))
+
+
 def learn(docs: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> Model:
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counts = cut(word_counts(texts, shape))
-    top = counts.orderBy(F.desc("c"), "word").limit(shape.vocabulary).collect()
+    top = frequent_words(counts, shape.vocabulary)
     words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     amount = np.array([r["c"] for r in top], dtype=np.float64)
     suffix = np.array([r["suffix"] for r in top], dtype=np.int64)

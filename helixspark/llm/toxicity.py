@@ -17,9 +17,9 @@ are learned too, from the labelled clauses that have them (1 where there are
 too few to tell). A document's score is a logistic function of its clauses' summed
 weights, fitted to the labelled rows.
 
-Learning reads at most ``max_rows`` labelled rows, those with the smallest hash
-of their id, so the sample is the same however the rows are dealt; scoring
-reads all rows and whole texts, and uses the text alone.
+Learning reads about ``max_rows`` labelled rows at most, those whose id's hash is
+in the share that gives so many, so the sample is the same however the rows are
+dealt; scoring reads all rows and whole texts, and uses the text alone.
 
 Null and empty texts have no clause and get the offset's score, under 0.5.
 Without labels of both kinds nothing is learned and every score is 0.
@@ -173,9 +173,10 @@ def choose_stems(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
 def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stem_letters: tuple[int, int] = (4, 7), least_docs: int = 5, least_odds: float = 2.0) -> Grammar:
     """Weights from the labelled rows; ``labels`` has the id and a 0/1 label."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    share = min(1.0, max_rows / max(known.count(), 1))
+    sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(source.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", "toxic"))  # at most max_rows ids
+    rows = cut(source.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", "toxic"))  # about max_rows ids
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
