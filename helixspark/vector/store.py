@@ -150,13 +150,15 @@ class VectorStore:
         return len(chunk_ids)
 
     def create_index(self, space_id: str, cells: int | None = None, sample_rows: int = 100_000, seed: int = 3) -> None:
-        """Coarse cells by k-means, fitted on at most ``sample_rows`` rows of smallest id hash; every row gets a cell."""
+        """Coarse cells by k-means, fitted on about ``sample_rows`` rows chosen by id hash at most; every row gets a cell."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         commit = self._needed(space_id)
         rows = self.table(space_id).drop("cell")
-        sample = rows.where("vector is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows)
+        filled = rows.where("vector is not null")
+        share = min(1.0, sample_rows / max(filled.count(), 1))
+        sample = filled.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
         n = sample.count()
         if n == 0:
             return
