@@ -76,8 +76,8 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
         leaves = F.broadcast(leaves)
     worded = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("masked").alias("masked"))
     worded = cut(worded.join(counts.select("template", "docs"), "template"))
-    hubs = worded.groupBy("leaf").agg(F.max(F.struct("docs", F.negative("template").alias("t"), "masked")).alias("hub"))
-    pairs = worded.join(hubs.select("leaf", F.negative("hub.t").alias("hub"), F.col("hub.masked").alias("hub_masked")), "leaf")
+    hubs = worded.groupBy("leaf").agg(F.max(F.struct("docs", "masked", "template")).alias("hub"))
+    pairs = worded.join(hubs.select("leaf", F.col("hub.template").alias("hub"), F.col("hub.masked").alias("hub_masked")), "leaf")
     same = F.zip_with(F.split("masked", " "), F.split("hub_masked", " "), lambda x, y: (x == y).cast("int"))
     like = F.aggregate(same, F.lit(0), lambda a, x: a + x) >= rules.similarity * F.size(same)
     merged = pairs.where((F.col("template") != F.col("hub")) & like).select(F.col("template").alias("_t"), "hub")

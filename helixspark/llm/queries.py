@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, line_dedup, lm_score, minhash_dedup, mixture, quality_rules, secret_scan, toxicity, url_filter
+from . import decontaminate, language_id, line_dedup, lm_score, minhash_dedup, mixture, oracle, quality_rules, secret_scan, toxicity, url_filter
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A page shows the document whose number its path holds; that document's quality labels the page.
     shown = pages.select("page_id", F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1).try_cast("long").alias("shown"))
     good = labels.select(F.col("doc_id").alias("shown"), F.col("quality").alias("good"))
-    return url_filter.url_verdicts(pages, shown.join(good, "shown").select("page_id", "good"))
+    return url_filter.url_verdicts(pages, shown.join(good, "shown").select("page_id", "good")).withColumn("purity", F.round("purity", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,4 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": oracle.decontamination(),
+        "op5_mixture": oracle.mixing(MIXTURE),
+        "op8_line_dedup": oracle.lines(line_dedup.LineRules()),
+        "op10_url_filter": oracle.urls(url_filter.Tree()),
+    }
