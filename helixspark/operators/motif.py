@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ascii import as_bytes, ascii_upper
-from .kmer import windows
 
 # Bases that a code stands for, as bits A=1 C=2 G=4 T=8; others are any base.
 MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
@@ -34,41 +34,50 @@ def mask_pattern(masks: list[int]) -> str:
         barred = "".join(b for b, bit in (("A", 1), ("C", 2), ("G", 4), ("TU", 8)) if not mask & bit)
         return f"[^{barred}{barred.lower()}]" if barred else "."
 
-    return "(?s)" + "".join(map(one, masks))
+    return "".join(map(one, masks))
 
 
-def find_motifs(sequences: DataFrame, motif: str, strand: str = "both", id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
-    """``seq_id, start, end, matched, strand``: 0-based, half-open, overlapping; ``+`` and ``-`` choose one strand.
+def matches(sequences: DataFrame, pattern: str) -> DataFrame:
+    """``seq_id, start, matched`` of every place, overlapping ones too, where ``pattern`` fits a row's ``seq``.
 
-    The windows of a sequence are made once and tested for both strands.
+    The sequence is cut at each place; a place's position is the sum of the
+    pieces before it, so rows are matches and not positions of the sequence.
     """
+    rows = sequences.select("seq_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("seq", F.lit(f"(?s)(?=({pattern}))"), F.lit(1)).alias("found"), F.transform(F.split("seq", f"(?s)(?={pattern})"), lambda x: F.length(x)).alias("sizes"))
+    rows = rows.where(F.size("found") > 0)
+    n = F.size("found")
+    # The first piece leads up to the first match, unless that is at the very start.
+    steps = F.when(F.size("sizes") > n, F.slice("sizes", F.lit(1), n)).otherwise(F.concat(F.array(F.lit(0)), F.slice("sizes", F.lit(1), n - 1)))
+    rows = rows.select("seq_id", "row", F.posexplode(F.arrays_zip(steps.alias("step"), F.col("found").alias("matched"))).alias("k", "x"))
+    upto = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("seq_id", F.sum("x.step").over(upto).cast("long").alias("start"), F.col("x.matched").alias("matched"))
+
+
+def find_motifs(sequences: DataFrame, motif: str, strand: str = "both", id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
+    """``seq_id, start, end, matched, strand``: 0-based, half-open, overlapping; ``+`` and ``-`` choose one strand."""
     masks = motif_masks(motif)
-    strands = [(s, mask_pattern(m)) for s, m, other in (("+", masks, "-"), ("-", complement_masks(masks), "+")) if strand != other]
     rows = sequences.select(F.col(id_col).alias("seq_id"), as_bytes(F.col(seq_col)).alias("seq"))
-    if not masks:
-        rows = rows.where("false")
-    rows = rows.select("seq_id", F.posexplode(windows(F.col("seq"), max(len(masks), 1))).alias("start", "matched"))
-    hits = F.filter(F.array(*[F.when(F.col("matched").rlike(f"^{p}$"), s) for s, p in strands]), lambda x: x.isNotNull())
-    rows = rows.where(" or ".join(["false"] + [f"matched rlike '{p}'" for _, p in strands]))
-    rows = rows.select("seq_id", F.col("start").cast("long").alias("start"), "matched", F.explode(hits).alias("strand"))
-    return rows.select("seq_id", "start", (F.col("start") + len(masks)).alias("end"), "matched", "strand")
+    rows = rows if masks else rows.where("false")
+    strands = [("+", masks)] * (strand != "-") + [("-", complement_masks(masks))] * (strand != "+")
+    found = None
+    for name, own in strands:
+        some = matches(rows, mask_pattern(own)).withColumn("strand", F.lit(name))
+        found = some if found is None else found.unionByName(some)
+    return found.select("seq_id", "start", (F.col("start") + len(masks)).alias("end"), "matched", "strand")
 
 
 def find_restriction_sites(sequences: DataFrame, enzyme_names: list[str] | None = None, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
     """``seq_id, enzyme_name, position, cut_position, recognition_site, strand``; no names mean all enzymes.
 
-    Windows of each site length meet the few sites by an equality join.
+    One pass looks for all sites at once (none begins another) and the few
+    matches meet the table of enzymes.
     """
     named = {n.lower() for n in enzyme_names or []}
     chosen = {n: e for n, e in ENZYMES.items() if not named or n.lower() in named}
     spark: SparkSession = sequences.sparkSession
     sites = spark.createDataFrame([(n, s, c) for n, (s, c) in chosen.items()] or [("", "", 0)], "enzyme_name string, recognition_site string, offset int")
     rows = sequences.select(F.col(id_col).alias("seq_id"), ascii_upper(as_bytes(F.col(seq_col))).alias("seq"))
-    found = None
-    for size in sorted({len(s) for s, _ in chosen.values()}) or [1]:
-        some = rows.select("seq_id", F.posexplode(windows(F.col("seq"), size)).alias("position", "recognition_site"))
-        some = some.where(F.col("recognition_site").isin([s for s, _ in chosen.values() if len(s) == size] or [""]))
-        found = some if found is None else found.unionByName(some)
+    rows = rows if chosen else rows.where("false")
+    found = matches(rows, "|".join(s for s, _ in chosen.values()) or "A").withColumnsRenamed({"matched": "recognition_site", "start": "position"})
     found = found.join(F.broadcast(sites), "recognition_site")  # at most the built-in enzymes
-    position = F.col("position").cast("long")
-    return found.select("seq_id", "enzyme_name", position.alias("position"), (position + F.col("offset")).alias("cut_position"), "recognition_site", F.lit("+").alias("strand"))
+    return found.select("seq_id", "enzyme_name", "position", (F.col("position") + F.col("offset")).alias("cut_position"), "recognition_site", F.lit("+").alias("strand"))

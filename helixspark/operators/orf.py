@@ -26,16 +26,16 @@ def find_orfs(sequences: DataFrame, min_length: int = 30, id_col: str = "seq_id"
     means 30; lengths include the stop.
     """
     least = min_length if min_length > 0 else 30
-    rows = sequences.select(F.col(id_col).alias("seq_id"), F.regexp_replace(F.translate(ascii_upper(as_bytes(F.col(seq_col))), "U", "T"), "[^ACGTN]", "").alias("fwd"))
+    rows = sequences.select(F.col(id_col).alias("seq_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(F.translate(ascii_upper(as_bytes(F.col(seq_col))), "U", "T"), "[^ACGTN]", "").alias("fwd"))
     rows = rows.withColumn("n", F.length("fwd").cast("long"))
     turned = F.reverse(F.translate("fwd", "ACGT", "TGCA"))
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("s")), F.struct(F.lit("-").alias("strand"), turned.alias("s")))
-    rows = rows.select("seq_id", "n", F.explode(strands).alias("x")).select("seq_id", "n", "x.*")
+    rows = rows.select("seq_id", "row", "n", F.explode(strands).alias("x")).select("seq_id", "row", "n", "x.*")
     frames = F.array(*[F.struct(F.lit(f).alias("frame"), translate_codons(codons(F.col("s"), f), MARKED_CODE).alias("letters")) for f in range(3)])
-    rows = rows.select("seq_id", "n", "strand", F.explode(frames).alias("x")).select("seq_id", "n", "strand", "x.*")
+    rows = rows.select("seq_id", "row", "n", "strand", F.explode(frames).alias("x")).select("seq_id", "row", "n", "strand", "x.*")
     pieces = F.regexp_extract_all("letters", F.lit(r"[^*+\-]*+[*+\-]"), F.lit(0))
-    rows = rows.select("seq_id", "n", "strand", "frame", F.posexplode(pieces).alias("k", "piece"))
-    before = Window.partitionBy("seq_id", "strand", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("seq_id", "row", "n", "strand", "frame", F.posexplode(pieces).alias("k", "piece"))
+    before = Window.partitionBy("row", "strand", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("codons_before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
     first = F.locate("M", F.col("piece"))
     rows = rows.withColumn("m", first).where("m > 0")

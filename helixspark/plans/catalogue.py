@@ -105,7 +105,7 @@ MOTIF = "TATAWAW"
 
 
 def _motif_sql(masks: list[int], strand: str) -> str:
-    pattern = motif.mask_pattern(masks).removeprefix("(?s)")
+    pattern = motif.mask_pattern(masks)
     windows = _WINDOWS.format(k=len(masks), dna=t.DNA_SQL)
     return f"SELECT seq_id, CAST(i - 1 AS BIGINT) AS start, CAST(i - 1 + {len(masks)} AS BIGINT) AS \"end\", w AS matched, '{strand}' AS strand FROM ({windows}) WHERE regexp_full_match(w, '{pattern}')"
 

@@ -173,3 +173,27 @@ def test_lines_keep_their_order(spark, tmp_path):
     (tmp_path / "l.txt").write_text("\n".join(f"line{k}" for k in range(500)))
     rows = text._in_order(spark.read.option("maxPartitionBytes", "1k").text(str(tmp_path / "l.txt"))).orderBy("ordinal").collect()
     assert [(r["ordinal"], r["value"]) for r in rows] == [(k, f"line{k}") for k in range(500)]
+
+
+def test_motifs_like_a_mask_scan(spark):
+    import random
+
+    from helixspark.operators import motif
+
+    rng = random.Random(7)
+    rows = [(k, "".join(rng.choice("ACGTacguNR-é") for _ in range(rng.randrange(0, 60)))) for k in range(60)] + [(7, "ACACAC"), (7, "ACACAC"), (99, "")]
+    for m in ("AC", "NNGG", "WAW", "a", "XQ", "GCGGCCGC"):
+        masks = motif.motif_masks(m)
+        want = []
+        for k, s in rows:
+            b = s.encode().decode("latin-1")
+            for name, own in (("+", masks), ("-", motif.complement_masks(masks))):
+                for i in range(len(b) - len(m) + 1):
+                    if all(motif.MASKS.get(c.upper(), 15) & x if c.upper() in "ACGTU" else True for c, x in zip(b[i : i + len(m)], own, strict=True)):
+                        want.append((k, i, i + len(m), b[i : i + len(m)], name))
+        got = [tuple(r) for r in motif.find_motifs(spark.createDataFrame(rows, "seq_id long, seq string"), m).collect()]
+        assert sorted(got) == sorted(want), m
+    docs = spark.createDataFrame([(1, "GCGGCCGCGGCCGC"), (2, "gaattcGAATTC"), (3, "")], "seq_id long, seq string")
+    got = sorted((r["seq_id"], r["enzyme_name"], r["position"], r["cut_position"]) for r in motif.find_restriction_sites(docs).collect())
+    assert got == [(1, "NotI", 0, 2), (1, "NotI", 6, 8), (2, "EcoRI", 0, 1), (2, "EcoRI", 6, 7)]
+    assert motif.find_motifs(docs, "").count() == 0 and motif.find_restriction_sites(docs, ["none"]).count() == 0
