@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ascii import as_bytes, ascii_upper
-from ..functions.sequence import CODE, CODONS, codons, translate_codons
+from ..functions.sequence import codons, translate_codons
 
-# A mark of its own for each stop codon.
-STOPS = {"TAA": "*", "TAG": "+", "TGA": "-"}
-
-#: The genetic code with these marks, so that one letter tells a codon's part in a frame.
-MARKED_CODE = "".join(STOPS.get(c, a) for c, a in zip(CODONS, CODE, strict=True))
+STOP = "(?:TAA|TAG|TGA)"
+#: Codons up to and with the next stop, from where the last piece ended.
+PIECE = rf"\G(?:(?!{STOP})[ACGTN]{{3}})*+{STOP}"
+#: From a piece's first start codon on.
+FRAME = r"^(?:(?!ATG)[ACGTN]{3})*+(ATG.*)$"
 
 
 def find_orfs(sequences: DataFrame, min_length: int = 30, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
     """``seq_id, start, end, length, strand, frame, start_codon, stop_codon, protein``.
 
     U counts as T, and what is not A, C, G, T or N is deleted first; positions
-    are those of what remains, on the plus strand. A frame becomes a string of
-    one letter per codon, cut after each stop; a piece's first M, if it has one,
-    opens its frame. So rows are pieces, not codons. ``min_length`` of 0 or less
-    means 30; lengths include the stop.
+    are those of what remains, on the plus strand. A frame is cut after each stop
+    codon; a piece's first ATG, if it has one, opens its reading frame. So rows
+    are pieces, not codons, and only reading frames are translated.
+    ``min_length`` of 0 or less means 30; lengths include the stop.
     """
     least = min_length if min_length > 0 else 30
     rows = sequences.select(F.col(id_col).alias("seq_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(F.translate(ascii_upper(as_bytes(F.col(seq_col))), "U", "T"), "[^ACGTN]", "").alias("fwd"))
@@ -31,23 +31,16 @@ def find_orfs(sequences: DataFrame, min_length: int = 30, id_col: str = "seq_id"
     turned = F.reverse(F.translate("fwd", "ACGT", "TGCA"))
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("s")), F.struct(F.lit("-").alias("strand"), turned.alias("s")))
     rows = rows.select("seq_id", "row", "n", F.explode(strands).alias("x")).select("seq_id", "row", "n", "x.*")
-    frames = F.array(*[F.struct(F.lit(f).alias("frame"), translate_codons(codons(F.col("s"), f), MARKED_CODE).alias("letters")) for f in range(3)])
+    frames = F.array(*[F.struct(F.lit(f).alias("frame"), F.regexp_extract_all(F.substring("s", f + 1, 2147483647), F.lit(PIECE), F.lit(0)).alias("pieces")) for f in range(3)])
     rows = rows.select("seq_id", "row", "n", "strand", F.explode(frames).alias("x")).select("seq_id", "row", "n", "strand", "x.*")
-    pieces = F.regexp_extract_all("letters", F.lit(r"[^*+\-]*+[*+\-]"), F.lit(0))
-    rows = rows.select("seq_id", "row", "n", "strand", "frame", F.posexplode(pieces).alias("k", "piece"))
+    rows = rows.select("seq_id", "row", "n", "strand", "frame", F.posexplode("pieces").alias("k", "piece"))
     before = Window.partitionBy("row", "strand", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("codons_before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    first = F.locate("M", F.col("piece"))
-    rows = rows.withColumn("m", first).where("m > 0")
-    length = (F.length("piece") - F.col("m") + 1) * 3
-    rows = rows.withColumn("length", length.cast("long")).where(F.col("length") >= least)
-    at = (F.col("frame") + 3 * (F.col("codons_before") + F.col("m") - 1)).cast("long")
-    rows = rows.withColumn("at", at)
-    start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - F.col("length"))
-    mark = F.right("piece", F.lit(1))
-    stop = F.when(mark == "*", "TAA").when(mark == "+", "TAG").otherwise("TGA")
-    protein = F.expr("substring(piece, m, length(piece) - m)")
-    return rows.select("seq_id", start.alias("start"), (start + F.col("length")).alias("end"), "length", "strand", "frame", F.lit("ATG").alias("start_codon"), stop.alias("stop_codon"), protein.alias("protein"))
+    rows = rows.select("seq_id", "n", "strand", "frame", F.length("piece").alias("size"), F.regexp_extract("piece", FRAME, 1).alias("orf"), F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("length", F.length("orf").cast("long")).where(F.col("length") >= least)
+    rows = rows.withColumn("at", F.col("frame") + F.col("before") + F.col("size") - F.col("length"))
+    start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - F.col("length")).cast("long")
+    protein = translate_codons(codons(F.substr("orf", F.lit(1), F.length("orf") - 3)))
+    return rows.select("seq_id", start.alias("start"), (start + F.col("length")).alias("end"), "length", "strand", "frame", F.lit("ATG").alias("start_codon"), F.right("orf", F.lit(3)).alias("stop_codon"), protein.alias("protein"))
 
 
 def orfs_in_order(orfs: DataFrame) -> DataFrame:
