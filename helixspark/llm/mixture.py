@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 LEVELS = ("domain", "lang", "source")
 
 
@@ -44,6 +46,7 @@ class Mixture:
     max_epochs: int = 4
     seed: int = 7
     bucket_digits: int = 3
+    broadcast_leaves: int = 200_000  # of three names and two numbers; more are joined by a shuffle
 
 
 def numbered_domain(source: Column) -> Column:
@@ -105,6 +108,9 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture(), id_col: str = "doc_id", t
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col].cast("string")).alias("text_key"), domain(named).alias("domain"), F.coalesce(docs[lang_col].cast("string"), F.lit("?")).alias("lang"), named.alias("source"), n_tokens(docs[text_col].cast("string")).alias("n_tokens"))
     leaves = leaf_budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), mixture)
     leaves = leaves.withColumn("whole", F.expr("budget div supply")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply")).drop("supply", "budget")
+    leaves = cut(leaves)
+    if leaves.count() <= mixture.broadcast_leaves:
+        leaves = F.broadcast(leaves)
     rows = rows.join(leaves, list(LEVELS))
 
     order = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).cast("binary"))

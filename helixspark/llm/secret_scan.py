@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,29 +74,29 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(compressor.compress(around + candidate)) - empty) / max(len(candidate), 1)
 
 
-def novel_spans(raw: bytes, lowered: bytes, taken: list[tuple[int, int, int]], reach: int, window: int, least: float) -> list[tuple[int, int, int]]:
+def novel_spans(raw: bytes, taken: list[tuple[int, int, int]], reach: int, window: int, least: float) -> list[tuple[int, int, int]]:
     """Incompressible strings that begin within ``reach`` bytes after a sensitive word and overlap no base span."""
+    words = [m.end() for m in SENSITIVE.finditer(raw)]
+    starts = [s for s, _, _ in taken]
+    furthest = list(accumulate((e for _, _, e in taken), max))
     found: list[tuple[int, int, int]] = []
-    done = -1
-    for word in SENSITIVE.finditer(raw):
-        for m in CANDIDATE.finditer(raw, max(word.end(), done), word.end() + reach + 4096):
-            s, e = m.span()
-            if s > word.end() + reach:
-                break
-            done = max(done, e)
-            own = m.group()
-            if any(a < e and s < b for a, _, b in taken) or not (re.search(rb"[0-9]", own) and re.search(rb"[A-Za-z]", own)):
-                continue
-            around = raw[max(0, s - window) : s] + raw[e : e + window]
-            if novelty(own, around) >= least:
-                found.append((s, 3, e))
+    for m in CANDIDATE.finditer(raw) if words else ():
+        (s, e), own = m.span(), m.group()
+        before = bisect_right(words, s)
+        if not before or s - words[before - 1] > reach:
+            continue
+        base = bisect_left(starts, e)
+        if base and furthest[base - 1] > s or not (re.search(rb"[0-9]", own) and re.search(rb"[A-Za-z]", own)):
+            continue
+        if novelty(own, raw[max(0, s - window) : s] + raw[e : e + window]) >= least:
+            found.append((s, 3, e))
     return found
 
 
 def _text_spans(raw: bytes, hex_runs: list[tuple[int, int]], reach: int, window: int, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     lowered = raw.lower()
     base = base_spans(raw, lowered, hex_runs)
-    more = novel_spans(raw, lowered, base, reach, window, least) if SENSITIVE.search(raw) else []
+    more = novel_spans(raw, base, reach, window, least)
     every = sorted(base + more)
     if every and not raw.isascii():
         cuts = sorted({x for s, _, e in every for x in (s, e)})
