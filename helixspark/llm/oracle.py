@@ -23,6 +23,29 @@ def decontamination() -> str:
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
+def quality() -> str:
+    return rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, {WORDS}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    t AS (SELECT doc_id, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) > 2)),
+    r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1) GROUP BY doc_id),
+    f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(text) - length(translate(text, '!', '')) AS bangs,
+        length(text) - length(translate(text, '{UPPER}', '')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS n_letters FROM d LEFT JOIN r USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_symbols > 0.25 * n_words OR n_upper > 0.6 * greatest(n_letters, 1) OR bangs > 0.3 * n_words
+    OR (n_lines > 3 AND n_dup_lines > 0.5 * n_lines) OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM b"""
+
+
+def near_duplicates() -> str:
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORDS}) AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1) UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON r.other = e.x)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
 def _spread(source: str, parent: str, order: str, cap: str, weight: str, budget: str, out: str) -> str:
     """Water-filling of ``budget`` over the rows of each parent, up to their caps."""
     upto = f"OVER (PARTITION BY {parent} ORDER BY {cap} / {weight}, {order} ROWS UNBOUNDED PRECEDING)"
