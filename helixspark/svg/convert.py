@@ -23,6 +23,11 @@ class Options:
     dpi: float = 96.0
     keep_physical: bool = False
     background: str | None = None
+    default_size: tuple[float, float] | None = None
+
+
+#: For documents without a size: what the streaming conversion assumes.
+FAST = Options(default_size=(800.0, 600.0))
 
 
 def background_of(text: str | None) -> tuple[int, int, int, int]:
@@ -60,7 +65,7 @@ def sizes(w: float, h: float, o: Options, inches: tuple[float, float]) -> tuple[
 
 def convert_bytes(content: bytes, options: Options = Options()) -> tuple[bytes, int, int]:
     """Encoded image, width and height; raises what is wrong."""
-    w, h, root = raster.document_size(content)
+    w, h, root = raster.document_size(content, options.default_size)
 
     def inches(name: str, px: float) -> float:
         text = (root.get(name) or "").strip()
@@ -93,6 +98,22 @@ def convert_svgs(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return docs.select("path", "content").mapInArrow(run, "path string, ok boolean, width int, height int, bytes_written long, format string, dpi double, error string, image binary")
 
 
+def write_images(images: DataFrame, folder: str, names: str = "path") -> int:
+    """Writes the images of ``convert_svgs`` as files into ``folder`` of any file system; how many.
+
+    Rows come to the driver one partition at a time. For many images, write the
+    table itself instead.
+    """
+    from ..vector.store import Files
+
+    files, n = Files(images.sparkSession), 0
+    for row in images.where("ok").select(names, "format", "image").toLocalIterator():
+        stem = row[names].rstrip("/").rpartition("/")[2].removesuffix(".svg")
+        files.write(f"{folder.rstrip('/')}/{stem}.{row['format']}", bytes(row["image"]))
+        n += 1
+    return n
+
+
 def svg_info(docs: DataFrame) -> DataFrame:
     """``path, ok, width, height, width_unit, height_unit, physical_width_in, physical_height_in, error``.
 

@@ -231,8 +231,8 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def document_size(content: bytes) -> tuple[float, float, ET.Element]:
-    """Size in pixels of a well-formed document, and its root. Without sizes the view box counts, then 100 %."""
+def document_size(content: bytes, default: tuple[float, float] | None = None) -> tuple[float, float, ET.Element]:
+    """Size in pixels of a well-formed document, and its root. Without sizes the view box counts, then ``default``."""
     root = None
     for _, element in ET.iterparse(io.BytesIO(content), events=("start",)):
         root = element if root is None else root
@@ -242,6 +242,8 @@ def document_size(content: bytes) -> tuple[float, float, ET.Element]:
     w, h = length(root.get("width")), length(root.get("height"))
     w = w or (box[2] if len(box) == 4 else 0.0)
     h = h or (box[3] if len(box) == 4 else 0.0)
+    if (w <= 0 or h <= 0) and default:
+        w, h = w if w > 0 else default[0], h if h > 0 else default[1]
     if w <= 0 or h <= 0:
         raise ValueError("no size")
     return w, h, root

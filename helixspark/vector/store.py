@@ -60,6 +60,12 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def write(self, path: str, data: bytes) -> None:
+        p, fs = self._at(path)
+        out = fs.create(p, True)
+        out.write(bytearray(data))
+        out.close()
+
     def read(self, path: str) -> str:
         p, fs = self._at(path)
         stream = fs.open(p)

@@ -98,3 +98,13 @@ def test_encoders():
     assert encode.flatten(encode.unpremultiply(half)).tolist() == [[[255, 127, 127], [255, 255, 255]]]
     with pytest.raises(ValueError, match="webp"):
         encode.encode(p, "webp")
+
+
+def test_files_and_default_size(spark, tmp_path):
+    (tmp_path / "a.svg").write_bytes(RED)
+    (tmp_path / "b.svg").write_bytes(b"<svg><rect width='10' height='10'/></svg>")
+    docs = convert.read_svgs(spark, str(tmp_path / "*.svg"))
+    assert convert.write_images(convert.convert_svgs(docs), str(tmp_path / "out")) == 1
+    assert (pixels_of((tmp_path / "out" / "a.png").read_bytes()) == (255, 0, 0, 255)).all()
+    sizes = {r["path"][-5:]: (r["width"], r["height"]) for r in convert.convert_svgs(docs, convert.FAST).collect()}
+    assert sizes == {"a.svg": (100, 50), "b.svg": (800, 600)}
