@@ -12,24 +12,28 @@ token within its class.
   boundary, frequent or other, so there are at most ``9 * classes**3`` windows.
 * The network (summed embeddings of the four places, tanh, softmax) is trained
   on the window counts, that is on every token of the corpus, by full-batch
-  Adam on the driver; its cost doesn't depend on the corpus. Its output for
-  every window is one small table, so scoring looks up and adds.
-* Within a class: the most frequent words, at most ``vocabulary``, by their
-  counts; the rest share what remains of their class evenly.
+  Adam on the driver; its cost follows the windows. Its output for every
+  window is one table, so scoring looks up and adds.
+* Within a class: every word of the corpus by its own count. The ``vocabulary``
+  most frequent ones travel with the model; a text's other words are joined with
+  the distributed counts. ``vocabulary`` decides only what is joined, no score.
+* The classes grow with the fourth root of the tokens beyond ``base_tokens``,
+  so the windows grow a little slower than the corpus.
 
 Null texts and texts without words have no tokens, sum 0 and a null mean. An
 empty corpus gives an empty result. Each row gives one row, with a null id too.
-The sums are integers, so results don't depend on how rows are dealt.
+The sums are integers (logarithms of joined counts in fixed point), so results
+don't depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -37,6 +41,8 @@ from .textcore import group_words, text_groups, word_hashes
 
 _U = np.uint64
 COARSE = 3
+#: Logarithms of joined counts are summed as whole multiples of this.
+FIXED = 2.0**-32
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,12 @@ class Shape:
     hidden: int = 24
     steps: int = 250
     seed: int = 5
+    base_tokens: int = 20_000_000
+
+    def grown(self, tokens: int) -> Shape:
+        """The shape for a corpus of so many tokens."""
+        factor = max(1.0, tokens / self.base_tokens) ** 0.25
+        return replace(self, singles=round(self.singles * factor), buckets=round(self.buckets * factor))
 
     @property
     def classes(self) -> int:
@@ -62,25 +74,27 @@ class Model:
     shape: Shape
     single_hashes: np.ndarray  # sorted
     hashes: np.ndarray  # sorted vocabulary
-    within: np.ndarray  # log-probability of each vocabulary word in its class
-    other: np.ndarray  # the same for any other word, by class
+    logs: np.ndarray  # logarithm of each vocabulary word's count
+    bound: np.ndarray  # logarithm of each class's count
     table: np.ndarray  # log-probability of class by window
+    rare: DataFrame | None = None  # ``word, c`` of all words beyond the vocabulary that occur twice or more
 
 
-def suffix_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
+def suffix_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of the last two bytes; its remainder by ``buckets`` is the bucket."""
     last = data[ends - 1].astype(np.int64)
     second = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-    return (last * 31 + second * 17) % buckets
+    return last * 31 + second * 17
 
 
-def _group_tokens(raw: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and suffix buckets of all words, and each text's first word."""
+def _group_tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and suffix keys of all words, and each text's first word."""
     data, _, starts, ends, first = group_words(raw, lower=True)
-    return word_hashes(data, starts, ends), suffix_buckets(data, starts, ends, buckets), first
+    return word_hashes(data, starts, ends), suffix_keys(data, starts, ends), first
 
 
 def classes_of(hashes: np.ndarray, suffix: np.ndarray, singles: np.ndarray, shape: Shape) -> np.ndarray:
-    out = suffix + 1 + shape.singles
+    out = suffix % shape.buckets + 1 + shape.singles
     if len(singles):
         at = np.minimum(np.searchsorted(singles, hashes), len(singles) - 1)
         own = singles[at] == hashes
@@ -123,7 +137,7 @@ def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
         size = 0
         for batch in batches:
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                hashes, suffix, _ = _group_tokens(raw, shape.buckets)
+                hashes, suffix, _ = _group_tokens(raw)
                 if not len(hashes):
                     continue
                 kinds, at, counts = np.unique(hashes, return_index=True, return_counts=True)
@@ -151,10 +165,15 @@ def window_counts(texts: DataFrame, singles: np.ndarray, shape: Shape) -> DataFr
         total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                hashes, suffix, first = _group_tokens(raw, shape.buckets)
+                hashes, suffix, first = _group_tokens(raw)
                 if len(hashes):
                     classes = classes_of(hashes, suffix, singles, shape)
-                    total += np.bincount(window_ids(classes, first, shape) * shape.classes + classes, minlength=cells)
+                    at = window_ids(classes, first, shape) * shape.classes + classes
+                    if cells <= 4 * len(at):
+                        total += np.bincount(at, minlength=cells)
+                    else:
+                        kinds, counts = np.unique(at, return_counts=True)
+                        total[kinds] += counts
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(found.astype(np.int32)), "c": pa.array(total[found])})
 
@@ -171,9 +190,8 @@ def train_network(counts: np.ndarray, shape: Shape) -> np.ndarray:
     p = [rng.normal(0, 0.3, (n, h)) for n in sizes] + [np.zeros(h), rng.normal(0, 0.3, (h, c)), np.log((counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * c))]
     mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     seen = np.flatnonzero(counts.sum(axis=1))
-    target = counts[seen] / max(counts.sum(), 1)
-    mass = target.sum(axis=1, keepdims=True)
-    spots = [x[seen] for x in places]
+    total = max(counts.sum(), 1)
+    blocks = [seen[at : at + 16_384] for at in range(0, len(seen), 16_384)]
 
     def forward(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.tanh(sum(p[k][at[k]] for k in range(4)) + p[4])
@@ -182,18 +200,25 @@ def train_network(counts: np.ndarray, shape: Shape) -> np.ndarray:
         return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
     for step in range(1, shape.steps + 1 if len(seen) else 1):
-        hidden, logp = forward(spots)
-        slope = np.exp(logp) * mass - target
-        back = (slope @ p[5].T) * (1 - hidden * hidden)
-        grads = [np.zeros_like(p[k]) for k in range(4)]
-        for k in range(4):
-            np.add.at(grads[k], spots[k], back)
-        grads += [back.sum(axis=0), hidden.T @ slope, slope.sum(axis=0)]
+        grads = [np.zeros_like(x) for x in p]
+        for block in blocks:
+            spots, target = [x[block] for x in places], counts[block] / total
+            hidden, logp = forward(spots)
+            slope = np.exp(logp) * target.sum(axis=1, keepdims=True) - target
+            back = (slope @ p[5].T) * (1 - hidden * hidden)
+            for k in range(4):
+                np.add.at(grads[k], spots[k], back)
+            grads[4] += back.sum(axis=0)
+            grads[5] += hidden.T @ slope
+            grads[6] += slope.sum(axis=0)
         for k, g in enumerate(grads):
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             p[k] = p[k] - 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-9)
-    return forward(places)[1].astype(np.float32)
+    out = np.empty((shape.windows, c), dtype=np.float32)
+    for at in range(0, shape.windows, 16_384):
+        out[at : at + 16_384] = forward([x[at : at + 16_384] for x in places])[1]
+    return out
 
 
 def frequent_words(counts: DataFrame, most: int) -> list:
@@ -218,62 +243,81 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 def learn(docs: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> Model:
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counts = cut(word_counts(texts, shape))
+    shape = shape.grown(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     top = frequent_words(counts, shape.vocabulary)
     words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     amount = np.array([r["c"] for r in top], dtype=np.float64)
     suffix = np.array([r["suffix"] for r in top], dtype=np.int64)
     singles = np.sort(words[: shape.singles])
 
-    classes = classes_of(words, suffix, singles, shape)
-    by_suffix = {r["suffix"]: (r["c"], r["kinds"]) for r in counts.groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds")).collect()}
-    whole, kinds = np.zeros(shape.classes), np.zeros(shape.classes)
-    for k, (c, n) in by_suffix.items():
-        whole[1 + shape.singles + k], kinds[1 + shape.singles + k] = c, n
-    single = classes <= shape.singles
-    np.subtract.at(whole, 1 + shape.singles + suffix[single], amount[single])
-    np.subtract.at(kinds, 1 + shape.singles + suffix[single], 1)
-    np.add.at(whole, classes[single], amount[single])
-    np.add.at(kinds, classes[single], 1)
-    rest, rest_kinds = whole.copy(), kinds.copy()
-    np.subtract.at(rest, classes, amount)
-    np.subtract.at(rest_kinds, classes, 1)
-    bound = np.log(np.maximum(whole + 1, 1))  # one count is kept for words never seen
-    other = np.log((rest + 1) / np.maximum(rest_kinds + 1, 1)) - bound
+    whole = np.zeros(shape.classes)
+    for r in counts.groupBy((F.col("suffix") % shape.buckets).alias("k")).agg(F.sum("c").alias("c")).collect():
+        whole[1 + shape.singles + r["k"]] = r["c"]
+    own = slice(len(singles))
+    np.subtract.at(whole, 1 + shape.singles + suffix[own] % shape.buckets, amount[own])
+    np.add.at(whole, classes_of(words[own], suffix[own], singles, shape), amount[own])
     order = np.argsort(words)
-    within = (np.log(amount) - bound[classes])[order]
+    # The vocabulary takes whole bins of counts, so the words beyond it are those below its least count; a word that occurs once has logarithm 0.
+    rare = counts.where(F.col("c") > 1).select("word", "c")
+    if len(top):
+        rare = rare.where(F.col("c") < int(amount.min()))
 
     table = np.zeros((shape.windows, shape.classes))
-    cells = window_counts(texts, singles, shape).collect()
-    for r in cells:
-        table.flat[r["cell"]] = r["c"]
-    return Model(shape, singles, words[order], within.astype(np.float32), other.astype(np.float32), train_network(table, shape))
+    cells = window_counts(texts, singles, shape).toArrow()
+    table.flat[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
+    bound = np.log(whole + 1)  # one count is kept for words never seen
+    return Model(shape, singles, words[order], np.log(amount[order]), bound, train_network(table, shape), rare)
 
 
-def token_scores(raw: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of every token of some texts, and each text's first token."""
-    hashes, suffix, first = _group_tokens(raw, model.shape.buckets)
+def _near_scores(raw: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: log-probability without what counts beyond the vocabulary add, whether it is beyond, and hash; each text's first token."""
+    hashes, suffix, first = _group_tokens(raw)
     if not len(hashes):
-        return np.zeros(0), first
+        return np.zeros(0), np.zeros(0, dtype=bool), hashes, first
     classes = classes_of(hashes, suffix, model.single_hashes, model.shape)
-    scores = model.table[window_ids(classes, first, model.shape), classes].astype(np.float64)
-    at = np.minimum(np.searchsorted(model.hashes, hashes), max(len(model.hashes) - 1, 0))
-    known = model.hashes[at] == hashes if len(model.hashes) else np.zeros(len(hashes), dtype=bool)
-    return scores + np.where(known, model.within[at] if len(model.hashes) else 0.0, model.other[classes]), first
+    scores = model.table[window_ids(classes, first, model.shape), classes].astype(np.float64) - model.bound[classes]
+    if not len(model.hashes):
+        return scores, np.ones(len(hashes), dtype=bool), hashes, first
+    at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
+    known = model.hashes[at] == hashes
+    return scores + np.where(known, model.logs[at], 0.0), ~known, hashes, first
+
+
+def _fixed_log(c: Column) -> Column:
+    return F.round(F.log(c) / FIXED).cast("long")
+
+
+def token_scores(raw: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of every token of a few texts, and each text's first token; on the driver."""
+    scores, beyond, hashes, first = _near_scores(raw, model)
+    if beyond.any():
+        wanted = model.rare.sparkSession.createDataFrame([(x,) for x in np.unique(hashes[beyond]).view(np.int64).tolist()], "word long")
+        logs = {r["word"]: r["x"] * FIXED for r in model.rare.join(wanted, "word").select("word", _fixed_log(F.col("c")).alias("x")).collect()}
+        scores[beyond] += [logs.get(x, 0.0) for x in hashes[beyond].view(np.int64).tolist()]
+    return scores, first
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, log_prob, mean_log_prob``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
+    near = replace(model, rare=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                scores, first = token_scores(raw, model)
-                n, sums = np.diff(first), np.array([scores[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
-                mean = [float(s / k) if k else None for s, k in zip(sums, n, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(raw)), "n_tokens": pa.array(n, pa.int64()), "log_prob": pa.array(sums, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())})
+                scores, beyond, hashes, first = _near_scores(raw, near)
+                sums = np.array([scores[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
+                upto = np.concatenate(([0], np.cumsum(beyond)))[first]
+                words = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[beyond].view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(raw)), "n_tokens": pa.array(np.diff(first), pa.int64()), "near": pa.array(sums, pa.float64()), "words": words})
                 at += len(raw)
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, log_prob double, mean_log_prob double")
+    rows = source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, near double, words array<long>")
+    rows = cut(rows).withColumn("row", F.monotonically_increasing_id())
+    # Words beyond the vocabulary are rare, so no count has many rows to meet.
+    far = rows.select("row", F.explode("words").alias("word")).join(model.rare, "word").groupBy("row").agg(F.sum(_fixed_log(F.col("c"))).alias("far"))
+    found = rows.select("row", "doc_id", "n_tokens", "near").join(far, "row", "left")
+    total = F.col("near") + F.coalesce(F.col("far"), F.lit(0)) * F.lit(FIXED)
+    return found.select("doc_id", "n_tokens", total.alias("log_prob"), (total / F.nullif(F.col("n_tokens"), F.lit(0))).alias("mean_log_prob"))

@@ -182,6 +182,21 @@ def test_lm_counts_every_token_and_prefers_real_order(spark):
     assert math.isfinite(lm_score.token_scores([b"new words"], empty)[0].sum())
 
 
+def test_lm_keeps_the_count_of_every_word(spark):
+    """Words beyond the vocabulary have counts of their own, and the classes grow with the corpus."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 301), k=50)) for _ in range(40)] + ["once twice", "twice", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [{r["doc_id"]: r["log_prob"] for r in lm_score.score_texts(docs, lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, vocabulary=v, steps=20))).collect()} for v in (20, 10_000)]
+    assert all(math.isclose(rows[0][k], rows[1][k], abs_tol=1e-6) for k in range(len(texts)))
+    model = lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, vocabulary=20, steps=20))
+    once, twice = lm_score.token_scores([b"zz once"], model)[0][1], lm_score.token_scores([b"zz twice"], model)[0][1]
+    assert math.isclose(twice - once, math.log(2), abs_tol=1e-6)  # both end in "ce"
+    few, many = (lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, steps=1, base_tokens=n)).shape for n in (20_000_000, 125))
+    assert few.classes == 12 and many.classes >= 20
+
+
 # Mixture
 
 
