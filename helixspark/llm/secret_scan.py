@@ -36,6 +36,9 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words after which a string may be a secret.
 SENSITIVE = re.compile(rb"(?i:key|auth|bearer|credential|pwd|passphrase|passwd|password|private|session|signature|cookie|secret|token|login)")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: A sensitive word, the rest of its name and what parts it from a value.
+NAMED = re.compile(SENSITIVE.pattern + rb"(?:[A-Za-z0-9_-]{0,16}?=+|_)")
+MIN_NOVEL = 16
 
 # Identifiers that prime the compressor.
 IDENTIFIERS = b" ".join(
@@ -74,8 +77,33 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(compressor.compress(around + candidate)) - empty) / max(len(candidate), 1)
 
 
+def value_start(own: bytes, led: bool) -> int | None:
+    """Where the value begins in a run that may hold its own name (``key=value``); None if there is none.
+
+    ``led`` says that a sensitive word stands before the run, which then may be the value as a whole.
+    """
+    last = len(own) - MIN_NOVEL
+    named = [m.end() for m in NAMED.finditer(own) if m.end() <= last]
+    if named:
+        return named[-1]
+    word = SENSITIVE.search(own)
+    if word and word.end() <= last and (not led or word.start() == 0):
+        return word.end()
+    return 0 if led else None
+
+
+def surroundings(raw: bytes, s: int, e: int, window: int) -> bytes:
+    """Up to ``window`` bytes on each side, without copies of the string itself, whole or cut by the window's ends."""
+    own, a, z = raw[s:e], max(0, s - window), min(len(raw), e + window)
+    at = raw.find(own, max(0, a - len(own) + 1), min(s, a + len(own) - 1))
+    a = at + len(own) if 0 <= at < a else a
+    at = raw.rfind(own, max(e, z - len(own) + 1), z + len(own) - 1)
+    z = at if 0 <= at < z < at + len(own) else z
+    return raw[a:s].replace(own, b"") + raw[e:z].replace(own, b"")
+
+
 def novel_spans(raw: bytes, taken: list[tuple[int, int, int]], reach: int, window: int, least: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings that begin within ``reach`` bytes after a sensitive word and overlap no base span."""
+    """Incompressible strings that begin within ``reach`` bytes after a sensitive word, or follow it in one run, and overlap no base span."""
     words = [m.end() for m in SENSITIVE.finditer(raw)]
     starts = [s for s, _, _ in taken]
     furthest = list(accumulate((e for _, _, e in taken), max))
@@ -83,12 +111,14 @@ def novel_spans(raw: bytes, taken: list[tuple[int, int, int]], reach: int, windo
     for m in CANDIDATE.finditer(raw) if words else ():
         (s, e), own = m.span(), m.group()
         before = bisect_right(words, s)
-        if not before or s - words[before - 1] > reach:
+        start = value_start(own, bool(before) and s - words[before - 1] <= reach)
+        if start is None:
             continue
+        s, own = s + start, own[start:]
         base = bisect_left(starts, e)
         if base and furthest[base - 1] > s or not (re.search(rb"[0-9]", own) and re.search(rb"[A-Za-z]", own)):
             continue
-        if novelty(own, raw[max(0, s - window) : s] + raw[e : e + window]) >= least:
+        if novelty(own, surroundings(raw, s, e, window)) >= least:
             found.append((s, 3, e))
     return found
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import SPACE_WORD, WORDS, clashing, documents, prose, spark_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,18 @@ def test_secret_base_spans_and_novelty(spark):
     assert clean[1] == "authorization bearer [secret] end" and clean[50] is None and KEY in clean[3]
 
 
+@pytest.mark.parametrize("name", ["private_key=", "AUTH=", "pwd=", "https://x.org/a?session=", "signature=", "credential=", "x&session_id=", "ssh_private_key_", "cookie"])
+def test_values_that_follow_their_name_without_a_blank(spark, name):
+    out = secret_scan.redact_secrets(spark.createDataFrame([(0, f"see {name}{KEY} end")], "doc_id long, text string"))
+    assert out.first()["text"] in (f"see {name}[secret] end", f"see {name.replace('session_id=', 'session_')}[secret] end")
+
+
+def test_a_key_that_stands_twice_is_found_twice(spark):
+    rows = [(0, f"private key {KEY} and again key {KEY} end"), (1, f"key {KEY} {'word ' * 50} key {KEY} end"), (2, "the session_key=placeholder_username_1 here")]
+    found = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k]["n_novel"] for k in range(3)] == [2, 2, 0]
+
+
 # Toxicity
 
 
