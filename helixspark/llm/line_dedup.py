@@ -5,7 +5,9 @@ first template. The tree has fixed depth: a line's branch is its number of
 words, its leaf the first ``depth`` masked words below that. In each leaf the
 most frequent template is the hub; a template that equals the hub in
 ``similarity`` of its places or more joins it, and the places that differ
-become variable. A template recurs if it stands in enough different documents;
+become variable. Templates left over go on in rounds, each with further hubs,
+until every template that shares a block of words with another is a hub or has
+joined one. A template recurs if it stands in enough different documents;
 its lines are dropped in all of them but the first.
 
 How many documents are enough depends on how telling a template is. Lines of
@@ -59,6 +61,42 @@ def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     return lines.select("doc_id", "text_key", "at", n.alias("n"), F.xxhash64(n, head).alias("leaf"), F.xxhash64(n, "masked").alias("template"), "masked")
 
 
+def _near(words: Column, hub_words: Column, rules: LineRules) -> Column:
+    same = F.zip_with(F.split(words, " "), F.split(hub_words, " "), lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda a, x: a + x) >= rules.similarity * F.size(same)
+
+
+def _further_hubs(rest: DataFrame, rules: LineRules) -> DataFrame:
+    """``_t, hub``: the templates of ``rest`` (template, leaf, docs, masked) that join a hub among them.
+
+    Templates that differ in ``d`` places at most agree in one of ``d + 1``
+    blocks of words, so only those that share a block are compared. A template
+    is a hub if it ranks first (by documents, then by hash) in all its blocks;
+    the others join the first hub near them or wait for the next round.
+    """
+    words, n = F.split("masked", " "), F.size(F.split("masked", " "))
+    blocks = (n - F.ceil(rules.similarity * n - 1e-9) + 1).cast("int")
+    edge = lambda i: (F.lit(rules.depth) + F.floor(i * (n - rules.depth) / blocks)).cast("int")
+    block = lambda i: F.xxhash64("leaf", i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " "))
+    rank = F.struct("docs", F.xxhash64("template").alias("h"), "template")
+    keys = rest.select(rank.alias("rank"), F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), block)).alias("key"))
+    texts, steps = rest.select("template", "masked"), []
+    while True:
+        tops = keys.groupBy("key").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "top")
+        keys = cut(keys.join(tops, "key"))
+        if keys.isEmpty():
+            break
+        hubs = keys.groupBy("rank").agg(F.min((F.col("rank") == F.col("top")).cast("int")).alias("first")).where("first = 1").select(F.col("rank").alias("top"))
+        pairs = keys.where(F.col("rank") != F.col("top")).select("rank", "top").distinct().join(hubs, "top")
+        pairs = pairs.join(texts, F.col("rank.template") == texts["template"]).drop("template").join(texts.toDF("_h", "hub_masked"), F.col("top.template") == F.col("_h"))
+        steps.append(cut(pairs.where(_near(F.col("masked"), F.col("hub_masked"), rules)).groupBy("rank").agg(F.max("top").alias("top"))))
+        keys = keys.select("rank", "key").join(steps[-1].select("rank").union(hubs), "rank", "left_anti")
+    out = rest.where("false").select(F.col("template").alias("_t"), F.col("template").alias("hub"))
+    for step in steps:
+        out = out.union(step.select("rank.template", "top.template"))
+    return out
+
+
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``doc_id, text_key, at``: the lines to drop. ``docs`` has doc_id, text and text_key."""
     lines = _lines(docs, rules)
@@ -78,9 +116,13 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     worded = cut(worded.join(counts.select("template", "docs"), "template"))
     hubs = worded.groupBy("leaf").agg(F.max(F.struct("docs", "masked", "template")).alias("hub"))
     pairs = worded.join(hubs.select("leaf", F.col("hub.template").alias("hub"), F.col("hub.masked").alias("hub_masked")), "leaf")
-    same = F.zip_with(F.split("masked", " "), F.split("hub_masked", " "), lambda x, y: (x == y).cast("int"))
-    like = F.aggregate(same, F.lit(0), lambda a, x: a + x) >= rules.similarity * F.size(same)
-    merged = pairs.where((F.col("template") != F.col("hub")) & like).select(F.col("template").alias("_t"), "hub")
+    like = _near(F.col("masked"), F.col("hub_masked"), rules)
+    merged = cut(pairs.where((F.col("template") != F.col("hub")) & like).select(F.col("template").alias("_t"), "hub"))
+
+    rest = worded.join(merged, F.col("template") == F.col("_t"), "left_anti").join(hubs.select("leaf", F.col("hub.template").alias("_h")), "leaf").where("template != _h").drop("_h")
+    crowded = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs")).where((F.col("kinds") > 1) & (F.col("all_docs") >= rules.merged_docs))
+    rest = cut(rest.join(crowded.select("leaf"), "leaf", "left_semi"))
+    merged = merged.union(_further_hubs(rest, rules))
     merged = cut(merged.union(merged.select(F.col("hub").alias("_t"), "hub").distinct()))
 
     # Merged templates are counted by document; a document with several variants counts once.

@@ -216,5 +216,21 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_every_family_of_a_leaf_is_merged(spark):
+    """Families that share word count and leading words, behind a more frequent exact line; and lines like no other."""
+    exact = "the known user may read the office rules in full"
+    families = ["the known user {} logged out of room this morning", "the known user {} has sent us another letter today", "the known user called {} never came back from lunch"]
+    names = [a + b for a in "abcd" for b in "xyz"]
+    rows = [(k, exact) for k in range(30)]
+    rows += [(100 * (f + 1) + k, f"own{'x' * k}\n{line.format(name)}") for f, line in enumerate(families) for k, name in enumerate(names)]
+    rows += [(900 + k, "the known user " + " ".join(f"{name}{c}" for c in "abcdefg")) for k, name in enumerate(names)]
+    assert {len(t.split("\n")[-1].split()) for _, t in rows} == {10}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for f, line in enumerate(families):
+        assert out[100 * (f + 1)] == f"own\n{line.format(names[0])}"
+        assert all(out[100 * (f + 1) + k] == f"own{'x' * k}" for k in range(1, 12))
+    assert out[0] == exact and out[1] == "" and all(out[900 + k] == dict(rows)[900 + k] for k in range(12))
+
+
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
