@@ -8,13 +8,15 @@ make one shingle). Texts are linked if their sets' Jaccard similarity reaches
    rows`` bins and the smallest hash of a bin is its value. Empty bins borrow
    from a filled bin in a fixed random order of their own (optimal
    densification), so sketches of small sets stay comparable.
-2. Equal sets. Texts with the same digest of the whole set are one vertex from
-   here on, however many copies there are.
+2. Equal sets. Texts with the same 128-bit digest of the whole set are one
+   vertex from here on, however many copies there are.
 3. Stars. Vertices that agree in all rows of a band share a bucket. In each
-   bucket only its smallest vertex (the hub) is paired with the others, so
-   pairs grow with the bucket, not with its square. Sizes alone rule out most
-   pairs that can't reach the similarity.
-4. Confirmation on full sets, from the texts, and components of the links.
+   bucket only the vertex that meets most others over all its buckets (the hub;
+   ties go to the largest digest) is paired with the others, so pairs grow with
+   the bucket, not with its square. Sizes alone rule out most pairs that can't
+   reach the similarity.
+4. Confirmation on full sets, word by word from the texts, and components of the
+   links. A hub's text is sent once for each slice of its pairs.
 5. What stars may miss: vertices of one bucket that are in different components
    after that. Every member of a bucket is in the cluster of its hub. In
    clusters that span components, members outside the largest component meet all
@@ -26,9 +28,12 @@ Two texts of similarity s share a bucket with probability 1-(1-s^rows)^bands;
 with the defaults 1 - 5e-6 at 0.8, and more above. Nothing is capped or dropped.
 
 Null texts, and texts without words, have an empty set and are linked with
-nothing. Each row gives one row. Rows that repeat an id keep their own texts; a
-component's id is its smallest document id that isn't null. A row with a null
-id is never the one that stays while its group has another.
+nothing. Each row gives one row; an empty table gives none. Rows that repeat an
+id keep their own texts; a component's id is its smallest document id that isn't
+null. ``drop_near_duplicates`` keeps exactly one row of each group: the one of
+the smallest id (null last), then text key, then the hash of all its columns.
+Other columns of the input, whatever their names, are not looked at. Memory
+follows one group of texts, or one very long text and its hub's.
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import connected_components
+from .joins import join_hot, join_sliced
 from .textcore import group_words, mix, pair_hashes, text_groups, word_hashes
 
 _U = np.uint64
@@ -105,7 +111,7 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     own = shingle_hashes(hashes[first[i] : first[i + 1]], words)
                     sizes.append(len(own))
                     if len(own):
-                        vertices.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
+                        vertices.append(xxhash.xxh3_128_digest(own.tobytes()))
                         keys.append(band_keys(sketch(own, bands * rows), bands, rows).view(np.int64))
                     else:
                         vertices.append(None)
@@ -115,65 +121,70 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                         "doc_id": batch.column("doc_id").slice(at, len(raw)),
                         "text_key": batch.column("text_key").slice(at, len(raw)),
                         "n_shingles": pa.array(sizes, pa.int64()),
-                        "vertex": pa.array(vertices, pa.int64()),
+                        "vertex": pa.array(vertices, pa.binary()),
                         "keys": pa.array(keys, pa.list_(pa.int64())),
                     }
                 )
                 at += len(raw)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, vertex long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, vertex binary, keys array<long>")
+
+
+def exact_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves; white space and lower case as in the sketches."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(words[k:] for k in range(min(width, len(words)))), strict=False))
+
+
+def _numbers(shingles: set[tuple[bytes, ...]]) -> set[int]:
+    return {xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in shingles}
 
 
 def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, schema: str, row):
     """For pairs (a, b): rows of ``schema`` made from both full sets by ``row(a, b, set_a, set_b)``, None for no row.
 
-    b's set is kept while b repeats, so a hub's text is cut into words once per task.
+    b's set is kept while b repeats, so a hub's text is cut into words once per run of pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray | None] = (None, None)
+        held: tuple[bytes | None, set] = (None, set())
         names = [x.split()[0] for x in schema.split(", ")]
-
-        def shingles(text: str) -> np.ndarray:
-            data, _, starts, ends, _ = group_words([text.encode("utf-8", "surrogatepass")], lower=True)
-            return shingle_hashes(word_hashes(data, starts, ends), words)
-
+        kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
         for batch in batches:
             rows = []
             for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
                 if held[0] != b:
-                    held = b, shingles(text_b.as_py())
-                made = row(a, b, shingles(text_a.as_py()), held[1])
+                    held = b, exact_shingles(text_b.as_py(), words)
+                made = row(a, b, exact_shingles(text_a.as_py(), words), held[1])
                 if made is not None:
                     rows.append(made)
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "), strict=True)], names=names)
 
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    pairs = cut(pairs)
+    joined = join_sliced(pairs.join(texts.toDF("a", "text_a"), "a"), texts.toDF("b", "text_b"), "b", F.col("a"))
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
-    def linked(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
-        both = np.concatenate((x, y))
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        return (a, b) if 100 * common >= percent * (len(both) - common) else None
+    def linked(a: bytes, b: bytes, x: set, y: set) -> tuple[bytes, bytes] | None:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return None
+        common = len(x & y)
+        return (a, b) if 100 * common >= percent * (len(x) + len(y) - common) else None
 
-    return _with_sets(pairs, texts, words, "a long, b long", linked)
+    return _with_sets(pairs, texts, words, "a binary, b binary", linked)
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """For pairs (a, b): sizes of both sets, what b's has more (``lost``) and what a's has more (``new``)."""
+    """For pairs (a, b): sizes of both sets, what b's has more (``lost``) and what a's has more (``new``), as hashes of the shingles."""
 
-    def differing(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple:
-        lost, new = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-        return a, b, len(x), len(y), lost.view(np.int64), new.view(np.int64)
+    def differing(a: bytes, b: bytes, x: set, y: set) -> tuple:
+        return a, b, len(x), len(y), sorted(_numbers(y - x)), sorted(_numbers(x - y))
 
-    return _with_sets(pairs, texts, words, "a long, b long, n long, hub_n long, lost array<long>, new array<long>", differing)
+    return _with_sets(pairs, texts, words, "a binary, b binary, n long, hub_n long, lost array<long>, new array<long>", differing)
 
 
 def _links_inside(clusters: DataFrame, percent: int, slice_rows: int) -> DataFrame:
@@ -186,8 +197,8 @@ def _links_inside(clusters: DataFrame, percent: int, slice_rows: int) -> DataFra
     """
     sizes = clusters.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("hub").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    sizes = sizes.select("hub", F.col("largest.comp").alias("largest"), F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))
-    rows = cut(clusters.join(sizes, "hub"))
+    sizes = sizes.select("hub", "c", F.col("largest.comp").alias("largest"), F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))
+    rows = cut(join_hot(clusters, sizes, "hub", "c").drop("c"))
     left = rows.where("comp != largest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     left = left.select("hub", "slice", *[F.col(c).alias(f"{c}_1") for c in ("vertex", "comp", "n", "lost", "new")], "hub_n")
     right = rows.withColumn("slice", F.pmod(F.xxhash64("vertex"), F.col("slices")).cast("int"))
@@ -202,9 +213,11 @@ def _links_inside(clusters: DataFrame, percent: int, slice_rows: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 6, slice_rows: int = 1000) -> DataFrame:
-    """One row per document: ``doc_id, text_key, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, text_key, n_shingles, component_id, kept, component``.
 
-    ``text_key`` is Spark's xxhash64 of the text, to find the row again.
+    ``text_key`` is Spark's xxhash64 of the text, to find the row again;
+    ``component`` names the group, also where all its ids are null, and is null
+    for an empty set.
     """
     percent = round(100 * similarity)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -217,21 +230,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     rows_of = reps.select("vertex", "n", F.explode("keys").alias("key"))
-    crowded = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(rows_of.join(crowded, "key").select("key", "vertex", "n", "size"))
+    ranges = cut(rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).where("size > 1"))
+    members = cut(join_hot(rows_of, ranges.select("key", "size"), "key", "size").select("key", "vertex", "n", "size"))
     weights = members.groupBy("vertex").agg(F.sum("size").alias("weight"))
     members = cut(members.join(weights, "vertex").select("key", "vertex", "n", F.struct(F.col("weight"), F.col("vertex"), F.col("n")).alias("rank")))
+    sizes = ranges.select("key", "size")
 
     def sizes_allow(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    hubs = members.groupBy("key").agg(F.max("rank").alias("hub"))
-    cluster_rows = cut(members.join(hubs, "key").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
+    hubs = members.groupBy("key").agg(F.max("rank").alias("hub")).join(sizes, "key")
+    cluster_rows = cut(join_hot(members, hubs, "key", "size").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
     stars = cluster_rows.where((F.col("vertex") != F.col("hub")) & sizes_allow("n", "hub_n")).select(F.col("vertex").alias("a"), F.col("hub").alias("b"))
 
     # Texts are fetched once, for the vertices of buckets in which sizes allow a link.
-    ranges = members.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
-    wanted = members.join(ranges.where((F.col("size") > 2) | sizes_allow("least", "most")), "key")
+    wanted = join_hot(members, ranges.where((F.col("size") > 2) | sizes_allow("least", "most")), "key", "size")
     wanted = wanted.select("vertex").distinct().join(reps.select("vertex", "doc_id", "text_key"), "vertex")
     texts = source.toDF("i", "text", "k").join(wanted, (F.col("i").eqNullSafe(F.col("doc_id"))) & (F.col("k") == F.col("text_key")))
     texts = cut(texts.select("vertex", "text").dropDuplicates(["vertex"]))
@@ -252,8 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Vertices that share a bucket are in the cluster of its hub. Clusters that span components are looked into.
     clusters = comp_of(cluster_rows.select("vertex", "hub"), "vertex", "comp")
-    split = clusters.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("hub")
-    clusters = cut(clusters.join(split, "hub", "left_semi"))
+    clusters = cut(clusters)
+    split = clusters.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("_size")).where("x != y").select("hub", "_size")
+    clusters = cut(join_hot(clusters, split, "hub", "_size").drop("_size"))
     if not clusters.isEmpty():
         apart = _differences(clusters.where("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")), texts, words)
         apart = cut(apart.withColumnsRenamed({"a": "vertex", "b": "hub"}))
@@ -263,14 +277,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not fresh.isEmpty():
             comps = joined_by(fresh)
 
-    lows = comp_of(reps.select("vertex", "low"), "vertex", "comp")
-    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("vertex", "component_id")
-    out = base.drop("keys").join(lows, "vertex", "left").withColumn("component_id", F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    lows = cut(comp_of(reps.select("vertex", "low"), "vertex", "comp"))
+    lows = join_hot(lows.drop("low"), lows.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_size")), "comp", "_size").select("vertex", "component_id", "comp")
+    copies = base.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.count(F.lit(1)).alias("_size"))
+    groups = lows.join(copies, "vertex")
+    full = join_hot(base.drop("keys").where(F.col("vertex").isNotNull()), groups, "vertex", "_size").select("doc_id", "text_key", "n_shingles", "component_id", F.col("comp").alias("component"))
+    empty = base.where(F.col("vertex").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    return full.unionByName(empty).select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group; all columns as they are."""
-    found = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept"))
-    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_gone_key"]), "left_anti")
+    """``docs`` with exactly one row of each group, also where rows or ids repeat; all columns as they are."""
+    found = cut(near_duplicates(docs, id_col, text_col, **options).where(F.col("component").isNotNull()))
+    at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
+    best = found.groupBy("component").agg(F.min(at).alias("at")).select(F.col("at.doc_id").alias("_best_id"), F.col("at.text_key").alias("_best_key"))
+    rows = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_rows")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    verdicts = rows.join(best, F.col("_id").eqNullSafe(F.col("_best_id")) & (F.col("_key") == F.col("_best_key")), "left")
+    verdicts = cut(verdicts.select("_id", "_key", F.col("_best_key").isNotNull().alias("_stays"), "_rows").where("_rows > 1 or not _stays"))
+    key = F.xxhash64(docs[text_col].cast("string"))
+
+    def on(side: DataFrame):
+        return docs[id_col].eqNullSafe(side["_id"]) & (key == side["_key"])
+
+    single = docs.join(verdicts, on(verdicts), "left_anti")
+    repeated = verdicts.where("_stays")
+    if repeated.isEmpty():
+        return single
+    kinds = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    chosen = docs.join(repeated, on(repeated)).groupBy("_id", "_key").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in kinds])).alias("_row"))
+    return single.unionByName(chosen.select("_row.*"))

@@ -14,6 +14,7 @@ Memory follows one group of texts (two megabytes, or one longer text).
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -53,6 +54,10 @@ class TextGroup:
     def _words(self):
         return group_words(self.raw)
 
+    @cached_property
+    def _bytes(self) -> bytes:
+        return self._words[0].tobytes()
+
     def _per_text(self, flags: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         offsets = np.minimum(self._words[1], len(flags))
@@ -89,6 +94,13 @@ class TextGroup:
         h = word_hashes(*self._words[0:1], *self._words[2:4])
         return pair_hashes(pair_hashes(h[:-2], h[1:-1]), h[2:]) if len(h) > 2 else h[:0]
 
+    def _confirmed(self, base: int, at: np.ndarray) -> np.ndarray:
+        """Those of the windows ``at`` whose three words really stand there twice or more."""
+        raw, (starts, ends) = self._bytes, self._words[2:4]
+        windows = [tuple(raw[starts[k] : ends[k]] for k in range(base + x, base + x + 3)) for x in at.tolist()]
+        seen = Counter(windows)
+        return at[[seen[w] > 1 for w in windows]]
+
     def repeat_words(self, i: int) -> int:
         """Words in three-word windows that text ``i`` holds twice or more."""
         if i not in self._repeats:
@@ -98,7 +110,7 @@ class TextGroup:
             twice = kinds[1:][kinds[1:] == kinds[:-1]]
             found = 0
             if len(twice):
-                at = np.flatnonzero(np.isin(windows, twice))
+                at = self._confirmed(int(first[i]), np.flatnonzero(np.isin(windows, twice)))
                 covered = np.zeros(len(windows) + 2, dtype=bool)
                 for k in range(3):
                     covered[at + k] = True

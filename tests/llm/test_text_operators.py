@@ -279,3 +279,11 @@ def test_urls(spark):
     assert kept.columns == pages.columns and kept.where("url like '%spam%'").count() == 0
     assert url_filter.url_verdicts(pages.where("false"), labels).count() == 0
     assert {r["verdict"] for r in url_filter.url_verdicts(pages, labels.where("false")).collect()} == {"allow", "block"}
+
+
+def test_regular_words_are_not_repeats(spark):
+    from test_words_and_dedup import regular_words
+
+    one, other = (x.decode() for x in regular_words(1024))
+    found = quality_rules.quality_rules(spark_docs(spark, [(1, f"{one} x y {other} x y", "en", "s", 0), (2, f"{one} x y {one} x y", "en", "s", 0)]), digest=True).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in found} == {1: 0, 2: 6}

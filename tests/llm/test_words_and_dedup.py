@@ -27,13 +27,33 @@ def test_words_are_those_of_the_pattern(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_hash_is_the_same_across_blocks(monkeypatch):
-    data = np.frombuffer(b"alpha beta " * 500 + b"x" * 900 + b" alpha", dtype=np.uint8)
-    s, e = textcore.word_limits(data)
-    whole = textcore.word_hashes(data, s, e)
-    monkeypatch.setattr(textcore, "_BLOCK", 64)
-    assert (textcore.word_hashes(data, s, e) == whole).all()
-    assert len(set(whole.tolist())) == 3 and whole[0] == whole[-1]
+def regular_words(n):
+    """A word of two letters without a period, and the same with its letters swapped."""
+    swap, word = bytes.maketrans(b"ab", b"ba"), b"a"
+    while len(word) < n:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+@pytest.mark.parametrize("n", [8, 64, 256, 512, 1024, 4096])
+def test_hashes_of_long_regular_words(n):
+    one, other = regular_words(n)
+    data = np.frombuffer(b" ".join([one, other, b"x" * 900, one, b"alpha", b"x" * 901, b"alpha"]), dtype=np.uint8)
+    hashes = textcore.word_hashes(data, *textcore.word_limits(data)).tolist()
+    assert len(set(hashes)) == 5 and hashes[0] == hashes[3] and hashes[4] == hashes[6]
+
+
+def test_regular_words_are_not_linked(spark):
+    one, other = (x.decode() for x in regular_words(1024))
+    found = minhash_dedup.near_duplicates(spark_docs(spark, [(1, one, "en", "s", 0), (2, other, "en", "s", 0)]), words=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 2)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = "a b c d e f g", "h i j k l m n o"
+    rows = [(1, text, "en", "s", 0), (1, text, "de", "s", 0), (1, text, "en", "s", 0), (None, other, "en", "s", 0), (None, other, "fr", "s", 0), (4, text + " ", "en", "s", 0), (4, None, "en", "s", 0), (4, None, "en", "s", 0)]
+    kept = minhash_dedup.drop_near_duplicates(spark_docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").strip()) for r in kept) == [(0, other), (1, text), (4, ""), (4, "")]
 
 
 # Near duplicates
