@@ -304,5 +304,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if repeated.isEmpty():
         return single
     kinds = [c for c, kind in docs.dtypes if not kind.startswith("map")]
-    chosen = docs.join(repeated, on(repeated)).groupBy("_id", "_key").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in kinds])).alias("_row"))
+    chosen = docs.join(repeated, on(repeated)).groupBy(repeated["_id"], repeated["_key"]).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in kinds])).alias("_row"))
     return single.unionByName(chosen.select("_row.*"))
