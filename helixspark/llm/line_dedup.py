@@ -1,28 +1,34 @@
 r"""Line dedup with a log-template tree; DataFrame functions only.
 
 A line's words are masked where they hold a digit, and the masked line is its
-first template. The tree has fixed depth: a line's branch is its number of
-words, its leaf the first ``depth`` masked words below that. In each leaf the
-most frequent template is the hub; a template that equals the hub in
-``similarity`` of its places or more joins it, and the places that differ
-become variable. Templates left over go on in rounds, each with further hubs,
-until every template that shares a block of words with another is a hub or has
-joined one. A template recurs if it stands in enough different documents;
-its lines are dropped in all of them but the first.
-
-How many documents are enough depends on how telling a template is. Lines of
-``long_words`` words or more without merged variants need ``long_docs``
-documents, shorter ones ``short_docs``, merged ones ``merged_docs``. Copies of a
-whole document thus lose all but one set of their lines.
-
-Only hashes travel: 64-bit hashes of templates and leaves, and the text of
-lines in leaves with several templates and enough documents. Counting sums
-map-side by document first, so a line that a third of all documents share needs
-no task of its own. Texts are shuffled once, with the places to drop.
+template. The tree has fixed depth: a line's branch is its number of words, its
+leaf the first ``depth`` masked words below that. Below a leaf the words that
+follow are cut into ``blocks`` blocks (one word each in lines of ``depth +
+blocks`` words or fewer). A general template leaves ``fields`` of the blocks
+open (one block in lines shorter than ``long_words``) and fixes all others, so
+it holds all lines of the leaf that differ in these blocks only. Each line
+belongs to every general template that fits it; none is chosen by order or
+rank, and a leaf may have any number of them.
+
+A template recurs if it stands in enough different documents, and its lines are
+dropped in all of them but the first. Enough are ``long_docs`` for
+``long_words`` words or more and ``short_docs`` for fewer (``merged_docs`` for
+general templates, which take lines of ``merged_words`` words or more). Shorter
+lines count together too: from each line on, the fewest consecutive lines with
+words that have ``long_words`` words in all are one passage, which recurs like a
+long line. Copies of a whole document thus lose all but one set of their lines.
+
+Only 128-bit digests travel, and the words of lines in leaves with several
+templates. Counting sums map-side by document first, and hot templates are
+joined by a broadcast of bounded size, so a line that a third of all documents
+share needs no task of its own. Texts are shuffled once, with the places to drop.
 
 Null texts stay null, lines without words stay. Which line is first: smallest
-document id (null last), then text key, then place. Each row gives one row;
-rows that repeat id and text are one document. Other columns are untouched.
+document id (null last), then text key, then place; a line that fits several
+recurring templates stays only if it is the first of each. Each row gives one
+row, an empty table none; rows that repeat id and text are one document. Very
+long texts and lines are handled like all others. Other columns are untouched
+and may have any names.
 """
 
 from __future__ import annotations
@@ -33,12 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import join_hot
 
 
 @dataclass(frozen=True)
 class LineRules:
     depth: int = 3
-    similarity: float = 0.8
+    blocks: int = 10
+    fields: int = 2
     long_words: int = 10
     long_docs: int = 2
     short_docs: int = 10
@@ -47,98 +55,111 @@ class LineRules:
     broadcast_leaves: int = 500_000  # of eight bytes; more are joined by a shuffle
 
 
-def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """doc_id, text_key, at (0-based place), n words, leaf and template hashes; and the masked words."""
-    lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    # A word with a digit is a variable field. Most lines have neither a digit nor odd spacing and need no rewriting.
-    masked = F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
-    masked = F.trim(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))
-    odd = F.col("line").rlike(r"[0-9\x09-\x0D]") | F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
-    lines = lines.select("doc_id", "text_key", "at", F.when(odd, masked).otherwise(F.col("line")).alias("masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    head = F.substring_index("masked", " ", rules.depth)
-    return lines.select("doc_id", "text_key", "at", n.alias("n"), F.xxhash64(n, head).alias("leaf"), F.xxhash64(n, "masked").alias("template"), "masked")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
-def _near(words: Column, hub_words: Column, rules: LineRules) -> Column:
-    same = F.zip_with(F.split(words, " "), F.split(hub_words, " "), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda a, x: a + x) >= rules.similarity * F.size(same)
+def _masked_lines(text: Column) -> Column:
+    """The lines of a text (place, masked line, number of words), without those that have no word."""
+    # A word with a digit is a variable field.
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(text)
+    odd = text.rlike(r"[\x09\x0B-\x0D]|\x20\x20|\x20\n|\n\x20|^\x20|\x20\z")
+    even = F.regexp_replace(F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " "), r"(?m)^\x20|\x20$", "")
+    lines = F.split(F.when(odd, even).otherwise(masked), "\n")
+    n = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("masked"), n(x).alias("n"))), lambda x: x["masked"] != "")
 
 
-def _further_hubs(rest: DataFrame, rules: LineRules) -> DataFrame:
-    """``_t, hub``: the templates of ``rest`` (template, leaf, docs, masked) that join a hub among them.
+def _passage(lines: Column, x: Column, i: Column, rules: LineRules) -> Column:
+    """For a short line: the lines from it on that have ``long_words`` words in all; null if the text ends before."""
+    start = F.struct(x["n"].alias("n"), x["masked"].alias("masked"), F.array(x["at"]).alias("places"))
 
-    Templates that differ in ``d`` places at most agree in one of ``d + 1``
-    blocks of words, so only those that share a block are compared. A template
-    is a hub if it ranks first (by documents, then by hash) in all its blocks;
-    the others join the first hub near them or wait for the next round.
-    """
-    words, n = F.split("masked", " "), F.size(F.split("masked", " "))
-    blocks = (n - F.ceil(rules.similarity * n - 1e-9) + 1).cast("int")
-    edge = lambda i: (F.lit(rules.depth) + F.floor(i * (n - rules.depth) / blocks)).cast("int")
-    block = lambda i: F.xxhash64("leaf", i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " "))
-    rank = F.struct("docs", F.xxhash64("template").alias("h"), "template")
-    keys = rest.select(rank.alias("rank"), F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), block)).alias("key"))
-    texts, steps = rest.select("template", "masked"), []
-    while True:
-        tops = keys.groupBy("key").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "top")
-        keys = cut(keys.join(tops, "key"))
-        if keys.isEmpty():
-            break
-        hubs = keys.groupBy("rank").agg(F.min((F.col("rank") == F.col("top")).cast("int")).alias("first")).where("first = 1").select(F.col("rank").alias("top"))
-        pairs = keys.where(F.col("rank") != F.col("top")).select("rank", "top").distinct().join(hubs, "top")
-        pairs = pairs.join(texts, F.col("rank.template") == texts["template"]).drop("template").join(texts.toDF("_h", "hub_masked"), F.col("top.template") == F.col("_h"))
-        steps.append(cut(pairs.where(_near(F.col("masked"), F.col("hub_masked"), rules)).groupBy("rank").agg(F.max("top").alias("top"))))
-        keys = keys.select("rank", "key").join(steps[-1].select("rank").union(hubs), "rank", "left_anti")
-    out = rest.where("false").select(F.col("template").alias("_t"), F.col("template").alias("hub"))
-    for step in steps:
-        out = out.union(step.select("rank.template", "top.template"))
-    return out
+    def add(a: Column, y: Column) -> Column:
+        more = F.struct((a["n"] + y["n"]).alias("n"), F.concat(a["masked"], F.lit("\n"), y["masked"]).alias("masked"), F.concat(a["places"], F.array(y["at"])).alias("places"))
+        return F.when(a["n"] >= rules.long_words, a).otherwise(more)
+
+    found = F.aggregate(F.slice(lines, i + 2, F.lit(rules.long_words - 1)), start, add)
+    return F.when((x["n"] < rules.long_words) & (found["n"] >= rules.long_words), found)
+
+
+def _units(docs: DataFrame, rules: LineRules) -> DataFrame:
+    """doc_id, text_key, key (digest), n words, leaf (null for passages), places: the lines and passages of all texts."""
+    rows = docs.select("doc_id", "text_key", _masked_lines(F.col("text")).alias("ls"))
+    line = lambda x: F.struct(x["masked"].alias("masked"), x["n"].alias("n"), F.array(x["at"]).alias("places"), F.lit(True).alias("single"))
+    passage = lambda p: F.when(p.isNotNull(), F.struct(p["masked"].alias("masked"), p["n"].alias("n"), p["places"].alias("places"), F.lit(False).alias("single")))
+    units = F.concat(F.transform("ls", line), F.filter(F.transform("ls", lambda x, i: passage(_passage(F.col("ls"), x, i, rules))), lambda p: p.isNotNull()))
+    rows = rows.select("doc_id", "text_key", F.explode(units).alias("u"))
+    leaf = F.when(F.col("u.single"), _leaf(F.col("u.n"), F.col("u.masked"), rules))
+    return rows.select("doc_id", "text_key", _digest(F.col("u.masked")).alias("key"), F.least("u.n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "u.places")
+
+
+def _leaf(n: Column, masked: Column, rules: LineRules) -> Column:
+    return F.xxhash64(n, F.substring_index(masked, " ", rules.depth))
+
+
+def _general(masked: Column, n: Column, rules: LineRules) -> Column:
+    """Digests of the general templates that a line fits."""
+    words, m = F.split(masked, " "), n - rules.depth
+    b = F.least(m, F.lit(rules.blocks))
+    edge = lambda i: (F.lit(rules.depth) + F.floor(i * m / b)).cast("int")
+    block = lambda i: F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")
+    head = F.concat_ws(" ", n.cast("string"), F.substring_index(masked, " ", rules.depth))
+
+    def template(blocks: Column, *fields: Column) -> Column:
+        fixed = F.transform(blocks, lambda x, i: F.when(i.isin(*fields), "<?>").otherwise(x))
+        return _digest(F.concat_ws("\n", head, *[f.cast("string") for f in fields], F.array_join(fixed, "\n")))
+
+    blocks, last = F.transform(F.sequence(F.lit(0), b - 1), block), b - 1
+    one = F.transform(F.sequence(F.lit(0), last), lambda i: template(blocks, i))
+    if rules.fields == 1:
+        return one
+    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: template(blocks, i, j))))
+    return F.when(n < rules.long_words, one).otherwise(two)
+
+
+def _first_and_last() -> tuple[Column, Column]:
+    at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
+    return F.min(at).alias("first"), F.max(at).alias("last")
+
+
+def _general_recurring(docs: DataFrame, per_doc: DataFrame, counts: DataFrame, rules: LineRules) -> DataFrame:
+    """``key, first``: lines' templates that fit a general one that recurs, and where the first of those stands."""
+    single = counts.where(F.col("leaf").isNotNull())
+    leaves = single.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
+    leaves = cut(leaves.where((F.col("kinds") > 1) & (F.col("n") >= rules.merged_words) & ((F.col("n") >= rules.long_words) | (F.col("all_docs") >= rules.merged_docs))).select("leaf"))
+    lines = docs.select(F.explode(_masked_lines(F.col("text"))).alias("x")).select("x.masked", "x.n", _leaf(F.col("x.n"), F.col("x.masked"), rules).alias("leaf"))
+    worded = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").distinct()
+    worded = worded.select(_digest(F.col("masked")).alias("key"), F.explode(_general(F.col("masked"), F.col("n"), rules)).alias("general"))
+    fits = cut(worded.join(single.select("key", "n", "docs", "first", "last"), "key"))
+    groups = fits.groupBy("general").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last")).where("kinds > 1")
+    groups = cut(groups.where(((F.col("n") >= rules.long_words) & (F.col("first") != F.col("last"))) | ((F.col("n") < rules.long_words) & (F.col("docs") >= rules.merged_docs))))
+    # Short lines need more documents, which several variants may share. A template in that many is enough by itself, so only rarer ones are looked up.
+    sure = (F.col("n") >= rules.long_words) | (F.col("most") >= rules.merged_docs)
+    if rules.long_docs > 2:
+        sure = F.col("most") >= F.when(F.col("n") >= rules.long_words, rules.long_docs).otherwise(rules.merged_docs)
+    open_ = join_hot(fits.select("key", "general"), groups.where(~sure).select("general", "kinds"), "general", "kinds").select("key", "general")
+    least = F.when(F.col("n") >= rules.long_words, rules.long_docs).otherwise(rules.merged_docs)
+    enough = open_.join(per_doc.select("key", "n", "doc_id", "text_key"), "key").select("general", "n", "doc_id", "text_key").distinct().groupBy("general", "n").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
+    wide = cut(groups.where(sure).select("general", "first", "kinds").unionByName(groups.join(enough.select("general"), "general").select("general", "first", "kinds")))
+    return join_hot(fits.select("key", "general"), wide, "general", "kinds").groupBy("key").agg(F.min("first").alias("first"))
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``doc_id, text_key, at``: the lines to drop. ``docs`` has doc_id, text and text_key."""
-    lines = _lines(docs, rules)
-    thin = lines.select("doc_id", "text_key", "at", "n", "leaf", "template")
-    per_doc = cut(thin.groupBy("template", "leaf", "n", "doc_id", "text_key").agg(F.collect_set("at").alias("places")))
-    # A document is its id and text; rows that repeat both were merged above.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key"))
-    counts = cut(per_doc.groupBy("template", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), first.alias("first")))
-
-    # Leaves with several templates and enough documents: only their lines' words are read.
-    leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
-    leaves = leaves.where((F.col("kinds") > 1) & (F.col("all_docs") >= rules.merged_docs) & (F.col("n") >= rules.merged_words)).select("leaf")
-    leaves = cut(leaves)
-    if leaves.count() <= rules.broadcast_leaves:
-        leaves = F.broadcast(leaves)
-    worded = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("masked").alias("masked"))
-    worded = cut(worded.join(counts.select("template", "docs"), "template"))
-    hubs = worded.groupBy("leaf").agg(F.max(F.struct("docs", "masked", "template")).alias("hub"))
-    pairs = worded.join(hubs.select("leaf", F.col("hub.template").alias("hub"), F.col("hub.masked").alias("hub_masked")), "leaf")
-    like = _near(F.col("masked"), F.col("hub_masked"), rules)
-    merged = cut(pairs.where((F.col("template") != F.col("hub")) & like).select(F.col("template").alias("_t"), "hub"))
-
-    rest = worded.join(merged, F.col("template") == F.col("_t"), "left_anti").join(hubs.select("leaf", F.col("hub.template").alias("_h")), "leaf").where("template != _h").drop("_h")
-    crowded = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs")).where((F.col("kinds") > 1) & (F.col("all_docs") >= rules.merged_docs))
-    rest = cut(rest.join(crowded.select("leaf"), "leaf", "left_semi"))
-    merged = merged.union(_further_hubs(rest, rules))
-    merged = cut(merged.union(merged.select(F.col("hub").alias("_t"), "hub").distinct()))
-
-    # Merged templates are counted by document; a document with several variants counts once.
-    group = per_doc.join(merged, F.col("template") == F.col("_t")).select("hub", "template", "doc_id", "text_key")
-    by_doc = group.groupBy("hub", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("c"))
-    wide = by_doc.groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), first.alias("first")).where(F.col("docs") >= rules.merged_docs)
-    wide = merged.join(wide, "hub").select(F.col("_t").alias("template"), "first")
+    # A document is its id and text; rows that repeat both are merged here.
+    per_doc = cut(_units(docs, rules).groupBy("key", "leaf", "n", "doc_id", "text_key").agg(F.collect_set("places").alias("places")))
+    counts = cut(per_doc.groupBy("key", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), *_first_and_last()))
     enough = F.when(F.col("n") >= rules.long_words, F.lit(rules.long_docs)).otherwise(F.lit(rules.short_docs))
-    exact = counts.where(F.col("docs") >= enough).select("template", "first")
-    dropped = exact.join(wide, "template", "left_anti").union(wide)
+    exact = counts.where(F.col("docs") >= enough).select("key", "first")
+    dropped = exact.unionByName(_general_recurring(docs, per_doc, counts, rules)).groupBy("key").agg(F.min("first").alias("first"))
+    dropped = cut(dropped.join(counts.select("key", "docs"), "key"))
 
-    marked = per_doc.join(dropped, "template")
-    here = marked["doc_id"].eqNullSafe(F.col("first.doc_id")) & marked["text_key"].eqNullSafe(F.col("first.text_key"))
+    marked = join_hot(per_doc.select("key", "doc_id", "text_key", "places"), dropped, "key", "docs")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
     # The first document keeps the first place of the template.
-    places = marked.select("doc_id", "text_key", here.alias("here"), F.array_min("places").alias("lowest"), F.explode("places").alias("at"))
-    return places.where(~F.col("here") | (F.col("at") > F.col("lowest"))).select("doc_id", "text_key", "at")
+    every = F.flatten("places")
+    places = F.when(here, F.array_except(every, F.array_min("places"))).otherwise(every)
+    return marked.select("doc_id", "text_key", F.explode(places).alias("at"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

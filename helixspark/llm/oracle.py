@@ -77,20 +77,25 @@ def mixing(m: Mixture) -> str:
 
 
 def lines(rules: LineRules) -> str:
+    d, long = rules.depth, rules.long_words
+    enough = lambda short: f"CASE WHEN n >= {long} THEN {rules.long_docs} ELSE {short} END"
     return f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
     l AS (SELECT doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM s),
     m AS (SELECT *, list_transform(regexp_extract_all(line, {WORDS}), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM l),
-    t AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS template FROM m),
-    c AS (SELECT template, any_value(n) AS n, any_value(w) AS w, any_value(array_to_string(w[1:{rules.depth}], ' ')) AS head, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM t WHERE n > 0 GROUP BY template),
-    leaf AS (SELECT n, head FROM c GROUP BY n, head HAVING count(*) > 1 AND sum(docs) >= {rules.merged_docs} AND n >= {rules.merged_words}),
-    hub AS (SELECT n, head, template AS hub, w AS hw FROM (SELECT *, row_number() OVER (PARTITION BY n, head ORDER BY docs DESC, template DESC) AS r FROM c JOIN leaf USING (n, head)) WHERE r = 1),
-    near AS (SELECT template, hub FROM c JOIN hub USING (n, head) WHERE template <> hub AND list_sum(list_transform(list_zip(w, hw), lambda x: CASE WHEN x[1] = x[2] THEN 1 ELSE 0 END)) >= {rules.similarity} * n),
-    merged AS (SELECT * FROM near UNION SELECT hub, hub FROM near),
-    wide AS (SELECT hub, min(doc_id) AS first FROM t JOIN merged USING (template) GROUP BY hub HAVING count(DISTINCT doc_id) >= {rules.merged_docs}),
-    wt AS (SELECT template, first FROM merged JOIN wide USING (hub)),
-    gone AS (SELECT template, first FROM c WHERE docs >= CASE WHEN n >= {rules.long_words} THEN {rules.long_docs} ELSE {rules.short_docs} END AND template NOT IN (SELECT template FROM wt) UNION ALL SELECT * FROM wt),
-    k AS (SELECT t.doc_id, place, line, first IS NOT NULL AND NOT (t.doc_id = first AND place = min(place) OVER (PARTITION BY t.doc_id, t.template)) AS dropped FROM t LEFT JOIN gone ON t.template = gone.template AND t.n > 0)
-    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped FROM k GROUP BY doc_id"""
+    t AS (SELECT doc_id, place, w, len(w) AS n, array_to_string(w, ' ') AS key FROM m WHERE len(w) > 0),
+    a AS (SELECT doc_id, list(place ORDER BY place) AS ps, list(n ORDER BY place) AS ns, list(key ORDER BY place) AS ks FROM t GROUP BY doc_id),
+    p AS (SELECT *, list_filter(range(2, {long + 1}), lambda j: k + j - 1 <= len(ns) AND list_sum(ns[k:k + j - 1]) >= {long})[1] AS j FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS k FROM a) WHERE ns[k] < {long}),
+    u AS (SELECT doc_id, key, least(n, {long}) AS n, [place] AS places FROM t UNION ALL SELECT doc_id, array_to_string(ks[k:k + j - 1], chr(10)), {long}, ps[k:k + j - 1] FROM p WHERE j IS NOT NULL),
+    c AS (SELECT key, any_value(n) AS n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM u GROUP BY key),
+    b AS (SELECT key, any_value(w) AS w, any_value(n) AS n, any_value(n) - {d} AS m, least(any_value(n) - {d}, {rules.blocks}) AS b FROM t WHERE n >= {rules.merged_words} GROUP BY key),
+    f AS (SELECT *, unnest(range(CASE WHEN n < {long} THEN i ELSE i + 1 END, CASE WHEN n < {long} THEN i + 1 ELSE b END)) AS j FROM (SELECT *, unnest(range(b)) AS i FROM b)),
+    g AS (SELECT key, least(n, {long}) AS n, n || ' ' || i || ' ' || j || ' ' || array_to_string(w[1:{d}], ' ') || chr(10) || array_to_string(list_transform(range(b), lambda x: CASE WHEN x = i OR x = j THEN '<?>' ELSE array_to_string(w[{d} + x * m // b + 1:{d} + (x + 1) * m // b], ' ') END), chr(10)) AS general FROM f),
+    e AS (SELECT general, any_value(n) AS n, count(DISTINCT key) AS kinds, min(first) AS first FROM g JOIN c USING (key, n) GROUP BY general HAVING count(*) > 1),
+    r AS (SELECT general, any_value(first) AS first FROM (SELECT e.*, u.doc_id FROM e JOIN g USING (general) JOIN u USING (key)) GROUP BY general HAVING count(DISTINCT doc_id) >= {enough(rules.merged_docs).replace('n >=', 'any_value(n) >=')}),
+    x AS (SELECT key, first FROM c WHERE docs >= {enough(rules.short_docs)} UNION ALL SELECT key, first FROM g JOIN r USING (general)),
+    gone AS (SELECT key, min(first) AS first FROM x GROUP BY key),
+    k AS (SELECT doc_id, unnest(CASE WHEN doc_id = first THEN list_filter(places, lambda q: NOT list_contains(low, q)) ELSE places END) AS place FROM (SELECT u.*, first, min(places) OVER (PARTITION BY u.doc_id, key) AS low FROM u JOIN gone USING (key)))
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped FROM (SELECT l.*, q.place IS NOT NULL AS dropped FROM l LEFT JOIN (SELECT DISTINCT * FROM k) q USING (doc_id, place)) GROUP BY doc_id"""
 
 
 def urls(tree: Tree) -> str:
