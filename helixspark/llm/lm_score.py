@@ -1,29 +1,33 @@
 r"""Masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
-Every token (lower-cased run of non-white-space) is predicted from the two
-tokens on each side of it; the sum of the log-probabilities scores a text. The
-output is factored: the network gives the token's class, and the corpus the
-token within its class.
-
-* Classes: the text boundary, one for each of the ``singles`` most frequent
-  words, and ``buckets`` classes of the other words by their last two bytes.
-* Gathered from all documents: counts of words (a table that grows with the
-  corpus), and counts of class windows. The outer places of a window know only
-  boundary, frequent or other, so there are at most ``9 * classes**3`` windows.
-* The network (summed embeddings of the four places, tanh, softmax) is trained
-  on the window counts, that is on every token of the corpus, by full-batch
-  Adam on the driver; its cost follows the windows. Its output for every
-  window is one table, so scoring looks up and adds.
-* Within a class: every word of the corpus by its own count. The ``vocabulary``
-  most frequent ones travel with the model; a text's other words are joined with
-  the distributed counts. ``vocabulary`` decides only what is joined, no score.
-* The classes grow with the fourth root of the tokens beyond ``base_tokens``,
-  so the windows grow a little slower than the corpus.
+Every token (lower-cased run of non-white-space) is predicted from the
+``reach`` tokens on each side of it, with itself left out of all counts; the
+sum of the log-probabilities scores a text. A word's probability has two parts:
+
+* Its cell, by the network. The ``own`` most frequent words have cells of their
+  own, all others share ``suffixes`` cells by their last three bytes. Cells are
+  the network's input, so every word has an embedding, and its output: summed,
+  place-scaled embeddings of the neighbours, tanh, then a softmax over classes
+  of ``members`` cells and one over the members of the class, both of them given
+  the context.
+* The word in its cell, by its own count over the whole corpus. A word that
+  occurs nowhere else takes the share of words that occur once, spread over all
+  spellings by a byte-pair model.
+
+Gathered from all documents: counts of every word (a distributed table that
+grows with the corpus), counts of byte pairs, and the network. Each task trains
+on its tokens, in rounds; after a round the tasks' weights are averaged by their
+numbers of tokens, block by block in the cluster. The first round takes a
+sixteenth of every group of texts, the last one all tokens. The driver holds one
+network, ``vocabulary`` words and some sums by cell. That vocabulary travels
+with the model, a text's other words are joined with the distributed counts;
+``vocabulary`` decides only what is joined, no score.
 
 Null texts and texts without words have no tokens, sum 0 and a null mean. An
-empty corpus gives an empty result. Each row gives one row, with a null id too.
-The sums are integers (logarithms of joined counts in fixed point), so results
-don't depend on how rows are dealt.
+empty corpus gives an empty result. Each row gives one row, repeated rows and
+null ids too; other columns are not looked at. Memory follows one group of texts
+(two megabytes, or one longer text). Weights depend in their last digits on how
+rows are dealt to tasks; all counts do not.
 """
 
 from __future__ import annotations
@@ -37,82 +41,209 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textcore import group_words, text_groups, word_hashes
+from .textcore import SPACES, group_words, mix, text_groups, word_hashes
 
 _U = np.uint64
-COARSE = 3
 #: Logarithms of joined counts are summed as whole multiples of this.
 FIXED = 2.0**-32
+_BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
 class Shape:
-    singles: int = 15
-    buckets: int = 16
+    own: int = 2048
+    suffixes: int = 2048
+    members: int = 64
+    reach: int = 2
+    hidden: int = 32
     vocabulary: int = 65_536
-    hidden: int = 24
-    steps: int = 250
+    batch: int = 4096
+    rate: float = 0.1
+    rounds: tuple[float, ...] = (0.0625, 1.0)
     seed: int = 5
-    base_tokens: int = 20_000_000
-
-    def grown(self, tokens: int) -> Shape:
-        """The shape for a corpus of so many tokens."""
-        factor = max(1.0, tokens / self.base_tokens) ** 0.25
-        return replace(self, singles=round(self.singles * factor), buckets=round(self.buckets * factor))
 
     @property
-    def classes(self) -> int:
-        return 1 + self.singles + self.buckets
+    def cells(self) -> int:
+        return self.own + self.suffixes
 
     @property
-    def windows(self) -> int:
-        return (COARSE * self.classes) ** 2
+    def classes(self) -> int:
+        return self.cells // self.members
+
+
+class Network:
+    """The weights, and Adagrad steps over batches of (neighbours' cells, cell)."""
+
+    def __init__(self, shape: Shape, weights: list[np.ndarray]):
+        self.shape, self.weights = shape, weights
+
+    @staticmethod
+    def shapes(s: Shape) -> list[tuple[int, ...]]:
+        """Embeddings, place scales, hidden offsets, class weights and offsets, member weights and offsets."""
+        return [(s.cells + 1, s.hidden), (2 * s.reach, s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes, s.hidden, s.members), (s.classes, s.members)]
+
+    @classmethod
+    def fresh(cls, shape: Shape, totals: np.ndarray) -> Network:
+        """Small random weights around the cells' shares of all tokens."""
+        rng = np.random.default_rng(shape.seed)
+        sizes = cls.shapes(shape)
+        share = (totals + 0.5).reshape(shape.classes, shape.members)
+        offsets = np.log(share.sum(axis=1) / share.sum()), np.log(share / share.sum(axis=1, keepdims=True))
+        draw = lambda size, scale: rng.normal(0, scale, size)
+        made = [draw(sizes[0], 0.2), np.ones(sizes[1]), np.zeros(sizes[2]), draw(sizes[3], 0.1), offsets[0], draw(sizes[5], 0.1), offsets[1]]
+        return cls(shape, [x.astype(np.float32) for x in made])
+
+    @classmethod
+    def of(cls, shape: Shape, flat: np.ndarray) -> Network:
+        out, at = [], 0
+        for size in cls.shapes(shape):
+            n = int(np.prod(size))
+            out.append(flat[at : at + n].reshape(size).astype(np.float32))
+            at += n
+        return cls(shape, out)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.weights])
+
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        embeddings, scales, out = self.weights[0], self.weights[1], self.weights[2]
+        for k in range(near.shape[1]):
+            out = out + embeddings[near[:, k]] * scales[k]
+        return np.tanh(out, out=out)
+
+    def log_probs(self, near: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Log-probability of each token's cell given its neighbours' cells."""
+        s, (_, _, _, w1, c1, w2, c2) = self.shape, self.weights
+        out = np.empty(len(cell), dtype=np.float64)
+        for at in range(0, len(cell), _BLOCK):
+            order = at + np.argsort(cell[at : at + _BLOCK] // s.members, kind="stable")
+            h = self.hidden(near[order])
+            kind, member = np.divmod(cell[order], s.members)
+            logp = _log_softmax(h @ w1 + c1)[np.arange(len(kind)), kind].astype(np.float64)
+            for k, x, y in _segments(kind):
+                logp[x:y] += _log_softmax(h[x:y] @ w2[k] + c2[k])[np.arange(y - x), member[x:y]]
+            out[order] = logp
+        return out
+
+    def train(self, near: np.ndarray, cell: np.ndarray, memory: list[np.ndarray]) -> None:
+        """One Adagrad step; ``memory`` holds the squared slopes so far."""
+        s, p = self.shape, self.weights
+        order = np.argsort(cell // s.members, kind="stable")
+        near, (kind, member) = near[order], np.divmod(cell[order], s.members)
+        h = self.hidden(near)
+        slope = _softmax(h @ p[3] + p[4])
+        slope[np.arange(len(kind)), kind] -= 1
+        back = slope @ p[3].T
+        self._step(3, memory, h.T @ slope)
+        self._step(4, memory, slope.sum(axis=0))
+        segments = _segments(kind)
+        inner = np.empty((len(kind), s.members), dtype=np.float32)
+        for k, x, y in segments:
+            inner[x:y] = h[x:y] @ p[5][k] + p[6][k]
+        inner = _softmax(inner)
+        inner[np.arange(len(kind)), member] -= 1
+        at = np.array([k for k, _, _ in segments])
+        slopes = np.empty((len(at), s.hidden, s.members), dtype=np.float32)
+        for i, (k, x, y) in enumerate(segments):
+            back[x:y] += inner[x:y] @ p[5][k].T
+            slopes[i] = h[x:y].T @ inner[x:y]
+        self._step(5, memory, slopes, at)
+        self._step(6, memory, np.add.reduceat(inner, [x for _, x, _ in segments], axis=0), at)
+        back *= 1 - h * h
+        self._step(2, memory, back.sum(axis=0))
+        # Slopes of the places' embeddings, added up by cell.
+        by_cell = np.argsort(near, axis=None, kind="stable")
+        rows, scales = near.ravel()[by_cell], p[1].copy()
+        for k in range(near.shape[1]):
+            self._step(1, memory, (p[0][near[:, k]] * back).sum(axis=0), k)
+        row, place = np.divmod(by_cell, near.shape[1])
+        new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        self._step(0, memory, np.add.reduceat(back[row] * scales[place], new, axis=0), rows[new])
+
+    def _step(self, which: int, memory: list[np.ndarray], slope: np.ndarray, at=slice(None)) -> None:
+        seen = memory[which][at] + slope * slope
+        memory[which][at] = seen
+        self.weights[which][at] -= self.shape.rate * slope / np.sqrt(seen + 1e-6)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def _segments(kind: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, end) of the runs of a sorted array."""
+    new = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))).tolist()
+    return [(int(kind[x]), x, y) for x, y in zip(new, [*new[1:], len(kind)], strict=True)]
 
 
 @dataclass(frozen=True)
 class Model:
     shape: Shape
-    single_hashes: np.ndarray  # sorted
+    own_hashes: np.ndarray  # sorted hashes of the words with cells of their own
+    own_cells: np.ndarray  # their cells
     hashes: np.ndarray  # sorted vocabulary
-    logs: np.ndarray  # logarithm of each vocabulary word's count
-    bound: np.ndarray  # logarithm of each class's count
-    table: np.ndarray  # log-probability of class by window
+    counts: np.ndarray  # of the vocabulary's words
+    totals: np.ndarray  # tokens by cell
+    once: np.ndarray  # words that occur once, by cell
+    spelling: np.ndarray  # log-probability of a byte after another; 0 is a word's border
+    network: Network | None = None
     rare: DataFrame | None = None  # ``word, c`` of all words beyond the vocabulary that occur twice or more
 
 
-def suffix_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number of the last two bytes; its remainder by ``buckets`` is the bucket."""
-    last = data[ends - 1].astype(np.int64)
-    second = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-    return last * 31 + second * 17
+@dataclass(frozen=True)
+class Tokens:
+    """The words of some texts."""
+
+    hashes: np.ndarray
+    suffix: np.ndarray
+    first: np.ndarray  # each text's first word
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
-def _group_tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and suffix keys of all words, and each text's first word."""
+def tokens_of(raw: list[bytes]) -> Tokens:
     data, _, starts, ends, first = group_words(raw, lower=True)
-    return word_hashes(data, starts, ends), suffix_keys(data, starts, ends), first
+    suffix = np.zeros(len(ends), dtype=np.int64)
+    for k in range(1, 4):
+        suffix = suffix * 256 + np.where(ends - starts >= k, data[np.maximum(ends - k, 0)], 0)
+    return Tokens(word_hashes(data, starts, ends), suffix, first, data, starts, ends)
+
 
+def suffix_cells(suffix: np.ndarray, shape: Shape) -> np.ndarray:
+    return shape.own + (mix(suffix.astype(np.uint64) + _U(1)) % _U(shape.suffixes)).astype(np.int64)
 
-def classes_of(hashes: np.ndarray, suffix: np.ndarray, singles: np.ndarray, shape: Shape) -> np.ndarray:
-    out = suffix % shape.buckets + 1 + shape.singles
-    if len(singles):
-        at = np.minimum(np.searchsorted(singles, hashes), len(singles) - 1)
-        own = singles[at] == hashes
-        out[own] = at[own] + 1
+
+def cells_of(tokens: Tokens, own_hashes: np.ndarray, own_cells: np.ndarray, shape: Shape) -> np.ndarray:
+    out = suffix_cells(tokens.suffix, shape)
+    if len(own_hashes):
+        at = np.minimum(np.searchsorted(own_hashes, tokens.hashes), len(own_hashes) - 1)
+        out = np.where(own_hashes[at] == tokens.hashes, own_cells[at], out)
     return out
 
 
-def window_ids(classes: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
-    """The window of each token: outer left, left, right, outer right; texts are bounded by class 0."""
-    n = len(classes)
-    texts = len(first) - 1
-    owner = np.repeat(np.arange(texts), np.diff(first))
-    padded = np.zeros(n + 2 * texts + 2, dtype=np.int64)
-    at = np.arange(n) + 2 * owner + 2
-    padded[at] = classes
-    coarse = np.minimum(np.where(padded == 0, 0, np.where(padded <= shape.singles, 1, 2)), COARSE - 1)
-    c = shape.classes
-    return ((coarse[at - 2] * c + padded[at - 1]) * c + padded[at + 1]) * COARSE + coarse[at + 2]
+def neighbours(cells: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
+    """The cells around each token, left ones first; beyond a text's borders a cell of its own."""
+    r, texts = shape.reach, len(first) - 1
+    at = np.arange(len(cells)) + r * (np.repeat(np.arange(texts), np.diff(first)) + 1)
+    padded = np.full(len(cells) + r * (texts + 1), shape.cells, dtype=np.int32)
+    padded[at] = cells
+    return np.stack([padded[at + k] for k in (*range(-r, 0), *range(1, r + 1))], axis=1)
+
+
+def byte_pairs(tokens: Tokens) -> np.ndarray:
+    """For every place of the data, its byte and the one after it as one number; borders of words are 0."""
+    data = np.where(SPACES[tokens.data], 0, tokens.data).astype(np.int64)
+    return np.concatenate(([0], data)) * 256 + np.concatenate((data, [0]))
 
 
 def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
@@ -137,11 +268,11 @@ def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
         size = 0
         for batch in batches:
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                hashes, suffix, _ = _group_tokens(raw)
-                if not len(hashes):
+                tokens = tokens_of(raw)
+                if not len(tokens.hashes):
                     continue
-                kinds, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-                held.append(np.stack([kinds, suffix[at].astype(np.uint64), counts.astype(np.uint64)]))
+                kinds, at, counts = np.unique(tokens.hashes, return_index=True, return_counts=True)
+                held.append(np.stack([kinds, tokens.suffix[at].astype(np.uint64), counts.astype(np.uint64)]))
                 size += len(kinds)
                 if size > 2 * full:
                     held[:] = [merged()]
@@ -157,68 +288,52 @@ def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
     return rows.groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
-def window_counts(texts: DataFrame, singles: np.ndarray, shape: Shape) -> DataFrame:
-    """``cell`` (window and class) and ``c`` over all tokens; at most ``windows * classes`` rows."""
-    cells = shape.windows * shape.classes
+def train_round(texts: DataFrame, network: Network, own: tuple[np.ndarray, np.ndarray], share: float) -> tuple[Network, np.ndarray]:
+    """The average of the networks that the tasks train on ``share`` of their tokens, and counts of byte pairs."""
+    shape, start = network.shape, network.flat()
+    blocks = -(-len(start) // _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        mine = Network.of(shape, start)
+        memory = [np.zeros_like(x) for x in mine.weights]
+        pairs, seen, groups = np.zeros(1 << 16, dtype=np.float64), 0, 0
         for batch in batches:
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                hashes, suffix, first = _group_tokens(raw)
-                if len(hashes):
-                    classes = classes_of(hashes, suffix, singles, shape)
-                    at = window_ids(classes, first, shape) * shape.classes + classes
-                    if cells <= 4 * len(at):
-                        total += np.bincount(at, minlength=cells)
-                    else:
-                        kinds, counts = np.unique(at, return_counts=True)
-                        total[kinds] += counts
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(found.astype(np.int32)), "c": pa.array(total[found])})
-
-    return texts.mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-
-
-def train_network(counts: np.ndarray, shape: Shape) -> np.ndarray:
-    """Log-probabilities of the classes for every window, by Adam on weighted windows (``windows`` x ``classes``)."""
-    c, h = shape.classes, shape.hidden
-    window = np.arange(shape.windows)
-    places = [window // (COARSE * c * c), window // (COARSE * c) % c, window // COARSE % c, window % COARSE]
-    sizes = [COARSE, c, c, COARSE]
-    rng = np.random.default_rng(shape.seed)
-    p = [rng.normal(0, 0.3, (n, h)) for n in sizes] + [np.zeros(h), rng.normal(0, 0.3, (h, c)), np.log((counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * c))]
-    mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    seen = np.flatnonzero(counts.sum(axis=1))
-    total = max(counts.sum(), 1)
-    blocks = [seen[at : at + 16_384] for at in range(0, len(seen), 16_384)]
-
-    def forward(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(sum(p[k][at[k]] for k in range(4)) + p[4])
-        logits = hidden @ p[5] + p[6]
-        logits -= logits.max(axis=1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    for step in range(1, shape.steps + 1 if len(seen) else 1):
-        grads = [np.zeros_like(x) for x in p]
-        for block in blocks:
-            spots, target = [x[block] for x in places], counts[block] / total
-            hidden, logp = forward(spots)
-            slope = np.exp(logp) * target.sum(axis=1, keepdims=True) - target
-            back = (slope @ p[5].T) * (1 - hidden * hidden)
-            for k in range(4):
-                np.add.at(grads[k], spots[k], back)
-            grads[4] += back.sum(axis=0)
-            grads[5] += hidden.T @ slope
-            grads[6] += slope.sum(axis=0)
-        for k, g in enumerate(grads):
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.99 * square[k] + 0.01 * g * g
-            p[k] = p[k] - 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-9)
-    out = np.empty((shape.windows, c), dtype=np.float32)
-    for at in range(0, shape.windows, 16_384):
-        out[at : at + 16_384] = forward([x[at : at + 16_384] for x in places])[1]
-    return out
+                tokens = tokens_of(raw)
+                if not len(tokens.hashes):
+                    continue
+                pairs += np.bincount(byte_pairs(tokens), minlength=1 << 16)
+                cells = cells_of(tokens, *own, shape)
+                near = neighbours(cells, tokens.first, shape)
+                order = np.random.default_rng([shape.seed, groups]).permutation(len(cells))[: max(1, round(share * len(cells)))]
+                for at in range(0, len(order), shape.batch):
+                    mine.train(near[order[at : at + shape.batch]], cells[order[at : at + shape.batch]], memory)
+                seen += len(order)
+                groups += 1
+        if seen:
+            made = mine.flat().astype(np.float64) * seen
+            rows = [(k, float(seen), made[k * _BLOCK : (k + 1) * _BLOCK]) for k in range(blocks)]
+            rows += [(blocks + k, 1.0, pairs[k * _BLOCK : (k + 1) * _BLOCK]) for k in range((1 << 16) // _BLOCK)]
+            yield _block_rows(rows)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for k, seen, made in zip(batch.column("block").to_pylist(), batch.column("seen").to_pylist(), batch.column("made").to_pylist(), strict=True):
+                held = sums.setdefault(k, [0.0, 0.0])
+                held[0], held[1] = held[0] + seen, held[1] + np.frombuffer(made, dtype=np.float64)
+        yield _block_rows([(k, *held) for k, held in sorted(sums.items())])
+
+    schema = "block int, seen double, made binary"
+    found = {r["block"]: (r["seen"], np.frombuffer(r["made"], dtype=np.float64)) for r in texts.mapInArrow(run, schema).repartition(blocks, "block").mapInArrow(total, schema).collect()}
+    if not found:
+        return network, np.zeros(1 << 16)
+    flat = np.concatenate([found[k][1] / found[k][0] for k in range(blocks)])
+    return Network.of(shape, flat), np.concatenate([found[blocks + k][1] for k in range((1 << 16) // _BLOCK)])
+
+
+def _block_rows(rows: list[tuple[int, float, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "seen": pa.array([r[1] for r in rows], pa.float64()), "made": pa.array([np.asarray(r[2]).tobytes() for r in rows], pa.binary())})
 
 
 def frequent_words(counts: DataFrame, most: int) -> list:
@@ -243,81 +358,119 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 def learn(docs: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> Model:
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counts = cut(word_counts(texts, shape))
-    shape = shape.grown(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     top = frequent_words(counts, shape.vocabulary)
     words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     amount = np.array([r["c"] for r in top], dtype=np.float64)
     suffix = np.array([r["suffix"] for r in top], dtype=np.int64)
-    singles = np.sort(words[: shape.singles])
-
-    whole = np.zeros(shape.classes)
-    for r in counts.groupBy((F.col("suffix") % shape.buckets).alias("k")).agg(F.sum("c").alias("c")).collect():
-        whole[1 + shape.singles + r["k"]] = r["c"]
-    own = slice(len(singles))
-    np.subtract.at(whole, 1 + shape.singles + suffix[own] % shape.buckets, amount[own])
-    np.add.at(whole, classes_of(words[own], suffix[own], singles, shape), amount[own])
-    order = np.argsort(words)
-    # The vocabulary takes whole bins of counts, so the words beyond it are those below its least count; a word that occurs once has logarithm 0.
+    n_own = min(len(top), shape.own)
+    by_hash = np.argsort(words[:n_own])
+    own = words[:n_own][by_hash], by_hash.astype(np.int64)
+
+    # Three bytes make 16 million suffixes at most; the cells' sums are made from far fewer that occur.
+    totals, once = np.zeros(shape.cells), np.zeros(shape.cells)
+    sums = counts.groupBy("suffix").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).mapInArrow(_cell_sums(shape), "cell int, c long, once long")
+    for r in sums.groupBy("cell").agg(F.sum("c").alias("c"), F.sum("once").alias("once")).collect():
+        totals[r["cell"]], once[r["cell"]] = r["c"], r["once"]
+    shared = suffix_cells(suffix[:n_own], shape)
+    np.subtract.at(totals, shared, amount[:n_own])
+    np.subtract.at(once, shared, amount[:n_own] == 1)
+    totals[:n_own] = amount[:n_own]
+
+    network, pairs = Network.fresh(shape, totals), np.zeros(1 << 16)
+    for share in shape.rounds:
+        network, pairs = train_round(texts, network, own, share)
+    pairs = pairs.reshape(256, 256)
+    pairs[0, 0] = 0
+    spelling = np.log((pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True))
+    # The vocabulary takes whole bins of counts, so the words beyond it are those below its least count.
     rare = counts.where(F.col("c") > 1).select("word", "c")
     if len(top):
         rare = rare.where(F.col("c") < int(amount.min()))
-
-    table = np.zeros((shape.windows, shape.classes))
-    cells = window_counts(texts, singles, shape).toArrow()
-    table.flat[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
-    bound = np.log(whole + 1)  # one count is kept for words never seen
-    return Model(shape, singles, words[order], np.log(amount[order]), bound, train_network(table, shape), rare)
+    order = np.argsort(words)
+    return Model(shape, *own, words[order], amount[order], totals, once, spelling, network, rare)
 
 
-def _near_scores(raw: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: log-probability without what counts beyond the vocabulary add, whether it is beyond, and hash; each text's first token."""
-    hashes, suffix, first = _group_tokens(raw)
-    if not len(hashes):
-        return np.zeros(0), np.zeros(0, dtype=bool), hashes, first
-    classes = classes_of(hashes, suffix, model.single_hashes, model.shape)
-    scores = model.table[window_ids(classes, first, model.shape), classes].astype(np.float64) - model.bound[classes]
-    if not len(model.hashes):
-        return scores, np.ones(len(hashes), dtype=bool), hashes, first
-    at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
-    known = model.hashes[at] == hashes
-    return scores + np.where(known, model.logs[at], 0.0), ~known, hashes, first
+def _cell_sums(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = suffix_cells(batch.column("suffix").to_numpy().astype(np.int64), shape)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32)), "c": batch.column("c"), "once": batch.column("once")})
 
+    return run
 
-def _fixed_log(c: Column) -> Column:
-    return F.round(F.log(c) / FIXED).cast("long")
 
+def _near_scores(raw: list[bytes], model: Model, seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tokens]:
+    """Of every token: log-probability as far as the model alone tells, whether its count must be joined, and what a joined count replaces.
 
-def token_scores(raw: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    ``seen`` is 1 if the texts are part of the corpus, whose own token is left out, else 0.
+    """
+    tokens = tokens_of(raw)
+    if not len(tokens.hashes):
+        return np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0), tokens
+    shape = model.shape
+    cells = cells_of(tokens, model.own_hashes, model.own_cells, shape)
+    scores = model.network.log_probs(neighbours(cells, tokens.first, shape), cells)
+    new = model.once + 1.0
+    letters = np.concatenate(([0.0], np.cumsum(model.spelling.ravel()[byte_pairs(tokens)])))
+    novel = np.log(new[cells]) + letters[tokens.ends + 1] - letters[tokens.starts]
+    alone = cells < shape.own
+    scores -= np.where(alone, 0.0, np.log(np.maximum(model.totals - seen, 0.0) + new)[cells])
+    known = alone
+    if len(model.hashes):
+        at = np.minimum(np.searchsorted(model.hashes, tokens.hashes), len(model.hashes) - 1)
+        known = alone | (model.hashes[at] == tokens.hashes)
+        left = np.where(known, model.counts[at] - seen, 0.0)
+        scores += np.where(alone, 0.0, np.where(known & (left > 0), np.log(np.maximum(left, 1.0)), novel))
+    else:
+        scores += novel
+    return scores, ~known, novel, tokens
+
+
+def _fixed(x: Column) -> Column:
+    return F.round(x / FIXED).cast("long")
+
+
+def token_scores(raw: list[bytes], model: Model, in_corpus: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of every token of a few texts, and each text's first token; on the driver."""
-    scores, beyond, hashes, first = _near_scores(raw, model)
+    scores, beyond, novel, tokens = _near_scores(raw, model, int(in_corpus))
     if beyond.any():
-        wanted = model.rare.sparkSession.createDataFrame([(x,) for x in np.unique(hashes[beyond]).view(np.int64).tolist()], "word long")
-        logs = {r["word"]: r["x"] * FIXED for r in model.rare.join(wanted, "word").select("word", _fixed_log(F.col("c")).alias("x")).collect()}
-        scores[beyond] += [logs.get(x, 0.0) for x in hashes[beyond].view(np.int64).tolist()]
-    return scores, first
+        hashes = tokens.hashes.view(np.int64)
+        wanted = model.rare.sparkSession.createDataFrame([(x,) for x in np.unique(hashes[beyond]).tolist()], "word long")
+        left = {r["word"]: r["c"] - int(in_corpus) for r in model.rare.join(wanted, "word").collect()}
+        for i in np.flatnonzero(beyond):
+            if left.get(int(hashes[i]), 0) > 0:
+                scores[i] += np.log(left[int(hashes[i])]) - novel[i]
+    return scores, tokens.first
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, log_prob, mean_log_prob``."""
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", in_corpus: bool = True) -> DataFrame:
+    """One row per document: ``doc_id, n_tokens, log_prob, mean_log_prob``.
+
+    ``in_corpus`` says that ``docs`` are among the documents that were learned
+    from, so that each token leaves itself out.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    near = replace(model, rare=None)
+    near, seen = replace(model, rare=None), int(in_corpus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for raw in text_groups(x.as_py() for x in batch.column("text")):
-                scores, beyond, hashes, first = _near_scores(raw, near)
+                scores, beyond, novel, tokens = _near_scores(raw, near, seen)
+                first = tokens.first
                 sums = np.array([scores[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
-                upto = np.concatenate(([0], np.cumsum(beyond)))[first]
-                words = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[beyond].view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(raw)), "n_tokens": pa.array(np.diff(first), pa.int64()), "near": pa.array(sums, pa.float64()), "words": words})
+                upto = pa.array(np.concatenate(([0], np.cumsum(beyond)))[first], pa.int32())
+                words = pa.ListArray.from_arrays(upto, pa.array(tokens.hashes[beyond].view(np.int64)))
+                other = pa.ListArray.from_arrays(upto, pa.array(novel[beyond].astype(np.float32)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(raw)), "n_tokens": pa.array(np.diff(first), pa.int64()), "near": pa.array(sums, pa.float64()), "words": words, "novel": other})
                 at += len(raw)
 
-    rows = source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, near double, words array<long>")
+    rows = source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, near double, words array<long>, novel array<float>")
     rows = cut(rows).withColumn("row", F.monotonically_increasing_id())
     # Words beyond the vocabulary are rare, so no count has many rows to meet.
-    far = rows.select("row", F.explode("words").alias("word")).join(model.rare, "word").groupBy("row").agg(F.sum(_fixed_log(F.col("c"))).alias("far"))
+    tokens = rows.select("row", F.explode(F.arrays_zip("words", "novel")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.novel").alias("novel"))
+    far = tokens.join(model.rare.where(F.col("c") > seen), "word").groupBy("row").agg(F.sum(_fixed(F.log(F.col("c") - seen) - F.col("novel"))).alias("far"))
     found = rows.select("row", "doc_id", "n_tokens", "near").join(far, "row", "left")
     total = F.col("near") + F.coalesce(F.col("far"), F.lit(0)) * F.lit(FIXED)
     return found.select("doc_id", "n_tokens", total.alias("log_prob"), (total / F.nullif(F.col("n_tokens"), F.lit(0))).alias("mean_log_prob"))

@@ -1,9 +1,11 @@
+import collections
 import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -173,41 +175,96 @@ def test_languages(spark):
 # LM scoring
 
 
-def test_lm_counts_every_token_and_prefers_real_order(spark):
+LM_SHAPE = lm_score.Shape(own=16, suffixes=48, members=16, hidden=8, vocabulary=200, batch=64, rounds=(1.0,) * 8)
+
+
+def brute_force_lm(words, corpus, model):
+    """Log-probability of each word of a text of the corpus, from the network's weights and plain counts, one token at a time."""
+    shape, counts = model.shape, collections.Counter(w for t in corpus for w in (t or "").lower().split())
+    e, scale, b, w1, c1, w2, c2 = (x.astype(float) for x in model.network.weights)
+    own = dict(zip(model.own_hashes.tolist(), model.own_cells.tolist(), strict=True))
+
+    def cell(word):
+        tokens = lm_score.tokens_of([word.encode()])
+        return own.get(int(tokens.hashes[0]), int(lm_score.suffix_cells(tokens.suffix, shape)[0]))
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    cells = {w: cell(w) for w in counts}
+    spelled = collections.Counter(p for w, n in counts.items() for p in zip(b"\0" + w.encode(), w.encode() + b"\0", strict=True) for _ in range(n))
+    begins = collections.Counter()
+    for (x, _), n in spelled.items():
+        begins[x] += n
+    out = []
+    for i, w in enumerate(words):
+        near = [cells[words[j]] if 0 <= j < len(words) else shape.cells for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(sum(e[c] * scale[k] for k, c in enumerate(near)) + b)
+        kind, member = divmod(cells[w], shape.members)
+        score = log_softmax(h @ w1 + c1)[kind] + log_softmax(h @ w2[kind] + c2[kind])[member]
+        if cells[w] >= shape.own:
+            inside = [x for x in counts if cells[x] == cells[w]]
+            new = 1 + sum(counts[x] == 1 for x in inside)
+            if counts[w] > 1:
+                score += math.log(counts[w] - 1)
+            else:
+                score += math.log(new) + sum(math.log((spelled[p] + 1) / (begins[p[0]] + 256)) for p in zip(b"\0" + w.encode(), w.encode() + b"\0", strict=True))
+            score -= math.log(sum(counts[x] for x in inside) - 1 + new)
+        out.append(score)
+    return out
+
+
+def test_lm_like_brute_force_and_prefers_real_order(spark):
     rng = random.Random(9)
     texts = [" ".join(w for _ in range(40) for w in ("the", rng.choice(WORDS), "of", "a", rng.choice(WORDS), "is")) for _ in range(60)]
-    rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "the"), (103, " ".join(rng.sample(texts[0].split(), 240)))]
+    rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "the"), (103, " ".join(rng.sample(texts[0].split(), 240))), (104, "Zyx zyxw " + "q" * 3000), (104, "the"), (None, "is")]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
-    shape = lm_score.Shape(singles=6, buckets=5, vocabulary=200, steps=80)
-    counts = lm_score.word_counts(docs.select("text").where("text is not null"), shape)
-    assert counts.agg({"c": "sum"}).first()[0] == sum(len((t or "").split()) for _, t in rows)
-    model = lm_score.learn(docs, shape=shape)
-    assert np.allclose(np.exp(model.table).sum(axis=1), 1, atol=1e-3)
-    found = {r["doc_id"]: r for r in lm_score.score_texts(docs, model).collect()}
-    assert all(found[k]["n_tokens"] == len((t or "").split()) for k, t in rows)
-    assert found[100]["log_prob"] == 0 and found[100]["mean_log_prob"] is None
-    assert found[0]["log_prob"] > found[103]["log_prob"] + 20
-    # One text, token by token.
-    raw = [texts[0].encode()]
-    scores, first = lm_score.token_scores(raw, model)
-    assert first.tolist() == [0, 240] and math.isclose(scores.sum(), found[0]["log_prob"], rel_tol=1e-9)
-    empty = lm_score.learn(docs.where("false"), shape=shape)
-    assert math.isfinite(lm_score.token_scores([b"new words"], empty)[0].sum())
+    corpus = [t for _, t in rows]
+    counts = lm_score.word_counts(docs.select("text").where("text is not null"), LM_SHAPE)
+    assert counts.agg({"c": "sum"}).first()[0] == sum(len((t or "").split()) for t in corpus)
+    model = lm_score.learn(docs, shape=LM_SHAPE)
+    found = {}
+    for r in lm_score.score_texts(docs, model).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    assert sorted(r["n_tokens"] for x in found.values() for r in x) == sorted(len((t or "").split()) for t in corpus)
+    assert found[100][0]["log_prob"] == 0 and found[100][0]["mean_log_prob"] is None and len(found[None]) == 1
+    assert found[0][0]["log_prob"] > found[103][0]["log_prob"] + 20
+    for i in (0, 7, 64):
+        words = corpus[i].lower().split()
+        ours, _ = lm_score.token_scores([corpus[i].encode()], model)
+        plain = brute_force_lm(words, corpus, model)
+        assert np.allclose(ours, plain, atol=1e-3)
+        same = [r["log_prob"] for r in found[rows[i][0]] if r["n_tokens"] == len(words)]
+        assert math.isclose(same[0], sum(plain), rel_tol=1e-4)
+    empty = lm_score.learn(docs.where("false"), shape=LM_SHAPE)
+    assert math.isfinite(lm_score.token_scores([b"new words"], empty, in_corpus=False)[0].sum())
+    assert lm_score.score_texts(docs.where("false"), empty).count() == 0
+
+
+def test_lm_beats_counts_alone_on_texts_it_did_not_see(spark):
+    """Two vocabularies that never meet: the neighbours tell which of them a word is from."""
+    rng = random.Random(2)
+    one, two = WORDS[::2][:60], WORDS[1::2][:60]
+    texts = [" ".join(rng.choices((one, two)[k % 2], k=80)) for k in range(240)]
+    model = lm_score.learn(spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string"), shape=replace(LM_SHAPE, own=128, suffixes=128))
+    counts = collections.Counter(w for t in texts[:200] for w in t.split())
+    held = texts[200:]
+    scores, _ = lm_score.token_scores([t.encode() for t in held], model, in_corpus=False)
+    plain = [math.log(counts[w] / sum(counts.values())) for t in held for w in t.split()]
+    assert scores.mean() > np.mean(plain) + 0.5  # ln 2 is the most that there is
 
 
 def test_lm_keeps_the_count_of_every_word(spark):
-    """Words beyond the vocabulary have counts of their own, and the classes grow with the corpus."""
+    """The vocabulary decides only what is joined; a word that another text has too scores higher than one of the text alone."""
     rng = random.Random(4)
     words = [f"w{k}" for k in range(300)]
     texts = [" ".join(rng.choices(words, weights=range(1, 301), k=50)) for _ in range(40)] + ["once twice", "twice", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = [{r["doc_id"]: r["log_prob"] for r in lm_score.score_texts(docs, lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, vocabulary=v, steps=20))).collect()} for v in (20, 10_000)]
-    assert all(math.isclose(rows[0][k], rows[1][k], abs_tol=1e-6) for k in range(len(texts)))
-    model = lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, vocabulary=20, steps=20))
-    once, twice = lm_score.token_scores([b"zz once"], model)[0][1], lm_score.token_scores([b"zz twice"], model)[0][1]
-    assert math.isclose(twice - once, math.log(2), abs_tol=1e-6)  # both end in "ce"
-    few, many = (lm_score.learn(docs, shape=lm_score.Shape(singles=6, buckets=5, steps=1, base_tokens=n)).shape for n in (20_000_000, 125))
-    assert few.classes == 12 and many.classes >= 20
+    models = [lm_score.learn(docs, shape=replace(LM_SHAPE, vocabulary=v)) for v in (60, 10_000)]
+    rows = [{r["doc_id"]: r["log_prob"] for r in lm_score.score_texts(docs, model).collect()} for model in models]
+    assert all(math.isclose(rows[0][k], rows[1][k], abs_tol=1e-3) for k in range(len(texts)))
+    once, twice = (lm_score.token_scores([f"zz {w}".encode()], models[0])[0][1] for w in ("once", "twice"))
+    assert twice > once + 1
 
 
 # Mixture
