@@ -13,7 +13,7 @@ def _cutoff(total: int) -> int:
     return max(LEAST, total // MOST)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """Inner join on ``key``; ``small`` has one short row per key, with ``size``, its number of rows in ``big``.
 
     Rows of hot keys meet a broadcast of ``MOST`` rows at most, so they stay
@@ -22,7 +22,8 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame
     """
     cutoff = _cutoff(big.count())
     hot = F.broadcast(small.where(F.col(size) > cutoff))
-    cold = big.join(F.broadcast(small.where(F.col(size) > cutoff).select(key)), key, "left_anti").join(small.where(F.col(size) <= cutoff), key)
+    keys = small.where(F.col(size) > cutoff).select(*([key] if isinstance(key, str) else key))
+    cold = big.join(F.broadcast(keys), key, "left_anti").join(small.where(F.col(size) <= cutoff), key)
     return big.join(hot, key).unionByName(cold)
 
 

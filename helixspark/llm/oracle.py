@@ -102,18 +102,18 @@ def urls(tree: Tree) -> str:
     rule = "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{}}'".format(r.name) for r in sorted(RULES, key=lambda r: (-len(r.name), r.name))) + " END"
     verdicts = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in RULES)
     levels, last = "", "n0"
-    for k in range(1, tree.depth + 2):
+    for k in range(1, tree.depth + 6):  # levels of up to 66 segments; the tables have no longer paths
         levels += f""",
     k{k} AS (SELECT node, segs[{k}] AS seg, sum(labelled) AS n, sum(good) AS g FROM {last} WHERE len(segs) >= {k} GROUP BY ALL),
     a{k} AS (SELECT *, sum(n) OVER w AS all_n, sum(g) OVER w AS all_g, count(*) OVER w AS kids FROM k{k} WINDOW w AS (PARTITION BY node)),
-    d{k} AS (SELECT node, seg, CASE WHEN kids <= {tree.max_children} AND (kids = 1 OR coalesce(abs(g / nullif(n, 0)::DOUBLE - (all_g - g) / nullif(all_n - n, 0)::DOUBLE) > {tree.z} * sqrt(all_g / nullif(all_n, 0)::DOUBLE * (1 - all_g / nullif(all_n, 0)::DOUBLE) * (1 / nullif(n, 0)::DOUBLE + 1 / nullif(all_n - n, 0)::DOUBLE)), false)) THEN seg ELSE '*' END AS t FROM a{k}),
+    d{k} AS (SELECT node, seg, CASE WHEN kids = 1 OR coalesce(abs(g / nullif(n, 0)::DOUBLE - (all_g - g) / nullif(all_n - n, 0)::DOUBLE) > {tree.z} * sqrt(all_g / nullif(all_n, 0)::DOUBLE * (1 - all_g / nullif(all_n, 0)::DOUBLE) * (1 / nullif(n, 0)::DOUBLE + 1 / nullif(all_n - n, 0)::DOUBLE)), false) THEN seg ELSE '*' END AS t FROM a{k}),
     n{k} AS (SELECT host, segs, labelled, good, CASE WHEN d.t IS NULL THEN x.node ELSE x.node || '/' || d.t END AS node FROM {last} x LEFT JOIN d{k} d ON x.node = d.node AND x.segs[{k}] = d.seg)"""
         last = f"n{k}"
     masked = r"regexp_replace(regexp_replace(path, '([/_.-])[0-9a-f]{12,}($|[/_.-])', '\1{h}\2', 'g'), '[0-9]+', '{n}', 'g')"
     return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
         try_cast(nullif(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT) AS shown FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
     v AS (SELECT *, string_split({masked}, '/')[2:] AS parts FROM u),
-    r AS (SELECT *, CASE WHEN len(parts) > {tree.depth} THEN list_append(parts[1:{tree.depth}], '**') ELSE parts END AS segs FROM v),
+    r AS (SELECT *, list_concat(parts[1:{tree.depth}], list_transform(list_filter(range(1, 30), lambda k: {tree.depth} + 2 ** k - 2 < len(parts)), lambda k: array_to_string(parts[{tree.depth} + CAST(2 ** k AS BIGINT) - 1:{tree.depth} + CAST(2 ** (k + 1) AS BIGINT) - 2], '/'))) AS segs FROM v),
     y AS (SELECT page_id, max(quality) AS good FROM u JOIN labels ON labels.doc_id = u.shown WHERE quality IN (0, 1) GROUP BY page_id),
     n0 AS (SELECT host, segs, count(good) AS labelled, coalesce(sum(good), 0) AS good, host AS node FROM r LEFT JOIN y USING (page_id) GROUP BY host, segs){levels},
     s AS (SELECT coalesce(sum(good) / nullif(sum(labelled), 0)::DOUBLE, 1.0) AS share FROM {last}),

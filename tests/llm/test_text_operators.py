@@ -338,6 +338,25 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(pages, labels.where("false")).collect()} == {"allow", "block"}
 
 
+@pytest.mark.parametrize("branches", [51, 101, 900])
+def test_a_bad_branch_is_found_among_any_number_of_branches(spark, branches):
+    rows = [(k, f"http://big.test/spam/p{k}") for k in range(100)] + [(1000 + k, f"http://big.test/{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{'x' * (k // 676)}/p") for k in range(branches - 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 1000)) for k, _ in rows], "page_id long, good int")
+    found = {r["page_id"]: r for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert all(found[k]["verdict"] == ("block" if k < 100 else "allow") for k, _ in rows)
+
+
+def test_branches_below_any_level_are_told_apart(spark):
+    for steps in (3, 5, 9, 40):
+        stem = "/".join(["http://deep.test", *("abcde"[k % 5] * (k + 1) for k in range(steps))])
+        rows = [(k, f"{stem}/{'bad' if k % 2 else 'fine'}/x{k}") for k in range(120)]
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows], "page_id long, good int")
+        found = url_filter.url_verdicts(pages, labels).collect()
+        assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in found) and len(found) == 120
+
+
 def test_regular_words_are_not_repeats(spark):
     from test_words_and_dedup import regular_words
 
