@@ -27,14 +27,15 @@ def join_hot(big: DataFrame, small: DataFrame, key: str | list[str], size: str)
     return big.join(hot, key).unionByName(cold)
 
 
-def join_sliced(big: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFrame:
+def join_sliced(big: DataFrame, small: DataFrame, key: str, spread: Column, keys: DataFrame) -> DataFrame:
     """Inner join on ``key``; ``small`` has one row per key, of any length.
 
     Rows of a hot key are dealt to slices of ``LEAST`` rows or so by the hash of
     ``spread``, and only its row of ``small`` is copied, once for each slice.
+    ``keys`` is a cut table with the key of each row of ``big``.
     """
-    cutoff = _cutoff(big.count())
-    slices = big.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > cutoff)
+    cutoff = _cutoff(keys.count())
+    slices = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > cutoff)
     slices = slices.select(F.col(key).alias("_hot"), F.ceil(F.col("_size") / F.lit(cutoff)).cast("int").alias("_slices"))
 
     def sliced(df: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ make one shingle). Texts are linked if their sets' Jaccard similarity reaches
    from a filled bin in a fixed random order of their own (optimal
    densification), so sketches of small sets stay comparable.
 2. Equal sets. Texts with the same 128-bit digest of the whole set are one
-   vertex from here on, however many copies there are.
+   vertex, named by a number of its own, from here on, however many copies there are.
 3. Stars. Vertices that agree in all rows of a band share a bucket. In each
    bucket only the vertex that meets most others over all its buckets (the hub;
-   ties go to the largest digest) is paired with the others, so pairs grow with
+   ties go to the last by number) is paired with the others, so pairs grow with
    the bucket, not with its square. Sizes alone rule out most pairs that can't
    reach the similarity.
 4. Confirmation on full sets, word by word from the texts, and components of the
@@ -97,7 +97,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, vertex (null: empty set), keys (null: empty set)."""
+    """doc_id, text_key, n_shingles, digest (null: empty set), keys (null: empty set)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,28 +106,28 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for raw in text_groups(x.as_py() for x in batch.column("text")):
                 data, _, starts, ends, first = group_words(raw, lower=True)
                 hashes = word_hashes(data, starts, ends)
-                sizes, vertices, keys = [], [], []
+                sizes, digests, keys = [], [], []
                 for i in range(len(raw)):
                     own = shingle_hashes(hashes[first[i] : first[i + 1]], words)
                     sizes.append(len(own))
                     if len(own):
-                        vertices.append(xxhash.xxh3_128_digest(own.tobytes()))
+                        digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                         keys.append(band_keys(sketch(own, bands * rows), bands, rows).view(np.int64))
                     else:
-                        vertices.append(None)
+                        digests.append(None)
                         keys.append(None)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").slice(at, len(raw)),
                         "text_key": batch.column("text_key").slice(at, len(raw)),
                         "n_shingles": pa.array(sizes, pa.int64()),
-                        "vertex": pa.array(vertices, pa.binary()),
+                        "digest": pa.array(digests, pa.binary()),
                         "keys": pa.array(keys, pa.list_(pa.int64())),
                     }
                 )
                 at += len(raw)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, vertex binary, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, digest binary, keys array<long>")
 
 
 def exact_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
@@ -147,9 +147,9 @@ def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, schema: str, row)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes | None, set] = (None, set())
+        held: tuple[int | None, set] = (None, set())
         names = [x.split()[0] for x in schema.split(", ")]
-        kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+        kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
         for batch in batches:
             rows = []
             for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
@@ -162,43 +162,41 @@ def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, schema: str, row)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "), strict=True)], names=names)
 
     pairs = cut(pairs)
-    joined = join_sliced(pairs.join(texts.toDF("a", "text_a"), "a"), texts.toDF("b", "text_b"), "b", F.col("a"))
+    joined = join_sliced(pairs.join(texts.toDF("a", "text_a"), "a"), texts.toDF("b", "text_b"), "b", F.col("a"), pairs)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
-    def linked(a: bytes, b: bytes, x: set, y: set) -> tuple[bytes, bytes] | None:
+    def linked(a: int, b: int, x: set, y: set) -> tuple[int, int] | None:
         if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
             return None
         common = len(x & y)
         return (a, b) if 100 * common >= percent * (len(x) + len(y) - common) else None
 
-    return _with_sets(pairs, texts, words, "a binary, b binary", linked)
+    return _with_sets(pairs, texts, words, "a long, b long", linked)
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """For pairs (a, b): sizes of both sets, what b's has more (``lost``) and what a's has more (``new``), as hashes of the shingles."""
 
-    def differing(a: bytes, b: bytes, x: set, y: set) -> tuple:
+    def differing(a: int, b: int, x: set, y: set) -> tuple:
         return a, b, len(x), len(y), sorted(_numbers(y - x)), sorted(_numbers(x - y))
 
-    return _with_sets(pairs, texts, words, "a binary, b binary, n long, hub_n long, lost array<long>, new array<long>", differing)
+    return _with_sets(pairs, texts, words, "a long, b long, n long, hub_n long, lost array<long>, new array<long>", differing)
 
 
-def _links_inside(clusters: DataFrame, percent: int, slice_rows: int) -> DataFrame:
+def _links_inside(clusters: DataFrame, percent: int) -> DataFrame:
     """Links between different components of the same cluster, as (a, b).
 
-    ``clusters`` (hub, vertex, comp, n, hub_n, lost, new) tells each set by how
-    it differs from its hub's, which gives the exact size of any two members'
-    intersection. Members outside a cluster's largest component meet all others,
-    dealt in slices of the cluster so that a large one fills many tasks.
+    ``clusters`` (hub, vertex, comp, largest, slices, n, hub_n, lost, new) tells
+    each set by how it differs from its hub's, which gives the exact size of any
+    two members' intersection. Members outside a cluster's largest component
+    meet all others, dealt in slices of the cluster so that a large one fills
+    many tasks.
     """
-    sizes = clusters.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("hub").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    sizes = sizes.select("hub", "c", F.col("largest.comp").alias("largest"), F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))
-    rows = cut(join_hot(clusters, sizes, "hub", "c").drop("c"))
+    rows = cut(clusters)
     left = rows.where("comp != largest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     left = left.select("hub", "slice", *[F.col(c).alias(f"{c}_1") for c in ("vertex", "comp", "n", "lost", "new")], "hub_n")
     right = rows.withColumn("slice", F.pmod(F.xxhash64("vertex"), F.col("slices")).cast("int"))
@@ -222,30 +220,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent = round(100 * similarity)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     base = cut(_sketches(source, words, bands, rows))
+    # A vertex is a number: shorter than its digest, and no two digests share it.
     reps = cut(
-        base.where(F.col("vertex").isNotNull())
-        .groupBy("vertex")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-        .select("vertex", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"), "low", "keys", "n")
+        base.where(F.col("digest").isNotNull())
+        .groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+        .select(F.monotonically_increasing_id().alias("vertex"), "digest", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"), "low", "keys", "n", "copies")
     )
 
     rows_of = reps.select("vertex", "n", F.explode("keys").alias("key"))
-    ranges = cut(rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).where("size > 1"))
-    members = cut(join_hot(rows_of, ranges.select("key", "size"), "key", "size").select("key", "vertex", "n", "size"))
+    crowded = cut(rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = cut(join_hot(rows_of, crowded, "key", "size"))
     weights = members.groupBy("vertex").agg(F.sum("size").alias("weight"))
-    members = cut(members.join(weights, "vertex").select("key", "vertex", "n", F.struct(F.col("weight"), F.col("vertex"), F.col("n")).alias("rank")))
-    sizes = ranges.select("key", "size")
+    members = cut(members.join(weights, "vertex").select("key", "vertex", "n", "weight"))
 
     def sizes_allow(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    hubs = members.groupBy("key").agg(F.max("rank").alias("hub")).join(sizes, "key")
-    cluster_rows = cut(join_hot(members, hubs, "key", "size").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
+    hubs = members.groupBy("key").agg(F.max(F.struct("weight", "vertex", "n")).alias("hub"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
+    hubs = cut(hubs.select("key", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n"), ((F.col("size") > 2) | sizes_allow("least", "most")).alias("wanted"), "size"))
+    members = join_hot(members.drop("weight"), hubs, "key", "size")
+    cluster_rows = cut(members.groupBy("vertex", "n", "hub", "hub_n").agg(F.max("wanted").alias("wanted")))
     stars = cluster_rows.where((F.col("vertex") != F.col("hub")) & sizes_allow("n", "hub_n")).select(F.col("vertex").alias("a"), F.col("hub").alias("b"))
 
     # Texts are fetched once, for the vertices of buckets in which sizes allow a link.
-    wanted = join_hot(members, ranges.where((F.col("size") > 2) | sizes_allow("least", "most")), "key", "size")
-    wanted = wanted.select("vertex").distinct().join(reps.select("vertex", "doc_id", "text_key"), "vertex")
+    wanted = cluster_rows.where("wanted").select("vertex").distinct().join(reps.select("vertex", "doc_id", "text_key"), "vertex")
     texts = source.toDF("i", "text", "k").join(wanted, (F.col("i").eqNullSafe(F.col("doc_id"))) & (F.col("k") == F.col("text_key")))
     texts = cut(texts.select("vertex", "text").dropDuplicates(["vertex"]))
 
@@ -264,25 +263,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut(nodes.select("node", F.coalesce("to", "component").alias("component")))
 
     # Vertices that share a bucket are in the cluster of its hub. Clusters that span components are looked into.
-    clusters = comp_of(cluster_rows.select("vertex", "hub"), "vertex", "comp")
-    clusters = cut(clusters)
-    split = clusters.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("_size")).where("x != y").select("hub", "_size")
-    clusters = cut(join_hot(clusters, split, "hub", "_size").drop("_size"))
-    if not clusters.isEmpty():
+    clusters = cut(comp_of(cluster_rows.select("vertex", "hub"), "vertex", "comp"))
+    sizes = clusters.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("hub").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    sizes = cut(sizes.select("hub", F.col("largest.comp").alias("largest"), F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"), "c"))
+    if not sizes.isEmpty():
+        clusters = cut(join_hot(clusters, sizes, "hub", "c").drop("c"))
         apart = _differences(clusters.where("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")), texts, words)
         apart = cut(apart.withColumnsRenamed({"a": "vertex", "b": "hub"}))
         none = F.array().cast("array<long>")
         own = apart.groupBy("hub").agg(F.max("hub_n").alias("hub_n")).select(F.col("hub").alias("vertex"), "hub", F.col("hub_n").alias("n"), "hub_n", none.alias("lost"), none.alias("new"))
-        fresh = cut(_links_inside(clusters.join(apart.unionByName(own), ["hub", "vertex"]), percent, slice_rows).distinct())
+        fresh = cut(_links_inside(clusters.join(apart.unionByName(own), ["hub", "vertex"]), percent).distinct())
         if not fresh.isEmpty():
             comps = joined_by(fresh)
 
-    lows = cut(comp_of(reps.select("vertex", "low"), "vertex", "comp"))
-    lows = join_hot(lows.drop("low"), lows.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_size")), "comp", "_size").select("vertex", "component_id", "comp")
-    copies = base.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.count(F.lit(1)).alias("_size"))
-    groups = lows.join(copies, "vertex")
-    full = join_hot(base.drop("keys").where(F.col("vertex").isNotNull()), groups, "vertex", "_size").select("doc_id", "text_key", "n_shingles", "component_id", F.col("comp").alias("component"))
-    empty = base.where(F.col("vertex").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    lows = cut(comp_of(reps.select("vertex", "digest", "low", "copies"), "vertex", "comp"))
+    lowest = cut(lows.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    groups = cut(join_hot(lows.drop("low", "vertex"), lowest, "comp", "size").drop("size"))
+    full = join_hot(base.drop("keys").where(F.col("digest").isNotNull()), groups, "digest", "copies").select("doc_id", "text_key", "n_shingles", "component_id", F.col("comp").alias("component"))
+    empty = base.where(F.col("digest").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.unionByName(empty).select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component")
 
 
