@@ -1,34 +1,35 @@
-r"""Benchmark decontamination with a broadcast set of test n-grams; DataFrame functions only.
+r"""Benchmark decontamination with a broadcast hash set of test n-grams; DataFrame functions only.
 
 Texts are lower-cased (A-Z only) and cut into words. A window is ``n``
 consecutive words of a benchmark item, or the whole item if it is shorter.
-Comparing every window of every text would cost ``n`` words of work for each
-word read, so the scan has two steps:
-
-* Each window names its longest word as its anchor. The anchor words, with
-  their neighbours, form a small set; one pass over a text keeps the places
-  whose word is an anchor with a neighbour that the anchor has in some item.
-  Every occurrence of a window holds its anchor, so no window is missed.
-* Each such place is joined with the anchor's places in the items, and both are
-  compared word by word to the left and right. A common run of a window's
-  length or more is a verified hit; the union of the runs is the union of all
-  window occurrences.
-
-The set of anchors is sent to the tasks as literals while it has at most
-``max_anchors`` words in at most eight times as many places, which is checked
-first. Beyond that every word
-joins the anchors, by a join that Spark may shuffle; results are the same.
+
+* Hashes of words are paired to hashes of 2, 4, 8 words and so on, and these to
+  hashes of windows, so a window costs a few steps whatever its length.
+* The benchmark's distinct window hashes are broadcast, and one pass over the
+  texts keeps the windows whose hash is among them. A pass takes
+  ``windows_per_pass`` hashes at most; a larger benchmark is split by hash into
+  as many passes as it needs, with the same results.
+* Hits are verified word by word against the items' windows, and the words they
+  cover are counted once.
 
 Null texts have no words and no hits; items without id, text or words match
-nothing. Items with equal text all count. Rows that repeat id and text each get
-a row. A null id is kept as such.
+nothing. Items with equal text all count, in the order of their ids as strings.
+Rows that repeat id and text each get a row, a null id is kept as such, an empty
+table gives no rows, and without items nothing is hit. Texts of any length are
+scanned as a whole; other columns, whatever their names, are not looked at. A
+window that many texts share is joined by a broadcast of bounded size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .joins import join_hot
+
 # Upper and lower case, and what a word is made of.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,103 +44,92 @@ def word_array(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _before(words: Column, at: Column, reach: int) -> Column:
-    """Up to ``reach`` words before 0-based ``at``, nearest first."""
-    n = F.least(at, F.lit(reach))
-    return F.reverse(F.slice(words, at - n + 1, n))
-
-
-def _after(words: Column, at: Column, reach: int) -> Column:
-    return F.slice(words, at + 2, F.lit(reach))
+def _with_runs(df: DataFrame, longest: int) -> DataFrame:
+    """``df`` with ``_1``, ``_2``, ``_4`` and so on up to ``longest``: hashes of runs of so many words of ``w`` from each place on."""
+    df, k = df.withColumn("_1", F.transform("w", lambda x: F.xxhash64(x))), 1
+    while 2 * k <= longest:
+        later = F.slice(F.col(f"_{k}"), F.lit(k + 1), F.size(f"_{k}"))
+        df, k = df.withColumn(f"_{2 * k}", F.zip_with(f"_{k}", later, lambda x, y: F.xxhash64(x, y))), 2 * k
+    return df
 
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    """How many leading words two arrays share."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("int")
+def _windows(n: int) -> Column:
+    """Hashes of all windows of ``n`` words, from the hashes of runs that make them up."""
+    runs, at = [], 0
+    for k in (1 << b for b in reversed(range(n.bit_length()))):
+        if n & k:
+            runs.append((k, at))
+            at += k
+    first, more = runs[0], runs[1:]
+    whole = F.slice(F.col(f"_{first[0]}"), F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0)))
+    return F.transform(whole, lambda x, i: F.xxhash64(F.lit(n), x, *[F.get(F.col(f"_{k}"), i + at) for k, at in more]))
 
 
-def benchmark_places(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """word, left, right, need, items: each place where an anchor stands in an item, equal surroundings once."""
+def benchmark_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """hash, need (words), window (its words), items: the distinct windows of all items."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), word_array(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
-    items = items.withColumn("need", F.least(F.size("w"), F.lit(n)))
-
-    def anchor(start: Column) -> Column:
-        window = F.slice("w", start + 1, F.col("need"))
-        ranked = F.transform(window, lambda x, k: F.struct(F.length(x).alias("l"), x.alias("x"), (start + k).alias("p")))
-        return F.array_max(ranked)["p"]
-
-    starts = F.sequence(F.lit(0), F.size("w") - F.col("need"))
-    places = items.select("item", "w", "need", F.explode(F.array_distinct(F.transform(starts, anchor))).alias("p"))
-    p = F.col("p")
-    places = places.select("item", "need", F.get("w", p).alias("word"), _before(F.col("w"), p, n - 1).alias("left"), _after(F.col("w"), p, n - 1).alias("right"))
-    return places.groupBy("word", "left", "right", "need").agg(F.collect_set("item").alias("items"))
-
-
-def _in_set(words: list[str]) -> str:
-    """SQL for membership of ``x``; words hold only digits, a-z and code points above 127."""
-    return "x in ({})".format(", ".join(f"'{w}'" for w in words)) if words else "false"
-
-
-def _anchor_filters(places: DataFrame, max_anchors: int) -> tuple[str, str] | None:
-    """SQL for the places of the array column ``w`` where an anchor stands, and for its neighbours; None if there are too many anchors."""
-    some = places.select("word").distinct().limit(max_anchors + 1).collect()
-    if len(some) > max_anchors or places.limit(8 * max_anchors + 1).count() > 8 * max_anchors:
-        return None
-    names = sorted(r[0] for r in some)
-    near = places.select(F.explode(F.array_distinct(F.array(F.concat_ws(" ", F.get("left", F.lit(0)), "word"), F.concat_ws(" ", "word", F.get("right", F.lit(0)))))).alias("x"))
-    near = sorted(r[0] for r in near.distinct().collect())
-    anchored = f"filter(transform(w, (x, i) -> case when {_in_set(names)} then i end), i -> i is not null)"
-    pairs = [x for x in near if " " in x]
-    single = {x for x in near if " " not in x}  # an item's first or last word, or a one-word item
-    keep = f"exists(array(concat(get(w, i - 1), ' ', w[i]), concat(w[i], ' ', get(w, i + 1))), x -> {_in_set(pairs)})"
-    if single:
-        keep = f"(exists(array(w[i]), x -> {_in_set(sorted(single))}) or coalesce({keep}, false))"
-    return anchored, keep
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_anchors: int = 20_000) -> DataFrame:
+    items = cut(items.withColumn("need", F.least(F.size("w"), F.lit(n))))
+    sizes = sorted(r[0] for r in items.select("need").distinct().collect())  # n at most
+    items, found = _with_runs(items, max(sizes, default=1)), []
+    for need in sizes:
+        places = items.where(F.col("need") == need).select("item", "w", F.posexplode(_windows(need)).alias("i", "hash"))
+        found.append(places.select("hash", F.lit(need).alias("need"), F.slice("w", F.col("i") + 1, F.lit(need)).alias("window"), "item"))
+    if not found:
+        return items.select(F.lit(0).cast("long").alias("hash"), "need", F.col("w").alias("window"), F.array("item").alias("items")).where("false")
+    return reduce(DataFrame.unionByName, found).groupBy("hash", "need", "window").agg(F.collect_set("item").alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", windows_per_pass: int = 2_000_000, broadcast_docs: int = 500_000) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_words, n_hit, items, spans``.
 
     ``items`` are the ids of items with an occurring window, as strings, sorted;
-    ``spans`` the hit runs as (first word, number of words), sorted, which may overlap.
+    ``spans`` the hit windows as (first word, number of words), sorted, which may overlap.
     """
-    places = benchmark_places(benchmark, n, item_col, item_text_col)
+    windows = cut(benchmark_windows(benchmark, n, item_col, item_text_col))
+    sizes = sorted(r[0] for r in windows.select("need").distinct().collect())  # n at most
+    passes = max(1, -(-windows.count() // windows_per_pass))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select("doc_id", F.xxhash64("text").alias("text_key"), word_array(F.col("text")).alias("w"))
-
-    filters = _anchor_filters(places, max_anchors)
-    if filters:
-        source = source.withColumn("at", F.expr(filters[0])).withColumn("at", F.expr(f"filter(at, i -> {filters[1]})"))
-    else:
-        source = source.withColumn("at", F.expr("case when size(w) > 0 then sequence(0, size(w) - 1) else cast(array() as array<int>) end"))
-
-    i_seed = F.transform("at", lambda i: F.struct(i.alias("i"), F.get("w", i).alias("word"), _before(F.col("w"), i, n - 1).alias("l"), _after(F.col("w"), i, n - 1).alias("r"), F.lit(0).alias("n")))
-    own = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("word"), F.array().cast("array<string>").alias("l"), F.array().cast("array<string>").alias("r"), F.size("w").alias("n")))
-    seeds = source.select("doc_id", "text_key", F.explode(F.concat(own, i_seed)).alias("s"))
-    seeds = seeds.select("doc_id", "text_key", "s.*")
-
-    joined = seeds.join(F.broadcast(places) if filters else places, "word", "left")
-    back, ahead = _common_prefix(F.col("l"), F.col("left")), _common_prefix(F.col("r"), F.col("right"))
-    joined = joined.select("doc_id", "text_key", "i", "n", "need", "items", back.alias("back"), ahead.alias("ahead"))
-    hit = F.col("i").isNotNull() & F.coalesce(F.col("back") + F.col("ahead") + 1 >= F.col("need"), F.lit(False))
-    rows = joined.where(F.col("i").isNull() | hit)
-    per = rows.groupBy("doc_id", "text_key").agg(
-        F.max("n").alias("n_words"),
-        F.count_if(F.col("i").isNull()).alias("copies"),
-        F.collect_set(F.when(F.col("i").isNotNull(), F.struct((F.col("i") - F.col("back")).alias("at"), (F.col("back") + F.col("ahead") + 1).alias("n")))).alias("spans"),
-        F.collect_set("items").alias("items"),
-    )
-    spans = F.array_sort("spans")
+    source = source.withColumn("text_key", F.xxhash64("text"))
+
+    # Every row has one place more, which isn't a window and stands for the row.
+    runs = _with_runs(source.select("doc_id", "text_key", word_array(F.col("text")).alias("w")), max(sizes, default=1))
+    every = F.concat(F.array(F.lit(0).cast("long")), *[_windows(k) for k in sizes])
+    places = runs.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(every).alias("at", "hash"))
+    found = []
+    for k in range(passes):
+        part = F.broadcast(windows.where(F.pmod("hash", F.lit(passes)) == k).groupBy("hash").agg(F.lit(True).alias("_known")))
+        found.append((places.where("at > 0") if k else places).join(part, "hash", "left").where("_known or at = 0"))
+    rows = reduce(DataFrame.unionByName, found)
+    hits = F.collect_set(F.when(F.col("at") > 0, F.struct("at", "hash")))
+    rows = cut(rows.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("at") == 0).alias("copies"), hits.alias("hits")))
+
+    # Only texts with hits are cut into words again.
+    hit = rows.where("size(hits) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_words", "hits")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    few = hit.count() <= broadcast_docs  # of two numbers
+    texts = source.join(F.broadcast(hit.select("_id", "_key")), same, "left_semi") if few else source
+    texts = texts.join(hit, same).select("_id", "_key", word_array(F.col("text")).alias("w"), "hits", "n_words").select("_id", "_key", "w", F.explode("hits").alias("h"), "n_words")
+    # Places run through the windows of each size in turn.
+    start, need, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
+    for k in sizes:
+        here = (F.col("h.at") >= before) & (F.col("h.at") < before + F.greatest(F.col("n_words") - k + 1, F.lit(0)))
+        start, need = F.when(here, F.col("h.at") - before).otherwise(start), F.when(here, F.lit(k)).otherwise(need)
+        before = before + F.greatest(F.col("n_words") - k + 1, F.lit(0))
+    texts = texts.select("_id", "_key", F.col("h.hash").alias("hash"), start.alias("i"), need.alias("n"), F.slice("w", start + 1, need).alias("seen"))
+    texts = cut(texts.distinct())
+    known = windows.join(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")), "hash")
+    sure = cut(join_hot(texts, known, "hash", "rows").where("seen = window").select("_id", "_key", "i", "n", "items"))
+    per = sure.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("at"), "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
 
     def cover(acc: Column, s: Column) -> Column:
         end = s["at"] + s["n"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["sum"] + F.greatest(F.lit(0), end - F.greatest(s["at"], acc["end"]))).alias("sum"))
 
-    per = per.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.aggregate(spans, zero, cover)["sum"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), spans.alias("spans"), "copies")
-    return per.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy", "copies")
+    per = per.withColumn("n_hit", F.aggregate("spans", zero, cover)["sum"].cast("long"))
+    out = rows.join(per, same, "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    no_spans = F.array().cast("array<struct<at:int,n:int>>")
+    return out.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", no_spans).alias("spans"))
 
 
 def is_contaminated(percent: int = 5) -> Column:

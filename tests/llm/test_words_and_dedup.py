@@ -185,11 +185,11 @@ def benchmark_and_docs():
     return items, rows + [rows[7], (None, rows[8][1])]
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
+@pytest.mark.parametrize("most", [20_000, 150])
 def test_contamination_like_brute_force(spark, most):
     items, rows = benchmark_and_docs()
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
-    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), max_anchors=most)
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), windows_per_pass=most)
     ours = sorted((repr(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in found.collect())
     windows = windows_of(items, 13)
     assert ours == sorted((repr(d), *expected_hits(t, windows)) for d, t in rows)
