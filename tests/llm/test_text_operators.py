@@ -172,6 +172,23 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_every_letter_has_its_own_vector():
+    letters = [chr(x) for x in (*range(0x61, 0x7B), *range(0x430, 0x44F), *range(0xE0, 0xF7), 0x4E00, 0x4E01, 0x20000)]
+    symbols = language_id.symbols_of(np.array([ord(x) for x in letters], dtype=np.uint32))
+    vectors = language_id.letter_vectors(symbols, 256, 11)
+    assert len(set(symbols.tolist())) == len(letters) == len({v.tobytes() for v in vectors})
+
+
+@pytest.mark.parametrize("text", ["Ab c", "привет, мир", "é1è 漢字 abc", "x" * 9])
+def test_bundles_like_brute_force(text):
+    """A text's vector, window by window from the letters' vectors."""
+    clean = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + " ".join(clean.split()) + " "
+    one = lambda c: language_id.letter_vectors(language_id.symbols_of(np.array([ord(c)], dtype=np.uint32)), 64, 3)[0].astype(int)
+    plain = sum(np.roll(one(a), 2) * np.roll(one(b), 1) * one(c) for a, b, c in zip(padded, padded[1:], padded[2:]))
+    assert (language_id.bundle(language_id.text_windows(text), 64, 3) == plain).all()
+
+
 # LM scoring
 
 
