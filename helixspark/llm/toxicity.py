@@ -1,29 +1,33 @@
 r"""Toxicity by a weighted finite-state pattern grammar over clauses.
 
-The grammar composes five transducers. Each reads a clause word by word and
-writes a weight:
-
-* insult: a trie of word stems with learned weights (log odds of toxic against
-  clean texts, counted by different neighbourhoods so that copies count once),
-  run as one Aho-Corasick automaton;
-* threat: an intent word followed, up to three words on, by a harm word;
-* target: a second-person word, or a name-like role, beside an insult;
-* negation: a negating word up to three words before an insult;
-* reported speech: a verb of saying before it in the clause, or a quotation mark.
-
-A clause without insult or threat scores nothing, whatever words it has. Target
-raises a clause's weight, negation and reported speech scale it by factors that
-are learned too, from the labelled clauses that have them (1 where there are
-too few to tell). A document's score is a logistic function of its clauses' summed
-weights, fitted to the labelled rows.
+A clause is read word by word (quotation marks are words too). Each word has a
+set of classes, and five transducers read the classes and write marks:
+
+* insult: a word that begins with a learned stem (one Aho-Corasick automaton
+  finds the stems) is marked;
+* threat: a harm word up to three words after an intent word is marked;
+* negation: marks the three words after a negating word;
+* reported speech: marks what follows a verb of saying or a quotation mark;
+* target: marks the whole clause if it has a second-person word.
+
+They are composed to one automaton, whose states are the reachable tuples of
+their states, so a clause takes one step for each word. A clause without insult
+or threat scores nothing, whatever words it has. Stems have learned weights (log
+odds of toxic against clean texts), and so have threats and the marks: a
+logistic regression over the labelled rows' sums of marked weights, whose ridge
+pulls to the weights in ``PRIOR`` where the rows don't tell.
 
 Learning reads about ``max_rows`` labelled rows at most, those whose id's hash is
 in the share that gives so many, so the sample is the same however the rows are
-dealt; scoring reads all rows and whole texts, and uses the text alone.
+dealt; scoring reads all rows and whole texts, and uses the text alone. A stem
+must stand in ``least_docs`` unlike texts: texts with the same rarest word hash
+count once, so a fragment of one text and its copies teaches nothing.
 
 Null and empty texts have no clause and get the offset's score, under 0.5.
-Without labels of both kinds nothing is learned and every score is 0.
-Rows with null labels or ids teach nothing. Each row gives one row.
+Without labels of both kinds nothing is learned and every score is 0. Rows with
+null labels or ids teach nothing; an id labelled twice is toxic if one label is.
+Each row gives one row, an empty table none. Very long texts and clauses take
+linear time. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -52,20 +56,96 @@ HARMS = frozenset("kill hurt destroy beat punch stab shoot die töten schlagen v
 QUOTES = "\"“”„«»"
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
+REACH = 3
+
+# Classes of a word, as bits.
+INSULT, HARM, INTENT, NEGATION, REPORT, TARGET = (1 << k for k in range(6))
+CLASSES = 1 << 6
+# Marks that the transducers write, as bits.
+IS_INSULT, IS_THREAT, NEGATED, REPORTED, TARGETED = (1 << k for k in range(5))
+_LEXICON: dict[str, int] = {q: REPORT for q in QUOTES}
+for _bit, _words in ((HARM, HARMS), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
+    for _word in _words:
+        _LEXICON[_word] = _LEXICON.get(_word, 0) | _bit
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``step`` gives the next state and the marks of a word with these classes; ``final`` the marks of the whole clause."""
+
+    step: Callable[[int, int], tuple[int, int]]
+    final: Callable[[int], int] = lambda state: 0
+
+
+def _after(opens: int, on: int, mark: int) -> Transducer:
+    """Marks words of classes ``on`` (0: all) that stand up to ``REACH`` words after one of ``opens``."""
+
+    def step(state: int, classes: int) -> tuple[int, int]:
+        marks = mark if state and (not on or classes & on) else 0
+        return (REACH if classes & opens else max(state - 1, 0)), marks
+
+    return Transducer(step)
+
+
+TRANSDUCERS = {
+    "insult": Transducer(lambda state, classes: (0, IS_INSULT if classes & INSULT else 0)),
+    "threat": _after(INTENT, HARM, IS_THREAT),
+    "negation": _after(NEGATION, 0, NEGATED),
+    "reported": Transducer(lambda state, classes: (int(bool(state or classes & REPORT)), REPORTED if state else 0)),
+    "target": Transducer(lambda state, classes: (int(bool(state or classes & TARGET)), 0), lambda state: TARGETED if state else 0),
+}
+
+
+@dataclass(frozen=True)
+class Automaton:
+    """A composition: ``next`` and ``marks`` by state * CLASSES + classes, ``final`` by state; 0 is the start."""
+
+    next: list[int]
+    marks: list[int]
+    final: list[int]
+
+
+def compose(machines: list[Transducer]) -> Automaton:
+    """One automaton over the reachable tuples of states; its marks are all marks together."""
+    numbers: dict[tuple[int, ...], int] = {(0,) * len(machines): 0}
+    out = Automaton([], [], [])
+    for states in iter(_growing(numbers)):
+        out.final.append(0)
+        for machine, state in zip(machines, states, strict=True):
+            out.final[-1] |= machine.final(state)
+        for classes in range(CLASSES):
+            steps = [machine.step(state, classes) for machine, state in zip(machines, states, strict=True)]
+            to = tuple(x for x, _ in steps)
+            out.next.append(numbers.setdefault(to, len(numbers)))
+            out.marks.append(0)
+            for _, marks in steps:
+                out.marks[-1] |= marks
+    return out
+
+
+def _growing(numbers: dict) -> Iterator:
+    """The keys of a dictionary that gets further keys meanwhile."""
+    at = 0
+    while at < len(numbers):
+        yield list(numbers)[at]
+        at += 1
+
+
+#: Weights of a text's sums, as if learned from earlier rows: all insults, then what is added for those negated, reported and in a clause with a target; threats, and those negated and reported.
+PRIOR = (0.3, -0.15, -0.15, 0.08, 1.2, -0.6, -0.6)
+SUMS = ((IS_INSULT, 0), (IS_INSULT, NEGATED), (IS_INSULT, REPORTED), (IS_INSULT, TARGETED), (IS_THREAT, 0), (IS_THREAT, NEGATED), (IS_THREAT, REPORTED))
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Learned weights: by stem, for a threat, the factors of negated and reported clauses, and the logistic curve."""
+    """Learned weights: by stem, the offset, and by sum; ``parts`` names the transducers in use."""
 
     stems: dict[str, float]
     offset: float
-    scale: float = 1.0
-    threat: float = 4.0
-    target: float = 1.25
-    negated: float = 1.0
-    reported: float = 1.0
+    weights: tuple[float, ...] = PRIOR
+    parts: tuple[str, ...] = field(default=tuple(TRANSDUCERS))
 
 
 class Scanner:
@@ -73,6 +153,7 @@ class Scanner:
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
+        self.automaton = compose([TRANSDUCERS[x] for x in grammar.parts])
         self.machine = ahocorasick.Automaton()
         for stem, weight in grammar.stems.items():
             self.machine.add_word(stem, (len(stem), weight))
@@ -81,8 +162,8 @@ class Scanner:
                 self.machine.add_word(word, (len(word), 0.0))
         self.machine.make_automaton()
 
-    def clauses(self, text: str | None) -> list[tuple[float, bool, bool]]:
-        """(weight before scaling, negated, reported) of each clause that an insult or threat matches."""
+    def clauses(self, text: str | None) -> list[list[tuple[float, int]]]:
+        """For each clause that an insult or threat matches: weight and marks of its marked words."""
         if not text:
             return []
         low = text.lower()
@@ -91,67 +172,60 @@ class Scanner:
             start = end - size + 1
             if start == 0 or not low[start - 1].isalpha():
                 found[start] = max(weight, found.get(start, 0.0))
-        out = []
-        last = -1
+        if not found:
+            return []
+        ends = [m.start() for m in CLAUSE_END.finditer(low)]
+        out, last = [], -1
         for start in sorted(found):
-            if start < last:
-                continue
-            begin = max((m for m in (low.rfind(c, 0, start) for c in ".!?;:\n")), default=-1) + 1
-            stop = CLAUSE_END.search(low, start)
-            last = stop.start() if stop else len(low)
-            matched = self._clause(low, begin, last, found)
-            if matched:
-                out.append(matched)
+            if start >= last:
+                k = bisect_left(ends, start)
+                last = ends[k] if k < len(ends) else len(low)
+                words = self._clause(low, ends[k - 1] + 1 if k else 0, last, found)
+                if words:
+                    out.append(words)
         return out
 
-    def _clause(self, low: str, begin: int, end: int, found: dict[int, float]) -> tuple[float, bool, bool] | None:
-        weight, plain, quoted = 0.0, False, False
-        negation = intent = -9
-        target = report = matched = False
-        for k, m in enumerate(WORD.finditer(low, begin, end)):
-            word = m.group()
-            if word in NEGATIONS:
-                negation = k
-            elif word in REPORTS:
-                report = True
-            if word in TARGETS:
-                target = True
-            insult = found.get(m.start(), 0.0)
-            if insult > 0:
-                weight += insult
-                matched = True
-                plain |= k - negation > 3
-                quoted |= report or any(q in low[begin : m.start()] for q in QUOTES)
-            elif word in HARMS and k - intent <= 3:
-                weight += self.grammar.threat
-                matched = True
-                plain |= k - negation > 3
-            if word in INTENTS:
-                intent = k
-        if not matched:
-            return None
-        return weight * (self.grammar.target if target else 1.0), not plain, quoted
-
-    def total(self, text: str | None) -> float:
-        g = self.grammar
-        return sum(w * (g.negated if negated else 1.0) * (g.reported if reported else 1.0) for w, negated, reported in self.clauses(text))
+    def _clause(self, low: str, begin: int, end: int, found: dict[int, float]) -> list[tuple[float, int]]:
+        a, state, out = self.automaton, 0, []
+        for m in TOKEN.finditer(low, begin, end):
+            weight = found.get(m.start(), 0.0)
+            at = state * CLASSES + (_LEXICON.get(m.group(), 0) | (INSULT if weight > 0 else 0))
+            marks, state = a.marks[at], a.next[at]
+            if marks & (IS_INSULT | IS_THREAT):
+                out.append((weight, marks))
+        return [(weight, marks | a.final[state]) for weight, marks in out]
+
+    def sums(self, text: str | None) -> tuple[float, ...]:
+        """Of a text, for each of ``SUMS``: the weights of insults, or the number of threats, that have the marks."""
+        out = [0.0] * len(SUMS)
+        for clause in self.clauses(text):
+            for weight, marks in clause:
+                for k, (kind, more) in enumerate(SUMS):
+                    if marks & kind and marks & more == more:
+                        out[k] += weight if kind == IS_INSULT else 1.0
+        return tuple(out)
 
     def score(self, text: str | None) -> float:
-        total = self.grammar.offset + self.grammar.scale * self.total(text)
-        return 1.0 / (1.0 + math.exp(-max(min(total, 50.0), -50.0)))
+        total = self.grammar.offset + _capped(self.sums(text)) @ np.array(self.grammar.weights)
+        return float(1.0 / (1.0 + np.exp(-np.clip(total, -50.0, 50.0))))
+
+
+def _capped(sums: tuple[float, ...] | np.ndarray, most: float = 12.0) -> np.ndarray:
+    """Sums of long texts scaled down to ``most``, their shares as they are."""
+    x = np.asarray(sums, dtype=np.float64)
+    whole = x[..., :1] + x[..., 4:5]
+    return x * np.minimum(1.0, most / np.maximum(whole, most))
 
 
-def stems_of(text: str | None, least: int, most: int) -> set[tuple[str, int]]:
-    """The words of a text, lower-cased, and their beginnings of ``least`` to ``most`` letters, each with a hash of the neighbours at its first place."""
-    out: dict[str, int] = {}
-    words = WORD.findall((text or "").lower())
-    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        if len(word) >= least and word not in out:
-            place = zlib.crc32(f"{before} {after}".encode())
-            for k in range(least, min(most, len(word)) + 1):
-                out.setdefault(word[:k], place)
-            out[word] = place
-    return set(out.items())
+def stems_of(text: str | None, least: int, most: int) -> set[str]:
+    """The words of a text of ``least`` letters or more, lower-cased, and their beginnings of ``least`` to ``most`` letters."""
+    words = {w for w in WORD.findall((text or "").lower()) if len(w) >= least}
+    return words | {w[:k] for w in words for k in range(least, min(most, len(w)) + 1)}
+
+
+def likeness(text: str | None) -> int:
+    """A number that texts share if they are alike: the smallest hash of their words."""
+    return min((zlib.crc32(w.encode()) for w in set(WORD.findall((text or "").lower()))), default=0)
 
 
 def choose_stems(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, least_odds: float) -> dict[str, float]:
@@ -170,97 +244,70 @@ def choose_stems(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     return chosen
 
 
-def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stem_letters: tuple[int, int] = (4, 7), least_docs: int = 5, least_odds: float = 2.0) -> Grammar:
+def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stem_letters: tuple[int, int] = (4, 7), least_docs: int = 3, least_odds: float = 1.0) -> Grammar:
     """Weights from the labelled rows; ``labels`` has the id and a 0/1 label."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
     share = min(1.0, max_rows / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
     rows = cut(source.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", "toxic"))  # about max_rows ids
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic or not n_clean:
+    if rows.select("toxic").distinct().count() < 2:
         return Grammar({}, -50.0)
 
-    def places(only: frozenset[str] | None):
+    def stems(only: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 seen: set[tuple[str, int]] = set()
                 for text in batch.column("text"):
-                    own = stems_of(text.as_py(), *stem_letters)
-                    seen.update(own if only is None else (x for x in own if x[0] in only))
+                    own, like = stems_of(text.as_py(), *stem_letters), likeness(text.as_py())
+                    # The empty stem counts the texts themselves.
+                    seen.update((x, like) for x in (own if only is None else own & only) | {""})
                     if len(seen) > 200_000:
                         yield rows_of(seen)
                         seen.clear()
                 yield rows_of(seen)
 
         def rows_of(seen: set[tuple[str, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"stem": pa.array([x for x, _ in seen], pa.string()), "place": pa.array([n for _, n in seen], pa.int64())})
+            return pa.RecordBatch.from_pydict({"stem": pa.array([x for x, _ in seen], pa.string()), "like": pa.array([n for _, n in seen], pa.int64())})
 
         return run
 
     def totals(df: DataFrame, only: frozenset[str] | None) -> DataFrame:
-        """Stems by the number of different neighbourhoods they stand in, so that copies of a text count once."""
-        return df.select("text").mapInArrow(places(only), "stem string, place long").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("c"))
+        """Stems by the number of unlike texts they stand in."""
+        return df.select("text").mapInArrow(stems(only), "stem string, like long").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("c"))
 
-    # A stem in a thousandth as many places as there are toxic texts: their number is bounded with the sample.
-    often = max(least_docs, n_toxic // 1000)
-    toxic = {r["stem"]: r["c"] for r in totals(rows.where("toxic = 1"), None).where(F.col("c") >= often).collect()}
+    # Both lists are bounded with the sample.
+    toxic = {r["stem"]: r["c"] for r in totals(rows.where("toxic = 1"), None).where((F.col("c") >= least_docs) | (F.col("stem") == "")).collect()}
     clean = {r["stem"]: r["c"] for r in totals(rows.where("toxic = 0"), frozenset(toxic)).collect()}
-    stems = choose_stems({s: (n, clean.get(s, 0)) for s, n in toxic.items()}, n_toxic, n_clean, least_odds)
+    chosen = choose_stems({s: (n, clean.get(s, 0)) for s, n in toxic.items() if s}, toxic[""], clean[""], least_odds)
+    first = Grammar(chosen, 0.0)
 
-    first = Grammar(stems, 0.0)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with negated clauses only and with reported ones only, by label."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(first)
-        seen: Counter[tuple[int, str]] = Counter()
-        for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
-                found = scanner.clauses(text.as_py())
-                kinds = [] if not found else [k for k, i in (("negated", 1), ("reported", 2)) if all(c[i] for c in found)]
-                seen.update((int(label.as_py()), k) for k in kinds)
-        yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k in seen], pa.int64()), "kind": pa.array([k[1] for k in seen], pa.string()), "c": pa.array(list(seen.values()), pa.int64())})
-
-    tallies = {(r["kind"], r["toxic"]): r["c"] for r in rows.mapInArrow(tally, "toxic long, kind string, c long").groupBy("toxic", "kind").agg(F.sum("c").alias("c")).collect()}
-
-    def factor(kind: str) -> float:
-        bad, good = tallies.get((kind, 1), 0), tallies.get((kind, 0), 0)
-        if bad + good < 20:
-            return 1.0
-        return min(1.0, 2.0 * (bad + 1) / (bad + good + 2)) if bad < good else 1.0
-
-    second = Grammar(stems, 0.0, negated=factor("negated"), reported=factor("reported"))
-
-    def totals_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(second)
-        seen: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
-                seen[int(label.as_py()), min(round(4 * scanner.total(text.as_py())), 400)] += 1
-        yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k in seen], pa.int64()), "total": pa.array([k[1] for k in seen], pa.int64()), "c": pa.array(list(seen.values()), pa.int64())})
-
-    # At most 401 totals for each label.
-    points = [(r["total"] / 4.0, r["toxic"], r["c"]) for r in rows.mapInArrow(totals_by_label, "toxic long, total long, c long").groupBy("toxic", "total").agg(F.sum("c").alias("c")).collect()]
-    offset, scale = fit_logistic(points)
-    return Grammar(stems, offset, scale=scale, negated=second.negated, reported=second.reported)
-
-
-def fit_logistic(points: list[tuple[float, int, int]], ridge: float = 0.1) -> tuple[float, float]:
-    """Offset and slope of a logistic curve through (value, label, count), by Newton's steps; the slope is at least 0.05."""
-    x, y, c = (np.array(v, dtype=np.float64) for v in zip(*sorted(points), strict=True))
-    x = np.minimum(x, 12.0)
-    beta = np.array([math.log((c @ y + 0.5) / (c @ (1 - y) + 0.5)), 0.3])
-    design = np.stack([np.ones_like(x), x])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
-        grad = design @ (c * (p - y)) + ridge * beta
-        hess = (design * (c * p * (1 - p))) @ design.T + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = beta - np.clip(step, -1, 1)
+            found = [scanner.sums(x.as_py()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int64()), "sums": pa.array(found, pa.list_(pa.float64()))})
+
+    # Seven numbers of about max_rows texts, equal ones once.
+    points = rows.mapInArrow(sums, "toxic long, sums array<double>").groupBy("toxic", "sums").agg(F.count(F.lit(1)).alias("c")).orderBy("toxic", "sums").collect()
+    offset, weights = fit_logistic(np.array([r["sums"] for r in points]), np.array([r["toxic"] for r in points], dtype=float), np.array([r["c"] for r in points], dtype=float))
+    return Grammar(chosen, offset, weights)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
+    """Offset and weights of a logistic regression over rows that occur ``c`` times, by Newton's steps; the ridge pulls the weights to ``PRIOR``."""
+    design = np.column_stack([np.ones(len(x)), _capped(x)])
+    prior = np.array([-2.0, *PRIOR])
+    strength = np.diag([0.01, *[ridge] * len(PRIOR)])
+    beta = prior.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        slope = design.T @ (c * (p - y)) + strength @ (beta - prior)
+        step = np.linalg.solve((design * (c * p * (1 - p))[:, None]).T @ design + strength, slope)
+        beta = beta - np.clip(step, -0.5, 0.5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(min(beta[0], -0.5)), float(max(beta[1], 0.05))
+    return float(min(beta[0], -0.5)), tuple(float(b) for b in beta[1:])
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

@@ -131,6 +131,7 @@ def test_toxicity_learned_and_held_out(spark):
     grammar = toxicity.learn_grammar(docs, known.where(~out))
     assert any("grubosh".startswith(s) for s in grammar.stems)
     found = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, grammar, keep={"held_out": out}).collect()}
+    assert toxicity.score_toxicity(docs.where("false"), grammar).count() == 0
     held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 5 == 0]
     assert held and all(found[k]["held_out"] for k in held)
     right = [found[k]["predicted"] == t for k, t in labels if k in set(held)]
@@ -141,13 +142,65 @@ def test_toxicity_learned_and_held_out(spark):
 
 
 def test_clause_grammar():
-    s = toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, -2.0, negated=0.5, reported=0.25))
+    s = toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, -2.0))
+    insult, threat, negated, reported, targeted = toxicity.IS_INSULT, toxicity.IS_THREAT, toxicity.NEGATED, toxicity.REPORTED, toxicity.TARGETED
     assert s.clauses("a day. nothing here") == [] and s.score(None) == s.score("") < 0.5
-    assert s.clauses("what vlorns; fine") == [(3.0, False, False)]
-    assert s.clauses("you vlor") == [(3.75, False, False)]
-    assert s.clauses("not a vlor") == [(3.0, True, False)] and s.clauses("he said vlor") == [(3.0, False, True)]
-    assert s.clauses("i will kill you") == [(5.0, False, False)] and s.clauses("kill time") == []
-    assert s.clauses("overvlor") == []
+    assert s.clauses("what vlorns; fine") == [[(3.0, insult)]]
+    assert s.clauses("you vlor") == s.clauses("vlor you") == [[(3.0, insult | targeted)]]
+    assert s.clauses("not a vlor") == [[(3.0, insult | negated)]] and s.clauses("he said vlor") == [[(3.0, insult | reported)]]
+    assert s.clauses("i will kill you") == [[(0.0, threat | targeted)]] and s.clauses("kill time") == []
+    assert s.clauses("overvlor") == [] and s.clauses('a "vlor" not one, two, three vlor') == [[(3.0, insult | reported), (3.0, insult | reported)]]
+
+
+@pytest.mark.parametrize(("part", "text"), [("insult", "a vlor"), ("threat", "i will kill him"), ("negation", "not a vlor"), ("reported", "he said vlor"), ("target", "you vlor")])
+def test_each_transducer_changes_the_score_of_its_clauses(part, text):
+    whole = toxicity.Grammar({"vlor": 3.0}, -2.0)
+    less = replace(whole, parts=tuple(x for x in whole.parts if x != part))
+    assert abs(toxicity.Scanner(whole).score(text) - toxicity.Scanner(less).score(text)) > 0.01
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["vlor", "vlorish", "kill", "will", "not", "said", "you", '"', "day", "die", "va", "."]), max_size=14))
+def test_marks_like_brute_force(words):
+    """Every mark by its definition, clause by clause, without an automaton."""
+    expected = []
+    for clause in " ".join(words).split("."):
+        own = clause.split()
+        target, marked = any(w in toxicity.TARGETS for w in own), []
+        for i, w in enumerate(own):
+            before = own[max(0, i - toxicity.REACH) : i]
+            marks = toxicity.IS_INSULT if w.startswith("vlor") else 0
+            marks |= toxicity.IS_THREAT if w in toxicity.HARMS and any(x in toxicity.INTENTS for x in before) else 0
+            if marks:
+                marks |= toxicity.NEGATED if any(x in toxicity.NEGATIONS for x in before) else 0
+                marks |= toxicity.REPORTED if any(x in toxicity.REPORTS or x in toxicity.QUOTES for x in own[:i]) else 0
+                marked.append((3.0 if w.startswith("vlor") else 0.0, marks | (toxicity.TARGETED if target else 0)))
+        if marked:
+            expected.append(marked)
+    assert toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, -2.0)).clauses(" ".join(words)) == expected
+
+
+def test_weights_of_marks_are_learned():
+    """Negated and reported insults of clean texts lose their weight, threats of toxic texts gain some."""
+    texts = [("a vlor", 1), ("not a vlor", 0), ("he said vlor", 0), ("i will kill", 1), ("day", 0), ("you vlor", 1)]
+    scanner = toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, 0.0))
+    x = np.array([scanner.sums(t) for t, _ in texts])
+    y, c = np.array([t for _, t in texts], dtype=float), np.full(len(texts), 50.0)
+    offset, weights = toxicity.fit_logistic(x, y, c)
+    learned = toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, offset, weights))
+    assert all((learned.score(t) >= 0.5) == bool(label) for t, label in texts)
+
+
+def test_one_long_clause_takes_linear_time():
+    import time
+
+    scanner = toxicity.Scanner(toxicity.Grammar({"vlor": 3.0}, -2.0))
+    times = []
+    for n in (20_000, 80_000):
+        text, began = "vlor day " * n, time.perf_counter()
+        assert len(scanner.clauses(text)[0]) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0]
 
 
 # Language identification
