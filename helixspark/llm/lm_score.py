@@ -6,9 +6,9 @@ sum of the log-probabilities scores a text. A word's probability has two parts:
 
 * Its cell, by the network. The ``own`` most frequent words have cells of their
   own, all others share ``suffixes`` cells by their last three bytes. Cells are
-  the network's input, so every word has an embedding, and its output: summed,
-  place-scaled embeddings of the neighbours, tanh, then a softmax over classes
-  of ``members`` cells and one over the members of the class, both of them given
+  the network's input, so every word has an embedding on the left and one on the
+  right, and its output: summed embeddings of the neighbours, tanh, then a softmax
+  over classes of ``members`` cells and one over the members of the class, both of them given
   the context.
 * The word in its cell, by its own count over the whole corpus. A word that
   occurs nowhere else takes the share of words that occur once, spread over all
@@ -51,11 +51,11 @@ _BLOCK = 1 << 14
 
 @dataclass(frozen=True)
 class Shape:
-    own: int = 2048
-    suffixes: int = 2048
-    members: int = 64
+    own: int = 1024
+    suffixes: int = 1024
+    members: int = 32
     reach: int = 2
-    hidden: int = 32
+    hidden: int = 24
     vocabulary: int = 65_536
     batch: int = 4096
     rate: float = 0.1
@@ -79,8 +79,8 @@ class Network:
 
     @staticmethod
     def shapes(s: Shape) -> list[tuple[int, ...]]:
-        """Embeddings, place scales, hidden offsets, class weights and offsets, member weights and offsets."""
-        return [(s.cells + 1, s.hidden), (2 * s.reach, s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes, s.hidden, s.members), (s.classes, s.members)]
+        """Embeddings to the left and to the right, hidden offsets, class weights and offsets, member weights and offsets."""
+        return [(2 * (s.cells + 1), s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes, s.hidden, s.members), (s.classes, s.members)]
 
     @classmethod
     def fresh(cls, shape: Shape, totals: np.ndarray) -> Network:
@@ -90,7 +90,7 @@ class Network:
         share = (totals + 0.5).reshape(shape.classes, shape.members)
         offsets = np.log(share.sum(axis=1) / share.sum()), np.log(share / share.sum(axis=1, keepdims=True))
         draw = lambda size, scale: rng.normal(0, scale, size)
-        made = [draw(sizes[0], 0.2), np.ones(sizes[1]), np.zeros(sizes[2]), draw(sizes[3], 0.1), offsets[0], draw(sizes[5], 0.1), offsets[1]]
+        made = [draw(sizes[0], 0.2), np.zeros(sizes[1]), draw(sizes[2], 0.1), offsets[0], draw(sizes[4], 0.1), offsets[1]]
         return cls(shape, [x.astype(np.float32) for x in made])
 
     @classmethod
@@ -106,17 +106,18 @@ class Network:
         return np.concatenate([x.ravel() for x in self.weights])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        embeddings, scales, out = self.weights[0], self.weights[1], self.weights[2]
-        for k in range(near.shape[1]):
-            out = out + embeddings[near[:, k]] * scales[k]
+        out = self.weights[0][near[:, 0]]
+        for k in range(1, near.shape[1]):
+            out += self.weights[0][near[:, k]]
+        out += self.weights[1]
         return np.tanh(out, out=out)
 
     def log_probs(self, near: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Log-probability of each token's cell given its neighbours' cells."""
-        s, (_, _, _, w1, c1, w2, c2) = self.shape, self.weights
+        s, (_, _, w1, c1, w2, c2) = self.shape, self.weights
         out = np.empty(len(cell), dtype=np.float64)
         for at in range(0, len(cell), _BLOCK):
-            order = at + np.argsort(cell[at : at + _BLOCK] // s.members, kind="stable")
+            order = at + _by(cell[at : at + _BLOCK] // s.members)
             h = self.hidden(near[order])
             kind, member = np.divmod(cell[order], s.members)
             logp = _log_softmax(h @ w1 + c1)[np.arange(len(kind)), kind].astype(np.float64)
@@ -128,37 +129,38 @@ class Network:
     def train(self, near: np.ndarray, cell: np.ndarray, memory: list[np.ndarray]) -> None:
         """One Adagrad step; ``memory`` holds the squared slopes so far."""
         s, p = self.shape, self.weights
-        order = np.argsort(cell // s.members, kind="stable")
+        order = _by(cell // s.members)
         near, (kind, member) = near[order], np.divmod(cell[order], s.members)
+        every = np.arange(len(kind))
         h = self.hidden(near)
-        slope = _softmax(h @ p[3] + p[4])
-        slope[np.arange(len(kind)), kind] -= 1
-        back = slope @ p[3].T
-        self._step(3, memory, h.T @ slope)
-        self._step(4, memory, slope.sum(axis=0))
+        slope = _softmax(h @ p[2] + p[3])
+        slope.ravel()[every * s.classes + kind] -= 1
+        back = slope @ p[2].T
+        self._step(2, memory, h.T @ slope)
+        self._step(3, memory, slope.sum(axis=0))
         segments = _segments(kind)
         inner = np.empty((len(kind), s.members), dtype=np.float32)
         for k, x, y in segments:
-            inner[x:y] = h[x:y] @ p[5][k] + p[6][k]
+            np.matmul(h[x:y], p[4][k], out=inner[x:y])
+        at, starts = np.array([k for k, _, _ in segments]), np.array([x for _, x, _ in segments])
+        inner += p[5][kind]
         inner = _softmax(inner)
-        inner[np.arange(len(kind)), member] -= 1
-        at = np.array([k for k, _, _ in segments])
+        inner.ravel()[every * s.members + member] -= 1
         slopes = np.empty((len(at), s.hidden, s.members), dtype=np.float32)
         for i, (k, x, y) in enumerate(segments):
-            back[x:y] += inner[x:y] @ p[5][k].T
-            slopes[i] = h[x:y].T @ inner[x:y]
-        self._step(5, memory, slopes, at)
-        self._step(6, memory, np.add.reduceat(inner, [x for _, x, _ in segments], axis=0), at)
-        back *= 1 - h * h
-        self._step(2, memory, back.sum(axis=0))
-        # Slopes of the places' embeddings, added up by cell.
-        by_cell = np.argsort(near, axis=None, kind="stable")
-        rows, scales = near.ravel()[by_cell], p[1].copy()
-        for k in range(near.shape[1]):
-            self._step(1, memory, (p[0][near[:, k]] * back).sum(axis=0), k)
-        row, place = np.divmod(by_cell, near.shape[1])
-        new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        self._step(0, memory, np.add.reduceat(back[row] * scales[place], new, axis=0), rows[new])
+            back[x:y] += inner[x:y] @ p[4][k].T
+            np.matmul(h[x:y].T, inner[x:y], out=slopes[i])
+        self._step(4, memory, slopes, at)
+        self._step(5, memory, np.add.reduceat(inner, starts, axis=0), at)
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        self._step(1, memory, back.sum(axis=0))
+        # Slopes of the neighbours' embeddings, added up by row.
+        flat, places = near.ravel(), near.shape[1]
+        rows = np.flatnonzero(np.bincount(flat, minlength=len(p[0])))
+        sums = [np.bincount(flat, weights=np.repeat(back[:, j], places), minlength=len(p[0]))[rows] for j in range(s.hidden)]
+        self._step(0, memory, np.stack(sums, axis=1).astype(np.float32), rows)
 
     def _step(self, which: int, memory: list[np.ndarray], slope: np.ndarray, at=slice(None)) -> None:
         seen = memory[which][at] + slope * slope
@@ -166,6 +168,11 @@ class Network:
         self.weights[which][at] -= self.shape.rate * slope / np.sqrt(seen + 1e-6)
 
 
+def _by(numbers: np.ndarray) -> np.ndarray:
+    """The order of small numbers; numpy sorts sixteen bits in linear time."""
+    return np.argsort(numbers.astype(np.uint16), kind="stable")
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
@@ -232,12 +239,12 @@ def cells_of(tokens: Tokens, own_hashes: np.ndarray, own_cells: np.ndarray, shap
 
 
 def neighbours(cells: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
-    """The cells around each token, left ones first; beyond a text's borders a cell of its own."""
-    r, texts = shape.reach, len(first) - 1
+    """The embeddings' rows of the cells around each token, left ones first; beyond a text's borders a row of its own."""
+    r, texts, side = shape.reach, len(first) - 1, shape.cells + 1
     at = np.arange(len(cells)) + r * (np.repeat(np.arange(texts), np.diff(first)) + 1)
     padded = np.full(len(cells) + r * (texts + 1), shape.cells, dtype=np.int32)
     padded[at] = cells
-    return np.stack([padded[at + k] for k in (*range(-r, 0), *range(1, r + 1))], axis=1)
+    return np.stack([padded[at + k] + (side if k > 0 else 0) for k in (*range(-r, 0), *range(1, r + 1))], axis=1)
 
 
 def byte_pairs(tokens: Tokens) -> np.ndarray:

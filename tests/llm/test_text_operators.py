@@ -251,7 +251,7 @@ LM_SHAPE = lm_score.Shape(own=16, suffixes=48, members=16, hidden=8, vocabulary=
 def brute_force_lm(words, corpus, model):
     """Log-probability of each word of a text of the corpus, from the network's weights and plain counts, one token at a time."""
     shape, counts = model.shape, collections.Counter(w for t in corpus for w in (t or "").lower().split())
-    e, scale, b, w1, c1, w2, c2 = (x.astype(float) for x in model.network.weights)
+    e, b, w1, c1, w2, c2 = (x.astype(float) for x in model.network.weights)
     own = dict(zip(model.own_hashes.tolist(), model.own_cells.tolist(), strict=True))
 
     def cell(word):
@@ -268,8 +268,8 @@ def brute_force_lm(words, corpus, model):
         begins[x] += n
     out = []
     for i, w in enumerate(words):
-        near = [cells[words[j]] if 0 <= j < len(words) else shape.cells for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(sum(e[c] * scale[k] for k, c in enumerate(near)) + b)
+        near = [(cells[words[j]] if 0 <= j < len(words) else shape.cells) + (shape.cells + 1 if j > i else 0) for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(sum(e[c] for c in near) + b)
         kind, member = divmod(cells[w], shape.members)
         score = log_softmax(h @ w1 + c1)[kind] + log_softmax(h @ w2[kind] + c2[kind])[member]
         if cells[w] >= shape.own:
