@@ -57,6 +57,45 @@ def test_repeated_chunks_in_a_batch_are_kept(store):
     assert store.stats("s")["table_rows"] == 2
 
 
+def test_writers_keep_what_others_committed(spark, store, tmp_path):
+    """Two writers that start from the same version, by upsert, deletion, index and merge: nothing committed is lost."""
+    other = VectorStore(spark, str(tmp_path))
+    stale = store.commit_of("s")
+    assert store.upsert_json("s", json.dumps(THREE[:1])) == 1 and store.upsert_json("s", json.dumps(THREE[1:2])) == 1
+    held, other.commit_of = other.commit_of, lambda space, calls=[]: stale if not calls.append(1) and len(calls) < 3 else held(space)
+    assert other.upsert_json("s", json.dumps([record("b1", [0, 0, 1, 0])])) == 1
+    assert sorted(r["chunk_id"] for r in store.table("s").collect()) == ["b1", "c0", "c1"]
+    base = store.commit_of("s")
+    assert other.delete_chunks("s", ["c0"]) == 1
+    store._replace("s", base, store.table("s", base), base.index)
+    assert sorted(r["chunk_id"] for r in other.table("s").collect()) == ["b1", "c1"]
+    store.optimize_index("s")
+    assert sorted(r["chunk_id"] for r in other.table("s").collect()) == ["b1", "c1"] and len(store.commit_of("s").parts) == 1
+
+
+def test_a_write_leaves_other_parts_alone(spark, store, tmp_path):
+    store.upsert_json("s", json.dumps(THREE))
+    folder = store._path("s")
+    before = {name: store.files.names(f"{folder}/{name}") for name in store.files.names(folder) if name.startswith("part")}
+    store.upsert_json("s", json.dumps([record("c0", [0, 0, 0, 1])]))
+    store.delete_chunks("s", ["c1"])
+    assert all(store.files.names(f"{folder}/{name}") == files for name, files in before.items())
+    assert [spark.read.parquet(f"{folder}/{p.path}").count() for p in store.commit_of("s").parts] == [3, 1, 1]
+    assert {r["chunk_id"]: list(r["vector"]) for r in store.table("s").collect()} == {"c0": [0, 0, 0, 1], "c2": [1, 1, 0, 0]}
+
+
+def test_nearest_many_like_one_by_one(spark, store):
+    rows = [(str(i), str(i), "s", [float(i % 5), float(i % 3), float(i // 40), 0.5], "", "{}") for i in range(120)]
+    store.upsert("s", spark.createDataFrame(rows, SCHEMA))
+    queries = spark.createDataFrame([(k, rows[k][3]) for k in range(0, 120, 20)] + [(999, [1.0])], "query_id long, vector array<float>")
+    many = {}
+    for r in store.nearest_many("s", queries, 7, "chunk_id <> '20'", block=3).collect():
+        many.setdefault(r["query_id"], set()).add((r["chunk_id"], r["distance"]))
+    assert sorted(many) == list(range(0, 120, 20))
+    for k, found in many.items():
+        assert found == {(r["chunk_id"], r["distance"]) for r in store.nearest("s", rows[k][3], 7, "chunk_id <> '20'").collect()}
+
+
 def test_index_recall(spark, store):
     rows = [(str(i), str(i), "s", [i / 300, 2 * i / 300, float(i % 7), 0.0], "", "{}") for i in range(300)]
     store.upsert("s", spark.createDataFrame(rows, SCHEMA))
