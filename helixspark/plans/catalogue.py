@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import svg
 from ..functions.sequence import CODE, CODONS, gc_content, reverse_complement, translate_dna
 from ..functions.tokens import CJK_RANGES, estimate_tokens
-from ..functions.vectors import cosine, squared_distance
+from ..functions.vectors import cosine
 from ..operators import formats, kmer, lengths, motif, orf, protein, tfidf
-from ..session import table
+from ..session import cut, shared_dir, table
 from ..sources import text as text_formats
 from ..svg import convert as svg_convert
 from ..vector import layout
+from ..vector.store import VectorStore
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,15 +250,24 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DISTANCE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda t: (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)) * (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE))))"
-_SEARCH = "SELECT chunk_id, round(1 - d, 6) AS score, round(d, 6) AS distance FROM (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, " + _DISTANCE + " AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where}) ORDER BY d, chunk_id LIMIT 10"
+# Every vector whose id is divisible by 20 is a query, against all rows.
+_SEARCH = "SELECT query_id, chunk_id, round(1 - d, 6) AS score, round(d, 6) AS distance FROM (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, " + _DISTANCE + " AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + _DISTANCE + ", CAST(e.vec_id AS VARCHAR)) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}) WHERE r <= 10"
 
 
-def _search(spark: SparkSession, sf_dir: str, condition: str | None = None) -> DataFrame:
+def _with_store(spark: SparkSession, sf_dir: str, run: Callable[[VectorStore, DataFrame], DataFrame]) -> DataFrame:
+    """What ``run`` makes of a store that holds all embeddings in space ``s``, their labels as metadata, and of the queries."""
     v = t.vectors(spark, sf_dir)
-    q = v.where("vec_id = 0").select(F.col("vector").alias("q"))
-    v = v.where(condition) if condition else v
-    near = v.crossJoin(F.broadcast(q)).select("chunk_id", squared_distance(F.col("vector"), F.col("q")).alias("distance"))  # the query is one row
-    return rounded(near.orderBy("distance", "chunk_id").limit(10).select("chunk_id", (1 - F.col("distance")).alias("score"), "distance"), "score", "distance")
+    base = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    store = VectorStore(spark, base)
+    store.ensure_table("s", v.select(F.max(F.size("vector"))).first()[0] or 0)
+    store.upsert("s", v.select(F.col("chunk_id").alias("id"), "chunk_id", F.lit("s").alias("space_id"), "vector", F.lit("").alias("text"), F.col("label").cast("string").alias("metadata")))
+    found = cut(run(store, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")))
+    store.files.remove(base)
+    return found
+
+
+def _search(spark: SparkSession, sf_dir: str, condition: str | None = None) -> DataFrame:
+    return rounded(_with_store(spark, sf_dir, lambda store, queries: store.nearest_many("s", queries, 10, condition)), "score", "distance")
 
 
 @query(_SEARCH.format(where="true"))
@@ -264,9 +275,63 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir)
 
 
-@query(_SEARCH.format(where="label = 5"))
+@query(_SEARCH.format(where="e.label = 5"))
 def vector_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "label = 5")
+    return _search(spark, sf_dir, "metadata = '5'")
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexed search of every query, held against the exact one: how many queries, and whether nine of ten neighbours are found."""
+
+    def run(store: VectorStore, queries: DataFrame) -> DataFrame:
+        exact = store.nearest_many("s", queries, 10).select("query_id", "chunk_id")
+        store.create_index("s")
+        store.optimize_index("s")
+        near = store.nearest_many("s", queries, 10, probes=store.probes_for("s", queries, 10)).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+        pairs = exact.join(near, ["query_id", "chunk_id"], "left")
+        return pairs.agg(F.count_distinct("query_id").alias("queries"), (F.sum("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+    return _with_store(spark, sf_dir, run)
+
+
+_LIVE = "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'new' ELSE CAST(label AS VARCHAR) END AS metadata, round(CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings"
+
+
+def _changed(store: VectorStore, also_deleted: bool) -> DataFrame:
+    """After every seventh row was replaced, and every third deleted."""
+    rows = store.table("s").where("cast(chunk_id as long) % 7 = 0")
+    store.upsert("s", rows.withColumn("vector", F.transform("vector", lambda x: x * 2)).withColumn("metadata", F.lit("new")))
+    if also_deleted:
+        store.delete_chunks("s", store.table("s").where("cast(chunk_id as long) % 3 = 0").select("chunk_id"))
+    return rounded(store.table("s").select("chunk_id", "metadata", F.get("vector", F.lit(0)).cast("double").alias("first")), "first")
+
+
+@query(_LIVE)
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_store(spark, sf_dir, lambda store, _: _changed(store, False))
+
+
+@query(f"{_LIVE} WHERE vec_id % 3 <> 0")
+def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_store(spark, sf_dir, lambda store, _: _changed(store, True))
+
+
+@query("SELECT step, rows, indexed, CAST((SELECT max(len(embedding)) FROM embeddings) AS INTEGER) AS dim, pinged FROM (SELECT 'full' AS step, (SELECT count(*) FROM embeddings) AS rows, false AS indexed, true AS pinged UNION ALL SELECT 'indexed', (SELECT count(*) FROM embeddings), true, true UNION ALL SELECT 'deleted', (SELECT count(*) FROM embeddings WHERE vec_id % 3 <> 0), true, true)")
+def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(store: VectorStore, _: DataFrame) -> DataFrame:
+        def state(step: str) -> tuple:
+            found = store.stats("s")
+            return step, found["table_rows"], found["indexed"], found["vector_dim"], store.ping("s")
+
+        states = [state("full")]
+        store.create_index("s", cells=8)
+        states.append(state("indexed"))
+        store.delete_chunks("s", store.table("s").where("cast(chunk_id as long) % 3 = 0").select("chunk_id"))
+        states.append(state("deleted"))
+        return spark.createDataFrame(states, "step string, rows long, indexed boolean, dim int, pinged boolean")
+
+    return _with_store(spark, sf_dir, run)
 
 
 def _shard_sql(source: str) -> str:

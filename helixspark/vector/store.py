@@ -316,6 +316,21 @@ class VectorStore:
         best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k)
         return best.select("query_id", "chunk_id", (1 - F.col("distance")).alias("score"), "distance")
 
+    def probes_for(self, space_id: str, queries: DataFrame, top_k: int, recall: float = 0.95, most: int = 256) -> int:
+        """How many cells a query must look into to find the share ``recall`` of its neighbours, told by about ``most`` of ``queries`` and an exact search."""
+        commit = self._needed(space_id)
+        centers = self.centers(space_id, commit)
+        if centers is None:
+            raise LookupError(f"space {space_id!r} has no index")
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // most))) == 0).select("query_id", "vector")
+        hits = self.nearest_many(space_id, some, top_k).select("query_id", "chunk_id").join(self.table(space_id, commit).select("chunk_id", "cell").where("cell is not null"), "chunk_id")
+        cells = {r["query_id"]: r["cells"] for r in hits.groupBy("query_id").agg(F.collect_list("cell").alias("cells")).collect()}
+        ranks = []
+        for q in some.collect():
+            order = ((centers - np.array(q["vector"], dtype=np.float64)) ** 2).sum(axis=1).argsort(kind="stable").argsort(kind="stable")
+            ranks += [int(order[c]) + 1 for c in cells.get(q["query_id"], [])]
+        return sorted(ranks)[min(len(ranks) - 1, int(recall * len(ranks)))] if ranks else 1
+
     def search_json(self, space_id: str, query_json: str, top_k: int, condition: str | None = None) -> str:
         return json.dumps([r.asDict() for r in self.nearest(space_id, json.loads(query_json), top_k, condition).collect()])
 
