@@ -59,62 +59,71 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _masked_lines(text: Column) -> Column:
-    """The lines of a text (place, masked line, number of words), without those that have no word."""
-    # A word with a digit is a variable field.
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(text)
-    odd = text.rlike(r"[\x09\x0B-\x0D]|\x20\x20|\x20\n|\n\x20|^\x20|\x20\z")
-    even = F.regexp_replace(F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " "), r"(?m)^\x20|\x20$", "")
-    lines = F.split(F.when(odd, even).otherwise(masked), "\n")
-    n = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
-    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("masked"), n(x).alias("n"))), lambda x: x["masked"] != "")
+def _odd(line: Column) -> Column:
+    """Whether a line has digits, or white space other than single blanks between words; most lines need no rewriting."""
+    return line.rlike(r"[0-9\x09-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+
+
+def _masked(line: Column) -> Column:
+    """The words with one blank between them; a word with a digit is a variable field."""
+    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
+    return F.when(_odd(line), F.trim(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def _worded_lines(text: Column) -> Column:
+    """The lines of a text that have words: place, line, number of words."""
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+    n = lambda x: F.when(x == "", F.lit(0)).when(_odd(x), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(blanks(x))
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), n(x).alias("n"))), lambda x: x["n"] > 0)
 
 
 def _passage(lines: Column, x: Column, i: Column, rules: LineRules) -> Column:
     """For a short line: the lines from it on that have ``long_words`` words in all; null if the text ends before."""
-    start = F.struct(x["n"].alias("n"), x["masked"].alias("masked"), F.array(x["at"]).alias("places"))
+    add = lambda a, y: F.when(a["n"] >= rules.long_words, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), (a["k"] + 1).alias("k")))
+    upto = F.aggregate(F.slice(lines, i + 1, F.lit(rules.long_words)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), add)
 
-    def add(a: Column, y: Column) -> Column:
-        more = F.struct((a["n"] + y["n"]).alias("n"), F.concat(a["masked"], F.lit("\n"), y["masked"]).alias("masked"), F.concat(a["places"], F.array(y["at"])).alias("places"))
-        return F.when(a["n"] >= rules.long_words, a).otherwise(more)
+    def unit(k: Column) -> Column:
+        own = F.slice(lines, i + 1, k)
+        return F.struct(F.array_join(F.transform(own, lambda y: y["line"]), " ").alias("line"), F.lit(rules.long_words).alias("n"), F.transform(own, lambda y: y["at"]).alias("places"), F.lit(False).alias("single"))
 
-    found = F.aggregate(F.slice(lines, i + 2, F.lit(rules.long_words - 1)), start, add)
-    return F.when((x["n"] < rules.long_words) & (found["n"] >= rules.long_words), found)
+    # One element or none, so that the end of the run is looked for once.
+    ends = F.filter(F.array(upto), lambda a: a["n"] >= rules.long_words)
+    return F.when(x["n"] < rules.long_words, F.transform(ends, lambda a: unit(a["k"])))
 
 
 def _units(docs: DataFrame, rules: LineRules) -> DataFrame:
     """doc_id, text_key, key (digest), n words, leaf (null for passages), places: the lines and passages of all texts."""
-    rows = docs.select("doc_id", "text_key", _masked_lines(F.col("text")).alias("ls"))
-    line = lambda x: F.struct(x["masked"].alias("masked"), x["n"].alias("n"), F.array(x["at"]).alias("places"), F.lit(True).alias("single"))
-    passage = lambda p: F.when(p.isNotNull(), F.struct(p["masked"].alias("masked"), p["n"].alias("n"), p["places"].alias("places"), F.lit(False).alias("single")))
-    units = F.concat(F.transform("ls", line), F.filter(F.transform("ls", lambda x, i: passage(_passage(F.col("ls"), x, i, rules))), lambda p: p.isNotNull()))
-    rows = rows.select("doc_id", "text_key", F.explode(units).alias("u"))
-    leaf = F.when(F.col("u.single"), _leaf(F.col("u.n"), F.col("u.masked"), rules))
-    return rows.select("doc_id", "text_key", _digest(F.col("u.masked")).alias("key"), F.least("u.n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "u.places")
+    rows = docs.select("doc_id", "text_key", _worded_lines(F.col("text")).alias("ls"))
+    line = lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), F.array(x["at"]).alias("places"), F.lit(True).alias("single"))
+    passages = F.filter(F.transform("ls", lambda x, i: _passage(F.col("ls"), x, i, rules)), lambda p: p.isNotNull())
+    rows = rows.select("doc_id", "text_key", F.explode(F.concat(F.transform("ls", line), F.flatten(passages))).alias("u"))
+    rows = rows.select("doc_id", "text_key", "u.places", "u.n", "u.single", _masked(F.col("u.line")).alias("masked"))
+    key = _digest(F.when(F.col("single"), F.col("masked")).otherwise(F.concat(F.lit("\n"), F.col("masked"))))
+    leaf = F.when(F.col("single"), _leaf(F.col("n"), F.col("masked"), rules))
+    return rows.select("doc_id", "text_key", key.alias("key"), F.least("n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "places")
 
 
 def _leaf(n: Column, masked: Column, rules: LineRules) -> Column:
     return F.xxhash64(n, F.substring_index(masked, " ", rules.depth))
 
 
-def _general(masked: Column, n: Column, rules: LineRules) -> Column:
-    """Digests of the general templates that a line fits."""
-    words, m = F.split(masked, " "), n - rules.depth
-    b = F.least(m, F.lit(rules.blocks))
+def _general(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """``key, general``: digests of the general templates that each of ``lines`` (masked, n) fits."""
+    m = F.col("n") - rules.depth
+    words, b = F.split("masked", " "), F.least(m, F.lit(rules.blocks))
     edge = lambda i: (F.lit(rules.depth) + F.floor(i * m / b)).cast("int")
-    block = lambda i: F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")
-    head = F.concat_ws(" ", n.cast("string"), F.substring_index(masked, " ", rules.depth))
-
-    def template(blocks: Column, *fields: Column) -> Column:
-        fixed = F.transform(blocks, lambda x, i: F.when(i.isin(*fields), "<?>").otherwise(x))
-        return _digest(F.concat_ws("\n", head, *[f.cast("string") for f in fields], F.array_join(fixed, "\n")))
-
-    blocks, last = F.transform(F.sequence(F.lit(0), b - 1), block), b - 1
-    one = F.transform(F.sequence(F.lit(0), last), lambda i: template(blocks, i))
-    if rules.fields == 1:
-        return one
-    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: template(blocks, i, j))))
-    return F.when(n < rules.long_words, one).otherwise(two)
+    block = lambda i: F.md5(F.array_join(F.slice(F.col("words"), edge(i) + 1, edge(i + 1) - edge(i)), " ").cast("binary"))
+    head = F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("masked", " ", rules.depth))
+    # Cut here, so that words and blocks are made once for each line and not for each template.
+    lines = cut(lines.select(_digest(F.col("masked")).alias("key"), "n", head.alias("head"), words.alias("words")))
+    lines = cut(lines.select("key", "n", "head", F.transform(F.sequence(F.lit(0), b - 1), block).alias("blocks")))
+    last = F.size("blocks") - 1
+    one = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), i.alias("j")))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    open_ = one if rules.fields == 1 else F.when(F.col("n") < rules.long_words, one).otherwise(two)
+    rows = lines.select("key", "head", "blocks", F.explode(open_).alias("o"))
+    fixed = F.transform("blocks", lambda x, k: F.when((k == F.col("o.i")) | (k == F.col("o.j")), "<?>").otherwise(x))
+    return rows.select("key", _digest(F.concat_ws("\n", "head", F.col("o.i").cast("string"), F.col("o.j").cast("string"), F.array_join(fixed, "\n"))).alias("general"))
 
 
 def _first_and_last() -> tuple[Column, Column]:
@@ -127,9 +136,10 @@ def _general_recurring(docs: DataFrame, per_doc: DataFrame, counts: DataFrame, r
     single = counts.where(F.col("leaf").isNotNull())
     leaves = single.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
     leaves = cut(leaves.where((F.col("kinds") > 1) & (F.col("n") >= rules.merged_words) & ((F.col("n") >= rules.long_words) | (F.col("all_docs") >= rules.merged_docs))).select("leaf"))
-    lines = docs.select(F.explode(_masked_lines(F.col("text"))).alias("x")).select("x.masked", "x.n", _leaf(F.col("x.n"), F.col("x.masked"), rules).alias("leaf"))
-    worded = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").distinct()
-    worded = worded.select(_digest(F.col("masked")).alias("key"), F.explode(_general(F.col("masked"), F.col("n"), rules)).alias("general"))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(_masked(F.col("line")).alias("masked"))
+    lines = lines.select("masked", (F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).alias("n")).where("masked != ''").withColumn("leaf", _leaf(F.col("n"), F.col("masked"), rules))
+    lines = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").select("masked", "n").distinct()
+    worded = _general(lines, rules)
     fits = cut(worded.join(single.select("key", "n", "docs", "first", "last"), "key"))
     groups = fits.groupBy("general").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last")).where("kinds > 1")
     groups = cut(groups.where(((F.col("n") >= rules.long_words) & (F.col("first") != F.col("last"))) | ((F.col("n") < rules.long_words) & (F.col("docs") >= rules.merged_docs))))

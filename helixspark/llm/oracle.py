@@ -85,7 +85,7 @@ def lines(rules: LineRules) -> str:
     t AS (SELECT doc_id, place, w, len(w) AS n, array_to_string(w, ' ') AS key FROM m WHERE len(w) > 0),
     a AS (SELECT doc_id, list(place ORDER BY place) AS ps, list(n ORDER BY place) AS ns, list(key ORDER BY place) AS ks FROM t GROUP BY doc_id),
     p AS (SELECT *, list_filter(range(2, {long + 1}), lambda j: k + j - 1 <= len(ns) AND list_sum(ns[k:k + j - 1]) >= {long})[1] AS j FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS k FROM a) WHERE ns[k] < {long}),
-    u AS (SELECT doc_id, key, least(n, {long}) AS n, [place] AS places FROM t UNION ALL SELECT doc_id, array_to_string(ks[k:k + j - 1], chr(10)), {long}, ps[k:k + j - 1] FROM p WHERE j IS NOT NULL),
+    u AS (SELECT doc_id, key, least(n, {long}) AS n, [place] AS places FROM t UNION ALL SELECT doc_id, chr(10) || array_to_string(ks[k:k + j - 1], ' '), {long}, ps[k:k + j - 1] FROM p WHERE j IS NOT NULL),
     c AS (SELECT key, any_value(n) AS n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM u GROUP BY key),
     b AS (SELECT key, any_value(w) AS w, any_value(n) AS n, any_value(n) - {d} AS m, least(any_value(n) - {d}, {rules.blocks}) AS b FROM t WHERE n >= {rules.merged_words} GROUP BY key),
     f AS (SELECT *, unnest(range(CASE WHEN n < {long} THEN i ELSE i + 1 END, CASE WHEN n < {long} THEN i + 1 ELSE b END)) AS j FROM (SELECT *, unnest(range(b)) AS i FROM b)),
