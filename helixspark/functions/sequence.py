@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,12 @@ def translate_codons(codon_array: Column, code: str = CODE) -> Column:
 def translate_dna(sequence: Column) -> Column:
     """Protein of frame 0. Stops are ``*`` and don't end it; codons with U or other letters are X."""
     return translate_codons(codons(ascii_upper(as_bytes(sequence))))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each place of an array of numbers, the sum of those before it; linear time, and no shuffle as a window would need."""
+
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - x)
+
+    return F.pandas_udf(run, "array<long>")(sizes)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ascii import as_bytes, ascii_upper
+from ..functions.sequence import sums_before
 
 # Bases that a code stands for, as bits A=1 C=2 G=4 T=8; others are any base.
 MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
@@ -43,14 +43,14 @@ def matches(sequences: DataFrame, pattern: str) -> DataFrame:
     The sequence is cut at each place; a place's position is the sum of the
     pieces before it, so rows are matches and not positions of the sequence.
     """
-    rows = sequences.select("seq_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("seq", F.lit(f"(?s)(?=({pattern}))"), F.lit(1)).alias("found"), F.transform(F.split("seq", f"(?s)(?={pattern})"), lambda x: F.length(x)).alias("sizes"))
+    rows = sequences.select("seq_id", F.regexp_extract_all("seq", F.lit(f"(?s)(?=({pattern}))"), F.lit(1)).alias("found"), F.transform(F.split("seq", f"(?s)(?={pattern})"), lambda x: F.length(x)).alias("sizes"))
     rows = rows.where(F.size("found") > 0)
     n = F.size("found")
     # The first piece leads up to the first match, unless that is at the very start.
     steps = F.when(F.size("sizes") > n, F.slice("sizes", F.lit(1), n)).otherwise(F.concat(F.array(F.lit(0)), F.slice("sizes", F.lit(1), n - 1)))
-    rows = rows.select("seq_id", "row", F.posexplode(F.arrays_zip(steps.alias("step"), F.col("found").alias("matched"))).alias("k", "x"))
-    upto = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("seq_id", F.sum("x.step").over(upto).cast("long").alias("start"), F.col("x.matched").alias("matched"))
+    rows = rows.withColumn("steps", steps).withColumn("before", sums_before(F.col("steps")))
+    rows = rows.select("seq_id", F.explode(F.arrays_zip("before", "steps", F.col("found").alias("matched"))).alias("x"))
+    return rows.select("seq_id", (F.col("x.before") + F.col("x.steps")).alias("start"), F.col("x.matched").alias("matched"))
 
 
 def find_motifs(sequences: DataFrame, motif: str, strand: str = "both", id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:

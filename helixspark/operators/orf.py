@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ascii import as_bytes, ascii_upper
-from ..functions.sequence import codons, translate_codons
+from ..functions.sequence import codons, sums_before, translate_codons
 
 STOP = "(?:TAA|TAG|TGA)"
 #: Codons up to and with the next stop, from where the last piece ended.
@@ -26,16 +26,16 @@ def find_orfs(sequences: DataFrame, min_length: int = 30, id_col: str = "seq_id"
     ``min_length`` of 0 or less means 30; lengths include the stop.
     """
     least = min_length if min_length > 0 else 30
-    rows = sequences.select(F.col(id_col).alias("seq_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(F.translate(ascii_upper(as_bytes(F.col(seq_col))), "U", "T"), "[^ACGTN]", "").alias("fwd"))
+    rows = sequences.select(F.col(id_col).alias("seq_id"), F.regexp_replace(F.translate(ascii_upper(as_bytes(F.col(seq_col))), "U", "T"), "[^ACGTN]", "").alias("fwd"))
     rows = rows.withColumn("n", F.length("fwd").cast("long"))
     turned = F.reverse(F.translate("fwd", "ACGT", "TGCA"))
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("s")), F.struct(F.lit("-").alias("strand"), turned.alias("s")))
-    rows = rows.select("seq_id", "row", "n", F.explode(strands).alias("x")).select("seq_id", "row", "n", "x.*")
+    rows = rows.select("seq_id", "n", F.explode(strands).alias("x")).select("seq_id", "n", "x.*")
     frames = F.array(*[F.struct(F.lit(f).alias("frame"), F.regexp_extract_all(F.substring("s", f + 1, 2147483647), F.lit(PIECE), F.lit(0)).alias("pieces")) for f in range(3)])
-    rows = rows.select("seq_id", "row", "n", "strand", F.explode(frames).alias("x")).select("seq_id", "row", "n", "strand", "x.*")
-    rows = rows.select("seq_id", "row", "n", "strand", "frame", F.posexplode("pieces").alias("k", "piece"))
-    before = Window.partitionBy("row", "strand", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("seq_id", "n", "strand", "frame", F.length("piece").alias("size"), F.regexp_extract("piece", FRAME, 1).alias("orf"), F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("before"))
+    rows = rows.select("seq_id", "n", "strand", F.explode(frames).alias("x")).select("seq_id", "n", "strand", "x.*")
+    before = sums_before(F.transform("pieces", lambda x: F.length(x)))
+    rows = rows.withColumn("before", before).select("seq_id", "n", "strand", "frame", F.explode(F.arrays_zip("pieces", "before")).alias("x"))
+    rows = rows.select("seq_id", "n", "strand", "frame", "x.before", F.length("x.pieces").alias("size"), F.regexp_extract("x.pieces", FRAME, 1).alias("orf"))
     rows = rows.withColumn("length", F.length("orf").cast("long")).where(F.col("length") >= least)
     rows = rows.withColumn("at", F.col("frame") + F.col("before") + F.col("size") - F.col("length"))
     start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - F.col("length")).cast("long")

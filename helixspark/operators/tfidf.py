@@ -3,33 +3,44 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def weights(tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From ``doc_ord, id, tokens``: postings (doc_ord, id, token, w), document frequencies (token, df), and n (one row).
+#: Tokens with their document frequencies that may be broadcast; more are joined by a shuffle.
+BROADCAST_TOKENS = 2_000_000
 
-    A weight is the count of a token in a document times ln(1 + n / (1 + df)).
-    Rows that repeat an id are entries of their own.
-    """
-    n = tokens.agg(F.count(F.lit(1)).alias("n"))
-    tf = tokens.select("doc_ord", "id", F.explode("tokens").alias("token")).groupBy("doc_ord", "id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = F.col("tf") * F.log(1 + F.col("n") / (1 + F.col("df")))
-    postings = tf.join(df, "token").crossJoin(F.broadcast(n)).select("doc_ord", "id", "token", w.alias("w"))  # n is one row
-    return postings, df, n
+
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """``doc_ord, id, token, tf`` from ``doc_ord, id, tokens``. Rows that repeat an id are entries of their own."""
+    return tokens.select("doc_ord", "id", F.explode("tokens").alias("token")).groupBy("doc_ord", "id", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(tf: DataFrame) -> DataFrame:
+    return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def weight(n: int) -> Column:
+    """A token's count in a document times ln(1 + n / (1 + df))."""
+    return F.col("tf") * F.log(1 + F.lit(n) / (1 + F.col("df")))
+
+
+def squared_norms(tf: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """``doc_ord, norm2``; the frequencies come to the counts, which stay where they are, if there are few enough."""
+    side = F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df
+    return tf.join(side, "token").groupBy("doc_ord").agg(F.sum(weight(n) * weight(n)).alias("norm2"))
 
 
 class TfidfIndex:
-    """An index that is kept under a key, as two persisted tables."""
+    """An index that is kept under a key, as three persisted tables."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.key: str | None = None
-        self.postings = self.df = self.norms = None
+        self.tf = self.df = self.norms = None
         self.n = 0
 
     def ensure(self, key: str, tokens: DataFrame) -> int:
@@ -37,10 +48,10 @@ class TfidfIndex:
         if self.key == key:
             return 0
         self.clear()
-        postings, df, n = weights(tokens)
-        self.postings, self.df = postings.persist(StorageLevel.MEMORY_AND_DISK), df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.norms = self.postings.groupBy("doc_ord").agg(F.sum(F.col("w") * F.col("w")).alias("norm2")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.n = n.first()["n"]
+        self.n = tokens.count()
+        self.tf = token_counts(tokens).persist(StorageLevel.MEMORY_AND_DISK)
+        self.df = document_frequencies(self.tf).persist(StorageLevel.MEMORY_AND_DISK)
+        self.norms = squared_norms(self.tf, self.df, self.n).persist(StorageLevel.MEMORY_AND_DISK)
         self.key = key
         return 1
 
@@ -59,7 +70,7 @@ class TfidfIndex:
         """
         if self.key is None:
             return self.spark.createDataFrame([], "doc_ord long, id string, base double")
-        return score_query(self.postings, self.df, self.norms, F.lit(self.n), query_tokens, k)
+        return score_query(self.tf, self.df, self.norms, self.n, query_tokens, k)
 
     def score_json(self, query_json: str, k: int) -> str:
         try:
@@ -69,10 +80,10 @@ class TfidfIndex:
         return json.dumps([{"id": r["id"], "base": r["base"]} for r in self.score(tokens, k).collect()])
 
     def clear(self) -> None:
-        for table in (self.postings, self.df, self.norms):
+        for table in (self.norms, self.df, self.tf):
             if table is not None:
                 table.unpersist()
-        self.key = self.postings = self.df = self.norms = None
+        self.key = self.tf = self.df = self.norms = None
         self.n = 0
 
     def info(self) -> str:
@@ -81,16 +92,17 @@ class TfidfIndex:
         return json.dumps({"ok": True, "key": self.key, "n": self.n, "dfSize": self.df.count(), "entriesLen": self.n})
 
 
-def score_query(postings: DataFrame, df: DataFrame, norms: DataFrame, n, query_tokens: list[str], k: int) -> DataFrame:
-    spark = postings.sparkSession
+def score_query(tf: DataFrame, df: DataFrame, norms: DataFrame, n: int, query_tokens: list[str], k: int) -> DataFrame:
+    """The ``k`` best documents; weights are made for the query's tokens only."""
+    spark = tf.sparkSession
     counts: dict[str, int] = {}
     for t in query_tokens:
         counts[t] = counts.get(t, 0) + 1
-    query = spark.createDataFrame(list(counts.items()) or [("", 0)], "token string, qtf long")
-    known = df.join(F.broadcast(query.select("token")), "token", "left_semi")  # at most the query's tokens
-    query = query.join(known, "token", "left").select("token", (F.col("qtf") * F.log(1 + n / (1 + F.coalesce("df", F.lit(0))))).alias("qw"))
-    norm = query.agg(F.sum(F.col("qw") * F.col("qw")).alias("q2"))
-    dots = postings.join(F.broadcast(query), "token").groupBy("doc_ord", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "doc_ord").crossJoin(F.broadcast(norm))  # one row
-    scored = scored.select("doc_ord", "id", F.when((F.col("norm2") > 0) & (F.col("q2") > 0), F.col("dot") / F.sqrt(F.col("norm2") * F.col("q2"))).otherwise(F.lit(0.0)).alias("base"))
-    return scored.where("base > 0").orderBy(F.desc("base"), "doc_ord").limit(k)
+    # At most the query's tokens.
+    known = {r["token"]: r["df"] for r in df.join(F.broadcast(spark.createDataFrame([(t,) for t in counts] or [("",)], "token string")), "token", "left_semi").collect()}
+    rows = [(t, known.get(t, 0), c * math.log(1 + n / (1 + known.get(t, 0)))) for t, c in counts.items()]
+    q2 = sum(w * w for _, _, w in rows)
+    query = spark.createDataFrame(rows or [("", 0, 0.0)], "token string, df long, qw double")
+    dots = tf.join(F.broadcast(query), "token").groupBy("doc_ord", "id").agg(F.sum(weight(n) * F.col("qw")).alias("dot"))
+    base = F.when((F.col("norm2") > 0) & F.lit(q2 > 0), F.col("dot") / F.sqrt(F.col("norm2") * F.lit(q2))).otherwise(F.lit(0.0))
+    return dots.join(norms, "doc_ord").select("doc_ord", "id", base.alias("base")).where("base > 0").orderBy(F.desc("base"), "doc_ord").limit(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -182,13 +183,13 @@ def aa_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH d AS ({t.DNA_SQL}), s AS (SELECT seq_id, '+' AS strand, seq FROM d UNION ALL SELECT seq_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM d),
-    g(codon, aa) AS (VALUES {_CODON_VALUES}),
-    c AS (SELECT seq_id, strand, length(seq) AS n, f AS frame, i, substr(seq, 3 * i + f + 1, 3) AS codon FROM (SELECT *, unnest(range(0, (length(seq) - f) // 3)) AS i FROM (SELECT *, unnest([0, 1, 2]) AS f FROM s) WHERE length(seq) - f >= 3)),
-    k AS (SELECT *, codon IN ('TAA', 'TAG', 'TGA') AS stop, count(*) FILTER (codon IN ('TAA', 'TAG', 'TGA')) OVER (PARTITION BY seq_id, strand, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM c),
-    o AS (SELECT seq_id, strand, frame, seg, any_value(n) AS n, min(i) FILTER (codon = 'ATG') AS a, min(i) FILTER (stop) AS z, min(codon) FILTER (stop) AS stop_codon FROM k GROUP BY seq_id, strand, frame, seg),
-    w AS (SELECT *, 3 * (z - a + 1) AS len, 3 * a + frame AS spot FROM o WHERE a IS NOT NULL AND z IS NOT NULL AND 3 * (z - a + 1) >= 30),
-    p AS (SELECT k.seq_id, k.strand, k.frame, k.seg, string_agg(coalesce(g.aa, 'X'), '' ORDER BY k.i) AS protein FROM k JOIN w USING (seq_id, strand, frame, seg) LEFT JOIN g ON k.codon = g.codon WHERE k.i >= w.a AND k.i < w.z GROUP BY ALL)
-    SELECT seq_id, CAST(CASE strand WHEN '+' THEN spot ELSE n - spot - len END AS BIGINT) AS start, CAST(CASE strand WHEN '+' THEN spot + len ELSE n - spot END AS BIGINT) AS "end", CAST(len AS BIGINT) AS length, strand, CAST(frame AS INTEGER) AS frame, 'ATG' AS start_codon, stop_codon, protein FROM w JOIN p USING (seq_id, strand, frame, seg)"""
+    f AS (SELECT seq_id, strand, length(seq) AS n, frame, regexp_extract_all(substr(seq, frame + 1), '...') AS cs FROM (SELECT *, unnest([0, 1, 2]) AS frame FROM s)),
+    z AS (SELECT *, list_filter(range(1, len(cs) + 1), lambda i: cs[i] IN ('TAA', 'TAG', 'TGA')) AS stops FROM f),
+    p AS (SELECT seq_id, strand, n, frame, unnest(stops) AS stop, unnest(list_prepend(0, stops[1:len(stops) - 1])) AS before FROM z),
+    o AS (SELECT p.*, cs, before + coalesce(list_position(cs[before + 1:stop], 'ATG'), 0) AS a FROM p JOIN f USING (seq_id, strand, n, frame)),
+    w AS (SELECT *, 3 * (stop - a + 1) AS len, 3 * (a - 1) + frame AS spot FROM o WHERE a > before AND 3 * (stop - a + 1) >= 30)
+    SELECT seq_id, CAST(CASE strand WHEN '+' THEN spot ELSE n - spot - len END AS BIGINT) AS start, CAST(CASE strand WHEN '+' THEN spot + len ELSE n - spot END AS BIGINT) AS "end", CAST(len AS BIGINT) AS length, strand, CAST(frame AS INTEGER) AS frame,
+    'ATG' AS start_codon, cs[stop] AS stop_codon, array_to_string(list_transform(cs[a:stop - 1], lambda c: coalesce(substr('{CODE}', CAST(list_position({CODONS}, c) AS INTEGER), 1), 'X')), '') AS protein FROM w"""
 )
 def find_orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orf.find_orfs(t.dna(spark, sf_dir))
@@ -221,15 +222,38 @@ _TFIDF = f"""WITH d AS ({t.TOKEN_SQL}), n AS (SELECT count(*) AS n FROM d),
     SELECT doc_ord, id, round(dot / sqrt(n2 * (SELECT sum(qw * qw) FROM q)), 6) AS base FROM s JOIN m USING (doc_ord) WHERE dot > 0 ORDER BY dot / sqrt(n2 * (SELECT sum(qw * qw) FROM q)) DESC, doc_ord LIMIT 20"""
 )
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings, df, n = tfidf.weights(t.tokens(spark, sf_dir))
-    norms = postings.groupBy("doc_ord").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
-    return rounded(tfidf.score_query(postings, df, norms, F.lit(n.first()["n"]), _Q_TOKENS, 20), "base")
+    index = tfidf.TfidfIndex(spark)
+    index.ensure("documents", t.tokens(spark, sf_dir))
+    found = cut(rounded(index.score(_Q_TOKENS, 20), "base"))
+    index.clear()
+    return found
 
 
 @query(f"{_TFIDF} SELECT (SELECT n FROM n) AS n, (SELECT count(*) FROM df) AS df_size, (SELECT count(*) FROM d) AS entries_len")
 def tfidf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, df, n = tfidf.weights(t.tokens(spark, sf_dir))
-    return n.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("df_size")))).select("n", "df_size", F.col("n").alias("entries_len"))  # one row each
+    index = tfidf.TfidfIndex(spark)
+    index.ensure("documents", t.tokens(spark, sf_dir))
+    held = json.loads(index.info())
+    index.clear()
+    return spark.createDataFrame([(held["n"], held["dfSize"], held["entriesLen"])], "n long, df_size long, entries_len long")
+
+
+@query(f"{_TFIDF} SELECT step, built, ok, dfs FROM (SELECT 'first' AS step, 1 AS built, true AS ok, (SELECT count(*) FROM df) AS dfs UNION ALL SELECT 'same key', 0, true, (SELECT count(*) FROM df) UNION ALL SELECT 'cleared', NULL, false, NULL UNION ALL SELECT 'again', 1, true, 3)")
+def tfidf_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index is built, kept under its key, cleared, and built from JSON."""
+    index, steps = tfidf.TfidfIndex(spark), []
+
+    def state(step: str, built: int | None) -> None:
+        held = json.loads(index.info())
+        steps.append((step, built, held["ok"], held.get("dfSize")))
+
+    state("first", index.ensure("documents", t.tokens(spark, sf_dir)))
+    state("same key", index.ensure("documents", t.tokens(spark, sf_dir).limit(1)))
+    index.clear()
+    state("cleared", None)
+    state("again", index.ensure_json("other", json.dumps([{"id": "a", "tokens": ["x", "y", "x"]}, {"id": "b", "tokens": ["z"]}])))
+    index.clear()
+    return spark.createDataFrame(steps, "step string, built int, ok boolean, dfs long")
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE)))"
