@@ -45,8 +45,7 @@ def fastq_stats(reads: DataFrame) -> DataFrame:
 
 
 def read_fastq_stats(spark: SparkSession, path: str) -> DataFrame:
-    binary.register(spark)
-    return fastq_stats(spark.read.format("fastq").load(path))
+    return fastq_stats(binary.read_files(spark, "fastq", path))
 
 
 def bam_stats(reads: DataFrame) -> DataFrame:
@@ -72,8 +71,7 @@ def bam_stats(reads: DataFrame) -> DataFrame:
 
 
 def read_bam_stats(spark: SparkSession, path: str) -> DataFrame:
-    binary.register(spark)
-    return bam_stats(spark.read.format("bam").load(path))
+    return bam_stats(binary.read_files(spark, "bam", path))
 
 
 def variant_stats(variants: DataFrame, samples: DataFrame) -> DataFrame:
@@ -105,8 +103,7 @@ def bcf_stats(records: DataFrame) -> DataFrame:
 
 
 def read_bcf_stats(spark: SparkSession, path: str) -> DataFrame:
-    binary.register(spark)
-    return bcf_stats(spark.read.format("bcf").load(path))
+    return bcf_stats(binary.read_files(spark, "bcf", path))
 
 
 def gff_stats(features: DataFrame) -> DataFrame:

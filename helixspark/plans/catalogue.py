@@ -16,9 +16,10 @@ from ..functions.vectors import cosine
 from ..operators import formats, kmer, lengths, motif, orf, protein, tfidf
 from ..session import cut, shared_dir, table
 from ..sources import text as text_formats
+from ..sources import writers
 from ..svg import convert as svg_convert
 from ..vector import layout
-from ..vector.store import VectorStore
+from ..vector.store import Files, VectorStore
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,6 +395,27 @@ def bam_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(formats.bam_stats(t.bam_reads(spark, sf_dir)), "avg_mapq", "avg_length", "gc_percent")
 
 
+def _through_files(spark: SparkSession, rows: DataFrame, encode, kind: str, read) -> DataFrame:
+    """What ``read`` finds in files that hold ``rows``."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    writers.write_files(rows, path, encode, kind)
+    found = cut(read(spark, path))
+    Files(spark).remove(path)
+    return found
+
+
+@query(SQL["fastq_stats"])
+def fastq_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _through_files(spark, t.fastq_reads(spark, sf_dir), writers.fastq_file, "fastq.gz", formats.read_fastq_stats)
+    return rounded(found, "avg_quality", "q20_percent", "q30_percent", "gc_percent")
+
+
+@query(SQL["bam_stats"])
+def bam_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _through_files(spark, t.bam_reads(spark, sf_dir), writers.bam_file, "bam", formats.read_bam_stats)
+    return rounded(found, "avg_mapq", "avg_length", "gc_percent")
+
+
 _SNP = "length(ref) = 1 AND (alt = '.' OR len(list_filter(string_split(alt, ','), lambda a: length(a) <> 1)) = 0)"
 
 
@@ -402,6 +424,12 @@ def vcf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(formats.vcf_stats(t.vcf_lines(spark, sf_dir)), "avg_qual")
 
 
+@query(SQL["vcf_stats"])
+def bcf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = text_formats.parse_vcf(t.vcf_lines(spark, sf_dir)).select("chrom", "pos", "ids", "ref", "alts", "qual", "filters")
+    return rounded(_through_files(spark, variants, lambda rows: writers.bcf_file(rows, ("S1", "S2")), "bcf", formats.read_bcf_stats), "avg_qual")
+
+
 _FILTERED = f"SELECT o_orderkey AS ordinal, chrom, pos, CASE id WHEN '.' THEN '' ELSE id END AS id, ref, CASE alt WHEN '.' THEN '' ELSE alt END AS alt, CAST(coalesce(CAST(nullif(qual, '.') AS FLOAT), 0) AS DOUBLE) AS qual, filter, info FROM ({t.VCF_SQL})"
 
 
