@@ -526,16 +526,45 @@ def svg_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(svg_convert.svg_info(_drawings(spark, sf_dir)), "width", "height", "physical_width_in", "physical_height_in")
 
 
-def _encoded(kind: str) -> Query:
+def _stored_size(kind: str) -> tuple[Column, Column]:
+    """Width and height as the image's own header has them."""
+    text = F.hex("image")
+
+    def number(byte: int, little: bool) -> Column:
+        digits = [F.substring(text, 2 * (byte + k) + 1, 2) for k in range(4)]
+        return F.conv(F.concat(*(reversed(digits) if little else digits)), 16, 10).cast("int")
+
+    if kind == "pdf":
+        latin = F.decode("image", "ISO-8859-1")
+        return tuple(F.regexp_extract(latin, rf"/{x} ([0-9]+)", 1).cast("int") for x in ("Width", "Height"))
+    if kind == "jpeg":  # the frame header: marker, length 17, eight bits, height, width
+        frame = lambda k: F.conv(F.regexp_extract(text, "FFC0001108(.{4})(.{4})", k), 16, 10).cast("int")
+        return frame(2), frame(1)
+    at = {"png": (16, 20, False), "bmp": (18, 22, True), "tiff": (18, 30, True)}[kind]
+    return number(at[0], at[2]), number(at[1], at[2])
+
+
+#: Of the formats without compression, the size of the file and (TIFF) the first pixel.
+_RAW = {"bmp": "CAST(54 + (3 * w + 3) // 4 * 4 * h AS BIGINT)", "tiff": "CAST(142 + 4 * w * h AS BIGINT)"}
+
+
+def _encoded(kind: str) -> None:
+    sql = f"SELECT path, true AS ok, w AS width, h AS height, '{kind}' AS format, CAST(96 AS DOUBLE) AS dpi, CAST(NULL AS VARCHAR) AS error, w AS stored_width, h AS stored_height"
+    sql += f", {_RAW[kind]} AS bytes_written" if kind in _RAW else ""
+    sql += ", c[1] || c[1] || c[2] || c[2] || c[3] || c[3] || 'FF' AS first_pixel" if kind == "tiff" else ""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return svg_convert.convert_svgs(_drawings(spark, sf_dir), svg_convert.Options(format=kind)).drop("image")
+        found = svg_convert.convert_svgs(_drawings(spark, sf_dir), svg_convert.Options(format=kind))
+        w, h = _stored_size(kind)
+        found = found.withColumns({"stored_width": w, "stored_height": h, "first_pixel": F.hex(F.substring("image", 143, 4))})
+        return found.drop("image", *([] if kind in _RAW else ["bytes_written"]), *([] if kind == "tiff" else ["first_pixel"]))
 
     run.__name__ = f"svg_convert_{kind}"
-    return run
+    query(f"{sql} FROM (SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_partkey % 40 + 8 AS INTEGER) AS w, CAST(floor((p_partkey % 30 + 6) * 96.0 / 72.0 + 0.5) AS INTEGER) AS h, string_split(printf('%03X', CAST(p_partkey % 4096 AS INTEGER)), '') AS c FROM part)")(run)
 
 
 for _kind in ("png", "jpeg", "tiff", "bmp", "pdf"):
-    query()(_encoded(_kind))
+    _encoded(_kind)
 
 
 def queries() -> dict[str, Query]:

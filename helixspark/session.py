@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HELIX_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -39,14 +40,18 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place on one machine only, as in tests; elsewhere
+    it is an error. Checkpoints are removed with their tables where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     current = context.getCheckpointDir()
     if current:
         return current
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helix-checkpoint-"))
     return context.getCheckpointDir()
 
