@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .joins import join_hot
 
 
@@ -59,32 +59,43 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _odd(line: Column) -> Column:
-    """Whether a line has digits, or white space other than single blanks between words; most lines need no rewriting."""
-    return line.rlike(r"[0-9\x09-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+def _even(text: Column) -> Column:
+    """The text with one blank between the words of a line and none around them; most texts are so already."""
+    signs = ["  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"]
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for sign in signs:
+        odd = odd | F.contains(text, F.lit(sign))
+    single = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.when(odd, F.regexp_replace(single, r"(?dm)^\x20|\x20$", "")).otherwise(text)
 
 
 def _masked(line: Column) -> Column:
-    """The words with one blank between them; a word with a digit is a variable field."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
-    return F.when(_odd(line), F.trim(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    """A word with a digit is a variable field."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
+
+
+def _n_words(line: Column) -> Column:
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
 
 
 def _worded_lines(text: Column) -> Column:
-    """The lines of a text that have words: place, line, number of words."""
-    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
-    n = lambda x: F.when(x == "", F.lit(0)).when(_odd(x), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(blanks(x))
-    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), n(x).alias("n"))), lambda x: x["n"] > 0)
+    """The lines of an even text that have words: place, line, number of words."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), _n_words(x).alias("n"))), lambda x: x["n"] > 0)
+
+
+def _range(first: Column, last: Column) -> Column:
+    """Two places as one number that sorts by the first."""
+    return F.call_function("shiftleft", first.cast("long"), F.lit(32)) + last
 
 
 def _passage(lines: Column, x: Column, i: Column, rules: LineRules) -> Column:
-    """For a short line: the lines from it on that have ``long_words`` words in all; null if the text ends before."""
+    """For a short line: the lines from it on that have ``long_words`` words in all, as an array of one; null if the text ends before."""
     add = lambda a, y: F.when(a["n"] >= rules.long_words, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), (a["k"] + 1).alias("k")))
     upto = F.aggregate(F.slice(lines, i + 1, F.lit(rules.long_words)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), add)
 
     def unit(k: Column) -> Column:
-        own = F.slice(lines, i + 1, k)
-        return F.struct(F.array_join(F.transform(own, lambda y: y["line"]), " ").alias("line"), F.lit(rules.long_words).alias("n"), F.transform(own, lambda y: y["at"]).alias("places"), F.lit(False).alias("single"))
+        own = F.transform(F.slice(lines, i + 1, k), lambda y: y["line"])
+        return F.struct(F.array_join(own, " ").alias("line"), F.lit(rules.long_words).alias("n"), _range(x["at"], F.get(lines, i + k - 1)["at"]).alias("range"), F.lit(False).alias("single"))
 
     # One element or none, so that the end of the run is looked for once.
     ends = F.filter(F.array(upto), lambda a: a["n"] >= rules.long_words)
@@ -92,38 +103,42 @@ def _passage(lines: Column, x: Column, i: Column, rules: LineRules) -> Column:
 
 
 def _units(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """doc_id, text_key, key (digest), n words, leaf (null for passages), places: the lines and passages of all texts."""
-    rows = docs.select("doc_id", "text_key", _worded_lines(F.col("text")).alias("ls"))
-    line = lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), F.array(x["at"]).alias("places"), F.lit(True).alias("single"))
+    """doc_id, text_key, key (digest), n words, leaf (null for passages), range (first and last line): the lines and passages of all texts."""
+    rows = docs.select("doc_id", "text_key", _worded_lines(_even(F.col("text"))).alias("ls"))
+    line = lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), _range(x["at"], x["at"]).alias("range"), F.lit(True).alias("single"))
     passages = F.filter(F.transform("ls", lambda x, i: _passage(F.col("ls"), x, i, rules)), lambda p: p.isNotNull())
     rows = rows.select("doc_id", "text_key", F.explode(F.concat(F.transform("ls", line), F.flatten(passages))).alias("u"))
-    rows = rows.select("doc_id", "text_key", "u.places", "u.n", "u.single", _masked(F.col("u.line")).alias("masked"))
+    rows = rows.select("doc_id", "text_key", "u.range", "u.n", "u.single", _masked(F.col("u.line")).alias("masked"))
     key = _digest(F.when(F.col("single"), F.col("masked")).otherwise(F.concat(F.lit("\n"), F.col("masked"))))
     leaf = F.when(F.col("single"), _leaf(F.col("n"), F.col("masked"), rules))
-    return rows.select("doc_id", "text_key", key.alias("key"), F.least("n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "places")
+    return rows.select("doc_id", "text_key", key.alias("key"), F.least("n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "range")
 
 
 def _leaf(n: Column, masked: Column, rules: LineRules) -> Column:
     return F.xxhash64(n, F.substring_index(masked, " ", rules.depth))
 
 
-def _general(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """``key, general``: digests of the general templates that each of ``lines`` (masked, n) fits."""
+def _with_blocks(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """``lines`` (masked, n) as key, n, head and digests of their blocks."""
     m = F.col("n") - rules.depth
-    words, b = F.split("masked", " "), F.least(m, F.lit(rules.blocks))
+    b = F.least(m, F.lit(rules.blocks))
     edge = lambda i: (F.lit(rules.depth) + F.floor(i * m / b)).cast("int")
     block = lambda i: F.md5(F.array_join(F.slice(F.col("words"), edge(i) + 1, edge(i + 1) - edge(i)), " ").cast("binary"))
     head = F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("masked", " ", rules.depth))
-    # Cut here, so that words and blocks are made once for each line and not for each template.
-    lines = cut(lines.select(_digest(F.col("masked")).alias("key"), "n", head.alias("head"), words.alias("words")))
-    lines = cut(lines.select("key", "n", "head", F.transform(F.sequence(F.lit(0), b - 1), block).alias("blocks")))
+    # Cut here, so that words are made once for each line and not for each block.
+    lines = cut(lines.select(_digest(F.col("masked")).alias("key"), "n", head.alias("head"), F.split("masked", " ").alias("words")))
+    return lines.select("key", "n", "head", F.transform(F.sequence(F.lit(0), b - 1), block).alias("blocks"))
+
+
+def _general(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """``line, general``: digests of the general templates that each of ``lines`` (line, n, head, blocks) fits."""
     last = F.size("blocks") - 1
     one = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), i.alias("j")))
     two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     open_ = one if rules.fields == 1 else F.when(F.col("n") < rules.long_words, one).otherwise(two)
-    rows = lines.select("key", "head", "blocks", F.explode(open_).alias("o"))
+    rows = lines.select("line", "head", "blocks", F.explode(open_).alias("o"))
     fixed = F.transform("blocks", lambda x, k: F.when((k == F.col("o.i")) | (k == F.col("o.j")), "<?>").otherwise(x))
-    return rows.select("key", _digest(F.concat_ws("\n", "head", F.col("o.i").cast("string"), F.col("o.j").cast("string"), F.array_join(fixed, "\n"))).alias("general"))
+    return rows.select("line", _digest(F.concat_ws("\n", "head", F.col("o.i").cast("string"), F.col("o.j").cast("string"), F.array_join(fixed, "\n"))).alias("general"))
 
 
 def _first_and_last() -> tuple[Column, Column]:
@@ -136,12 +151,20 @@ def _general_recurring(docs: DataFrame, per_doc: DataFrame, counts: DataFrame, r
     single = counts.where(F.col("leaf").isNotNull())
     leaves = single.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
     leaves = cut(leaves.where((F.col("kinds") > 1) & (F.col("n") >= rules.merged_words) & ((F.col("n") >= rules.long_words) | (F.col("all_docs") >= rules.merged_docs))).select("leaf"))
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(_masked(F.col("line")).alias("masked"))
-    lines = lines.select("masked", (F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).alias("n")).where("masked != ''").withColumn("leaf", _leaf(F.col("n"), F.col("masked"), rules))
+    lines = docs.select(F.explode(F.split(_even(F.col("text")), "\n")).alias("line")).where("line != ''").select(_masked(F.col("line")).alias("masked"))
+    lines = lines.withColumn("n", _n_words(F.col("masked"))).withColumn("leaf", _leaf(F.col("n"), F.col("masked"), rules))
     lines = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").select("masked", "n").distinct()
-    worded = _general(lines, rules)
-    fits = cut(worded.join(single.select("key", "n", "docs", "first", "last"), "key"))
-    groups = fits.groupBy("general").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last")).where("kinds > 1")
+    # A line is a number from here on.
+    lines = cut(_with_blocks(lines, rules).join(single.select("key", "docs", "first", "last"), "key").withColumn("line", F.monotonically_increasing_id()))
+    pairs = _general(lines, rules)
+    crowded = cut(pairs.groupBy("general").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    if crowded.count() <= rules.broadcast_leaves:
+        pairs = pairs.join(F.broadcast(crowded), "general")
+    else:
+        pairs = join_hot(cut(pairs), crowded, "general", "kinds")
+    info = lines.select("line", "key", "n", "docs", "first", "last")
+    fits = cut(pairs.drop("kinds").join(info, "line"))
+    groups = fits.groupBy("general").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
     groups = cut(groups.where(((F.col("n") >= rules.long_words) & (F.col("first") != F.col("last"))) | ((F.col("n") < rules.long_words) & (F.col("docs") >= rules.merged_docs))))
     # Short lines need more documents, which several variants may share. A template in that many is enough by itself, so only rarer ones are looked up.
     sure = (F.col("n") >= rules.long_words) | (F.col("most") >= rules.merged_docs)
@@ -155,21 +178,23 @@ def _general_recurring(docs: DataFrame, per_doc: DataFrame, counts: DataFrame, r
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """``doc_id, text_key, at``: the lines to drop. ``docs`` has doc_id, text and text_key."""
+    """``doc_id, text_key, at``: the lines to drop, and some without words between them. ``docs`` has doc_id, text and text_key."""
     # A document is its id and text; rows that repeat both are merged here.
-    per_doc = cut(_units(docs, rules).groupBy("key", "leaf", "n", "doc_id", "text_key").agg(F.collect_set("places").alias("places")))
+    per_doc = written(_units(docs, rules).groupBy("key", "leaf", "n", "doc_id", "text_key").agg(F.collect_set("range").alias("ranges")))
     counts = cut(per_doc.groupBy("key", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), *_first_and_last()))
     enough = F.when(F.col("n") >= rules.long_words, F.lit(rules.long_docs)).otherwise(F.lit(rules.short_docs))
     exact = counts.where(F.col("docs") >= enough).select("key", "first")
     dropped = exact.unionByName(_general_recurring(docs, per_doc, counts, rules)).groupBy("key").agg(F.min("first").alias("first"))
     dropped = cut(dropped.join(counts.select("key", "docs"), "key"))
 
-    marked = join_hot(per_doc.select("key", "doc_id", "text_key", "places"), dropped, "key", "docs")
+    marked = join_hot(per_doc.select("key", "doc_id", "text_key", "ranges"), dropped, "key", "docs")
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
     # The first document keeps the first place of the template.
-    every = F.flatten("places")
-    places = F.when(here, F.array_except(every, F.array_min("places"))).otherwise(every)
-    return marked.select("doc_id", "text_key", F.explode(places).alias("at"))
+    kept = F.when(here, F.array_min("ranges"))
+    begin, end = (lambda r: F.call_function("shiftright", r, F.lit(32)).cast("int")), (lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    rows = marked.select("doc_id", "text_key", kept.alias("kept"), F.explode("ranges").alias("r")).where("kept is null or r != kept")
+    rows = rows.select("doc_id", "text_key", "kept", F.explode(F.sequence(begin(F.col("r")), end(F.col("r")))).alias("at"))
+    return rows.where(F.col("kept").isNull() | (F.col("at") < begin(F.col("kept"))) | (F.col("at") > end(F.col("kept")))).select("doc_id", "text_key", "at")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -186,12 +211,12 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     text = docs[text_col].cast("string")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(text) == gone["_gone_key"]), "left")
 
-    def keep(line: Column, at: Column) -> Column:
-        return F.when(~F.array_contains(gone["_gone"], at), line)
-
-    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), keep), lambda x: x.isNotNull()), "\n")
-    new = F.when(gone["_gone"].isNull(), text).otherwise(kept)
+    # Lines without words in a passage stay.
+    keep = lambda line, at: ~F.array_contains(gone["_gone"], at) | ~line.rlike(r"[^\x20\x09-\x0D]")
+    left = F.filter(F.split(text, "\n"), keep)
+    new = F.when(gone["_gone"].isNull(), text).otherwise(F.array_join(left, "\n"))
     if counts:
         n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
-        return joined.select(docs[id_col].alias("doc_id"), new.alias("text"), n.alias("n_lines"), F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_dropped"))
+        dropped = F.when(gone["_gone"].isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n")) - F.size(left)).cast("long")
+        return joined.select(docs[id_col].alias("doc_id"), new.alias("text"), n.alias("n_lines"), dropped.alias("n_dropped"))
     return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
