@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as registry
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -14,8 +16,9 @@ def test_entry_and_names(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-def test_entry_without_the_optional_subpackage(tmp_path):
-    ignore = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__")
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_entry_without_the_optional_subpackage(tmp_path, gone):
+    ignore = shutil.ignore_patterns(*gone, ".git", "__pycache__")
     shutil.copytree(ROOT, tmp_path / "r", ignore=ignore)
     code = "import __spark_entry__ as e; n = e.queries(); print(len(n), any(x.startswith('op') for x in n), 'pipeline' in n, len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=False)
