@@ -6,9 +6,13 @@ identifiers and of the text around them; the bytes that a string adds, against
 its length, say how novel it is. Random keys hardly compress and are reported,
 words and identifiers are not.
 
+A candidate is a run of 16 or more characters of keys, without the full stop or
+exclamation mark that may end it, that mixes kinds of characters (``mixed``).
+
 Null and empty texts have no spans. Each row gives one row, repeated rows and
-null ids too. Spans count code points, end exclusive; a span is the whole match.
-Memory follows one text.
+null ids too; an empty table gives none. Spans count code points, end exclusive;
+a span is the whole match. Memory follows one text, however long. Other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ KINDS = ("assign", "access", "hex", "novel")
 
 # Words after which a string may be a secret.
 SENSITIVE = re.compile(rb"(?i:key|auth|bearer|credential|pwd|passphrase|passwd|password|private|session|signature|cookie|secret|token|login)")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.!@#$%^&*~-]{16,}")
+#: What may end a sentence behind a string.
+TAIL = b".!"
 #: A sensitive word, the rest of its name and what parts it from a value.
 NAMED = re.compile(SENSITIVE.pattern + rb"(?:[A-Za-z0-9_-]{0,16}?=+|_)")
 MIN_NOVEL = 16
@@ -77,6 +83,18 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(compressor.compress(around + candidate)) - empty) / max(len(candidate), 1)
 
 
+def mixed(own: bytes) -> bool:
+    """Whether a string mixes kinds of characters as keys do: letters with digits or signs, or letters of both cases in no order.
+
+    Words, names joined by ``_``, ``-`` or ``.``, and names in camel case are not mixed.
+    """
+    letters, digits = re.search(rb"[A-Za-z]", own), re.search(rb"[0-9]", own)
+    if letters and (digits or re.search(rb"[+/=!@#$%^&*~]", own[:-2])) or digits and re.search(rb"[!@#$%^&*~]", own):
+        return True
+    turns = sum(a.islower() != b.islower() for a, b in zip(own.decode(), own.decode()[1:], strict=False) if a.isalpha() and b.isalpha())
+    return turns >= 0.3 * len(own)
+
+
 def value_start(own: bytes, led: bool) -> int | None:
     """Where the value begins in a run that may hold its own name (``key=value``); None if there is none.
 
@@ -109,14 +127,17 @@ def novel_spans(raw: bytes, taken: list[tuple[int, int, int]], reach: int, windo
     furthest = list(accumulate((e for _, _, e in taken), max))
     found: list[tuple[int, int, int]] = []
     for m in CANDIDATE.finditer(raw) if words else ():
-        (s, e), own = m.span(), m.group()
+        own = m.group().rstrip(TAIL)
+        s, e = m.start(), m.start() + len(own)
+        if len(own) < MIN_NOVEL:
+            continue
         before = bisect_right(words, s)
         start = value_start(own, bool(before) and s - words[before - 1] <= reach)
         if start is None:
             continue
         s, own = s + start, own[start:]
         base = bisect_left(starts, e)
-        if base and furthest[base - 1] > s or not (re.search(rb"[0-9]", own) and re.search(rb"[A-Za-z]", own)):
+        if base and furthest[base - 1] > s or not mixed(own):
             continue
         if novelty(own, surroundings(raw, s, e, window)) >= least:
             found.append((s, 3, e))
@@ -144,7 +165,7 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 48, window: int = 256, least_novelty: float = 0.72) -> DataFrame:
-    """One row per document: counts by kind, ``base_sha256``, ``spans`` and ``novel`` (count)."""
+    """One row per document: counts by kind, ``base_sha256``, ``spans`` and ``n_novel`` (count of what novelty finds)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 

@@ -106,6 +106,18 @@ def test_a_key_that_stands_twice_is_found_twice(spark):
     assert [found[k]["n_novel"] for k in range(3)] == [2, 2, 0]
 
 
+@pytest.mark.parametrize("text", ["the auth key QwErTyUiOpAsDfGhJkLzXcVbNm here", "auth pin 9f!Kd#22@pQz$81LmXw* and", "bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U."])
+def test_keys_of_any_kind_are_one_span(spark, text):
+    value = max(text.rstrip(".").split(), key=len)
+    found = secret_scan.secret_scan(spark_docs(spark, [(1, text, "en", "s", 0)])).first()
+    assert found["spans"] == f"novel:{text.index(value)}:{text.index(value) + len(value)}"
+
+
+@pytest.mark.parametrize("text", ["the secret_key_of_the_first_account is kept", "auth getUserAuthenticationToken here", "a token disproportionately.unrepresentative words", "password " + "=" * 40])
+def test_words_and_names_are_no_keys(spark, text):
+    assert secret_scan.secret_scan(spark_docs(spark, [(1, text, "en", "s", 0)])).first()["n_novel"] == 0
+
+
 # Toxicity
 
 
