@@ -17,7 +17,11 @@ Tokens are words (runs of non-white-space); null texts have none. Null
 languages and sources are leaves of their own, named ``?``. Weights not named
 get ``default_weight``. Documents without tokens are in every whole epoch, and
 in a prefix if their place is. An empty table gives no rows. Rows that repeat
-an id and text have equal places and are taken or left together.
+an id and text have equal places and are taken or left together. Very long texts
+are counted whole; one that exceeds a leaf's rest is left and the prefix ends
+there. Other columns, whatever their names, are passed on or not looked at. A
+leaf's buckets are 16**bucket_digits rows at most, so its window over them is
+bounded whatever the leaf holds.
 """
 
 from __future__ import annotations
