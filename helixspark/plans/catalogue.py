@@ -528,14 +528,14 @@ def svg_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_size(kind: str) -> tuple[Column, Column]:
     """Width and height as the image's own header has them."""
-    text = F.hex("image")
+    text = F.hex(F.substring("image", 1, 1024))
 
     def number(byte: int, little: bool) -> Column:
         digits = [F.substring(text, 2 * (byte + k) + 1, 2) for k in range(4)]
         return F.conv(F.concat(*(reversed(digits) if little else digits)), 16, 10).cast("int")
 
     if kind == "pdf":
-        latin = F.decode("image", "ISO-8859-1")
+        latin = F.decode(F.substring("image", 1, 1024), "ISO-8859-1")
         return tuple(F.regexp_extract(latin, rf"/{x} ([0-9]+)", 1).cast("int") for x in ("Width", "Height"))
     if kind == "jpeg":  # the frame header: marker, length 17, eight bits, height, width
         frame = lambda k: F.conv(F.regexp_extract(text, "FFC0001108(.{4})(.{4})", k), 16, 10).cast("int")

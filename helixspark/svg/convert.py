@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.svg import UNIT_PX, extract_svg_size, parse_length
+from ..session import spread
 from . import encode, raster
 
 
@@ -65,16 +66,17 @@ def sizes(w: float, h: float, o: Options, inches: tuple[float, float]) -> tuple[
 
 def convert_bytes(content: bytes, options: Options = Options()) -> tuple[bytes, int, int]:
     """Encoded image, width and height; raises what is wrong."""
-    w, h, root = raster.document_size(content, options.default_size)
+    head = raster.head_of(content, options.default_size)
+    w, h = head.width, head.height
 
     def inches(name: str, px: float) -> float:
-        text = (root.get(name) or "").strip()
+        text = (head.root.get(name) or "").strip()
         m = raster.NUMBER.match(text)
         unit = text[m.end() :].strip().lower() if m else ""
         return float(m.group()) * UNIT_PX.get(unit, 1.0) / 96 if m else px / 96
 
     width, height, sx, sy = sizes(w, h, options, (inches("width", w), inches("height", h)))
-    pixels = raster.render(content, width, height, sx, sy, background_of(options.background))
+    pixels = raster.render(content, width, height, sx, sy, background_of(options.background), head)
     return encode.encode(pixels, options.format, options.quality, options.dpi), width, height
 
 
@@ -82,10 +84,24 @@ def read_svgs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+_SCHEMA = "path string, ok boolean, width int, height int, bytes_written long, format string, dpi double, error string, image binary"
+_ARROW = pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("bytes_written", pa.int64()), ("format", pa.string()), ("dpi", pa.float64()), ("error", pa.string()), ("image", pa.binary())])
+#: A batch of results ends with the row that reaches one of these.
+_ROWS, _BYTES = 1000, 8_000_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 def convert_svgs(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """``path, ok, width, height, bytes_written, format, dpi, error, image``; what fails is told in its row."""
+    """``path, ok, width, height, bytes_written, format, dpi, error, image``; what fails is told in its row.
+
+    Drawing takes far longer than reading, so a table of few partitions is dealt to all cores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 try:
@@ -93,9 +109,15 @@ def convert_svgs(docs: DataFrame, options: Options = Options()) -> DataFrame:
                     row = (True, w, h, len(image), None, image)
                 except Exception as e:
                     row = (False, 0, 0, 0, str(e) or type(e).__name__, None)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path.as_py()], pa.string()), "ok": [row[0]], "width": pa.array([row[1]], pa.int32()), "height": pa.array([row[2]], pa.int32()), "bytes_written": pa.array([row[3]], pa.int64()), "format": [options.format], "dpi": [float(options.dpi)], "error": pa.array([row[4]], pa.string()), "image": pa.array([row[5]], pa.binary())})
+                rows.append((path.as_py(), *row[:4], options.format, float(options.dpi), *row[4:]))
+                held += row[3]
+                if len(rows) >= _ROWS or held >= _BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
-    return docs.select("path", "content").mapInArrow(run, "path string, ok boolean, width int, height int, bytes_written long, format string, dpi double, error string, image binary")
+    return spread(docs.select("path", "content")).mapInArrow(run, _SCHEMA)
 
 
 def write_images(images: DataFrame, folder: str, names: str = "path") -> int:
@@ -126,7 +148,8 @@ def svg_info(docs: DataFrame) -> DataFrame:
             rows = []
             for content in batch.column("content"):
                 try:
-                    rows.append((*raster.document_size(content.as_py() or b"")[:2], None))
+                    head = raster.head_of(content.as_py() or b"")
+                    rows.append((head.width, head.height, None))
                 except Exception as e:
                     rows.append((0.0, 0.0, str(e) or type(e).__name__))
             w, h, error = zip(*rows, strict=True) if rows else ((), (), ())

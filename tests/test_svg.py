@@ -108,3 +108,25 @@ def test_files_and_default_size(spark, tmp_path):
     assert (pixels_of((tmp_path / "out" / "a.png").read_bytes()) == (255, 0, 0, 255)).all()
     sizes = {r["path"][-5:]: (r["width"], r["height"]) for r in convert.convert_svgs(docs, convert.FAST).collect()}
     assert sizes == {"a.svg": (100, 50), "b.svg": (800, 600)}
+
+
+@pytest.mark.parametrize("kind", ["png", "jpeg", "tiff", "bmp", "pdf"])
+def test_one_partition_is_drawn_by_all_cores(spark, kind):
+    docs = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("path"), F.encode(F.concat(F.lit('<svg width="4" height="'), F.col("id") + 1, F.lit('"/>')), "UTF-8").alias("content"))
+    found = convert.convert_svgs(docs, convert.Options(format=kind))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = found.select("path", "ok", "width", "height", F.length("image").alias("n"), "bytes_written").collect()
+    assert sorted((int(r["path"]), r["width"], r["height"]) for r in rows) == [(k, 4, k + 1) for k in range(40)]
+    assert all(r["ok"] and r["n"] == r["bytes_written"] for r in rows)
+
+
+def test_coverage_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    polygons = [rng.uniform(-9, 30, (n, 2)) for n in (3, 4, 50)]
+    first, whole = raster.coverage(polygons, 20, 17)
+    for samples in (1, 64, 1000):
+        monkeypatch.setattr(raster, "_SAMPLES", samples)
+        again = raster.coverage(polygons, 20, 17)
+        assert again[0] == first and (again[1] == whole).all()
+    wide = b'<svg width="4" height="4"><polygon points="0,0 1e300,0 1e300,4 0,4" fill="#ff0000"/></svg>'
+    assert (raster.render(wide, 4, 4, 1, 1, (255, 255, 255, 255)) == (255, 0, 0, 255)).all()
