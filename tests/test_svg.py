@@ -130,3 +130,56 @@ def test_coverage_in_parts(monkeypatch):
         assert again[0] == first and (again[1] == whole).all()
     wide = b'<svg width="4" height="4"><polygon points="0,0 1e300,0 1e300,4 0,4" fill="#ff0000"/></svg>'
     assert (raster.render(wide, 4, 4, 1, 1, (255, 255, 255, 255)) == (255, 0, 0, 255)).all()
+
+
+def _zigzag_cells(photo, blocks):
+    """Values of a JPEG's entropy-coded segment, read code by code."""
+    at = photo.index(b"\xff\xda") + 14
+    bits = "".join(f"{x:08b}" for x in photo[at:-2].replace(b"\xff\0", b"\xff"))
+    tables = []
+    for lengths, symbols in ((encode._DC_LENGTHS, encode._DC_SYMBOLS), encode._even_codes()):
+        table, code, k = {}, 0, 0
+        for n, amount in enumerate(lengths, 1):
+            for s in symbols[k : k + amount]:
+                table[f"{code:0{n}b}"] = s
+                code += 1
+            k, code = k + amount, code << 1
+        tables.append(table)
+    place = 0
+
+    def symbol(table):
+        nonlocal place
+        n = next(n for n in range(1, 17) if bits[place : place + n] in table)
+        place += n
+        return table[bits[place - n : place]]
+
+    def number(size):
+        nonlocal place
+        text = bits[place : place + size]
+        place += size
+        return 0 if not size else int(text, 2) if text[0] == "1" else int(text, 2) - (1 << size) + 1
+
+    out, last = np.zeros((blocks, 3, 64), int), [0, 0, 0]
+    for n in range(blocks):
+        for c in range(3):
+            last[c] += number(symbol(tables[0]))
+            out[n, c, 0], k = last[c], 1
+            while k < 64:
+                s = symbol(tables[1])
+                if s == 0:
+                    break
+                k += s >> 4
+                if s != 0xF0:
+                    out[n, c, k] = number(s & 15)
+                k += 1
+    assert len(bits) - place < 8 and set(bits[place:]) <= {"1"}
+    return out
+
+
+def test_jpeg_codes(monkeypatch):
+    rng = np.random.default_rng(4)
+    blocks = rng.integers(-900, 900, (7, 3, 64)) * (rng.random((7, 3, 64)) < rng.choice([0.0, 0.02, 0.1, 1.0], (7, 3, 1)))
+    codes = encode._entropy(blocks)
+    assert (_zigzag_cells(b"\xff\xda" + bytes(12) + codes + b"\xff\xd9", 7) == blocks).all()
+    monkeypatch.setattr(encode, "_WORDS", 5)
+    assert encode._entropy(blocks) == codes
