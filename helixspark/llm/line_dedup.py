@@ -75,7 +75,8 @@ def _masked(line: Column) -> Column:
 
 
 def _n_words(line: Column) -> Column:
-    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
+    # Of bytes, which strings know; letters would be counted.
+    return F.when(line == "", F.lit(0)).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
 
 
 def _worded_lines(text: Column) -> Column:
@@ -110,12 +111,17 @@ def _units(docs: DataFrame, rules: LineRules) -> DataFrame:
     rows = rows.select("doc_id", "text_key", F.explode(F.concat(F.transform("ls", line), F.flatten(passages))).alias("u"))
     rows = rows.select("doc_id", "text_key", "u.range", "u.n", "u.single", _masked(F.col("u.line")).alias("masked"))
     key = _digest(F.when(F.col("single"), F.col("masked")).otherwise(F.concat(F.lit("\n"), F.col("masked"))))
-    leaf = F.when(F.col("single"), _leaf(F.col("n"), F.col("masked"), rules))
+    leaf = F.when(F.col("single"), _leaf(F.col("n"), _head(F.col("masked"), rules)))
     return rows.select("doc_id", "text_key", key.alias("key"), F.least("n", F.lit(rules.long_words)).alias("n"), leaf.alias("leaf"), "range")
 
 
-def _leaf(n: Column, masked: Column, rules: LineRules) -> Column:
-    return F.xxhash64(n, F.substring_index(masked, " ", rules.depth))
+def _head(line: Column, rules: LineRules) -> Column:
+    return F.substring_index(line, " ", rules.depth)
+
+
+def _leaf(n: Column, head: Column) -> Column:
+    """``head``: the first masked words."""
+    return F.xxhash64(n, head)
 
 
 def _with_blocks(lines: DataFrame, rules: LineRules) -> DataFrame:
@@ -124,21 +130,42 @@ def _with_blocks(lines: DataFrame, rules: LineRules) -> DataFrame:
     b = F.least(m, F.lit(rules.blocks))
     edge = lambda i: (F.lit(rules.depth) + F.floor(i * m / b)).cast("int")
     block = lambda i: F.md5(F.array_join(F.slice(F.col("words"), edge(i) + 1, edge(i + 1) - edge(i)), " ").cast("binary"))
-    head = F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("masked", " ", rules.depth))
+    head = F.md5(F.concat_ws(" ", F.col("n").cast("string"), _head(F.col("masked"), rules)).cast("binary"))
     # Cut here, so that words are made once for each line and not for each block.
     lines = cut(lines.select(_digest(F.col("masked")).alias("key"), "n", head.alias("head"), F.split("masked", " ").alias("words")))
     return lines.select("key", "n", "head", F.transform(F.sequence(F.lit(0), b - 1), block).alias("blocks"))
 
 
+#: A general template's digest, in two numbers.
+_GENERAL = ["high", "low"]
+
+
 def _general(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """``line, general``: digests of the general templates that each of ``lines`` (line, n, head, blocks) fits."""
-    last = F.size("blocks") - 1
+    """``line, high, low``: digests of the general templates that each of ``lines`` (line, n, head, blocks) fits.
+
+    Each half is the exclusive or of one number for the head and one for each
+    fixed block and its place, so an open block is taken out of the line's own number.
+    """
+    last = F.col("blocks") - 1
     one = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), i.alias("j")))
     two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     open_ = one if rules.fields == 1 else F.when(F.col("n") < rules.long_words, one).otherwise(two)
-    rows = lines.select("line", "head", "blocks", F.explode(open_).alias("o"))
-    fixed = F.transform("blocks", lambda x, k: F.when((k == F.col("o.i")) | (k == F.col("o.j")), "<?>").otherwise(x))
-    return rows.select("line", _digest(F.concat_ws("\n", "head", F.col("o.i").cast("string"), F.col("o.j").cast("string"), F.array_join(fixed, "\n"))).alias("general"))
+    halves = dict(zip(_GENERAL, (1, 17), strict=True))
+
+    def terms(at: int) -> Column:
+        return F.transform("blocks", lambda x, k: F.xxhash64(k, F.substring(x, at, 16)))
+
+    def alone(c: str, at: int) -> Column:
+        return F.aggregate(c, F.xxhash64(F.lit(-1), F.substring("head", at, 16)), lambda x, y: x.bitwiseXOR(y))
+
+    rows = lines.select("line", "n", "head", F.size("blocks").alias("blocks"), *(terms(at).alias(c) for c, at in halves.items()))
+    rows = rows.select("line", *_GENERAL, *(alone(c, at).alias(f"all_{c}") for c, at in halves.items()), F.explode(open_).alias("o"))
+
+    def without(c: str) -> Column:
+        i = F.col(f"all_{c}").bitwiseXOR(F.get(c, F.col("o.i")))
+        return F.when(F.col("o.i") == F.col("o.j"), i).otherwise(i.bitwiseXOR(F.get(c, F.col("o.j"))))
+
+    return rows.select("line", *(without(c).alias(c) for c in _GENERAL))
 
 
 def _first_and_last() -> tuple[Column, Column]:
@@ -151,30 +178,31 @@ def _general_recurring(docs: DataFrame, per_doc: DataFrame, counts: DataFrame, r
     single = counts.where(F.col("leaf").isNotNull())
     leaves = single.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all_docs"), F.max("n").alias("n"))
     leaves = cut(leaves.where((F.col("kinds") > 1) & (F.col("n") >= rules.merged_words) & ((F.col("n") >= rules.long_words) | (F.col("all_docs") >= rules.merged_docs))).select("leaf"))
-    lines = docs.select(F.explode(F.split(_even(F.col("text")), "\n")).alias("line")).where("line != ''").select(_masked(F.col("line")).alias("masked"))
-    lines = lines.withColumn("n", _n_words(F.col("masked"))).withColumn("leaf", _leaf(F.col("n"), F.col("masked"), rules))
-    lines = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").select("masked", "n").distinct()
+    lines = docs.select(F.explode(F.split(_even(F.col("text")), "\n")).alias("line")).where("line != ''").withColumn("n", _n_words(F.col("line")))
+    # Masks keep the number of words, so the leaf needs only the masks of its words.
+    lines = lines.withColumn("leaf", _leaf(F.col("n"), _masked(_head(F.col("line"), rules))))
+    lines = lines.join(F.broadcast(leaves) if leaves.count() <= rules.broadcast_leaves else leaves, "leaf", "left_semi").select(_masked(F.col("line")).alias("masked"), "n").distinct()
     # A line is a number from here on.
     lines = cut(_with_blocks(lines, rules).join(single.select("key", "docs", "first", "last"), "key").withColumn("line", F.monotonically_increasing_id()))
     pairs = _general(lines, rules)
-    crowded = cut(pairs.groupBy("general").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    crowded = cut(pairs.groupBy(*_GENERAL).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     if crowded.count() <= rules.broadcast_leaves:
-        pairs = pairs.join(F.broadcast(crowded), "general")
+        pairs = pairs.join(F.broadcast(crowded), _GENERAL)
     else:
-        pairs = join_hot(cut(pairs), crowded, "general", "kinds")
+        pairs = join_hot(cut(pairs), crowded, _GENERAL, "kinds")
     info = lines.select("line", "key", "n", "docs", "first", "last")
     fits = cut(pairs.drop("kinds").join(info, "line"))
-    groups = fits.groupBy("general").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
+    groups = fits.groupBy(*_GENERAL).agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
     groups = cut(groups.where(((F.col("n") >= rules.long_words) & (F.col("first") != F.col("last"))) | ((F.col("n") < rules.long_words) & (F.col("docs") >= rules.merged_docs))))
     # Short lines need more documents, which several variants may share. A template in that many is enough by itself, so only rarer ones are looked up.
     sure = (F.col("n") >= rules.long_words) | (F.col("most") >= rules.merged_docs)
     if rules.long_docs > 2:
         sure = F.col("most") >= F.when(F.col("n") >= rules.long_words, rules.long_docs).otherwise(rules.merged_docs)
-    open_ = join_hot(fits.select("key", "general"), groups.where(~sure).select("general", "kinds"), "general", "kinds").select("key", "general")
+    open_ = join_hot(fits.select("key", *_GENERAL), groups.where(~sure).select(*_GENERAL, "kinds"), _GENERAL, "kinds").select("key", *_GENERAL)
     least = F.when(F.col("n") >= rules.long_words, rules.long_docs).otherwise(rules.merged_docs)
-    enough = open_.join(per_doc.select("key", "n", "doc_id", "text_key"), "key").select("general", "n", "doc_id", "text_key").distinct().groupBy("general", "n").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
-    wide = cut(groups.where(sure).select("general", "first", "kinds").unionByName(groups.join(enough.select("general"), "general").select("general", "first", "kinds")))
-    return join_hot(fits.select("key", "general"), wide, "general", "kinds").groupBy("key").agg(F.min("first").alias("first"))
+    enough = open_.join(per_doc.select("key", "n", "doc_id", "text_key"), "key").select(*_GENERAL, "n", "doc_id", "text_key").distinct().groupBy(*_GENERAL, "n").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
+    wide = cut(groups.where(sure).select(*_GENERAL, "first", "kinds").unionByName(groups.join(enough.select(*_GENERAL), _GENERAL).select(*_GENERAL, "first", "kinds")))
+    return join_hot(fits.select("key", *_GENERAL), wide, _GENERAL, "kinds").groupBy("key").agg(F.min("first").alias("first"))
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from fixtures import ALNUM_WORD, SPACE_WORD, UP, WORDS, clashing, documents, prose, spark_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixspark.llm import components, decontaminate, line_dedup, minhash_dedup, textcore
 
@@ -254,3 +255,28 @@ def test_every_family_of_a_leaf_is_merged(spark):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_general_templates_are_those_of_the_fixed_blocks(spark):
+    rng, rules = random.Random(6), line_dedup.LineRules()
+    lines = sorted({" ".join(["x", "y", "z", *(rng.choice("ab") for _ in range(n - 3))]) for n in (5, 8, 10, 11, 14, 27) for _ in range(9)})
+    rows = line_dedup._with_blocks(spark.createDataFrame([(x, len(x.split())) for x in lines], "masked string, n int"), rules)
+    names = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got: dict = {}
+    for r in line_dedup._general(rows.withColumn("line", F.col("key")), rules).collect():
+        got.setdefault((r["high"], r["low"]), []).append(names[bytes(r["line"])])
+    want: dict = {}
+    for x in lines:
+        words = x.split()[3:]
+        m = len(words)
+        b = min(m, 10)
+        blocks = [tuple(words[k * m // b : (k + 1) * m // b]) for k in range(b)]
+        for i, j in ((i, j) for i in range(b) for j in range(i, b) if (i == j) == (m + 3 < 10)):
+            want.setdefault((m, i, j, tuple(y for k, y in enumerate(blocks) if k not in (i, j))), []).append(x)
+    assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for x in want.values())
+
+
+def test_words_of_lines_with_letters_of_several_bytes(spark):
+    lines = ["", "ä", "ä öü 中文", "a   b", "€ €"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup._n_words(F.col("line")).alias("n")).collect()
+    assert {r["line"]: r["n"] for r in rows} == {x: len(x.split(" ")) if x else 0 for x in lines}
