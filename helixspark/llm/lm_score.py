@@ -106,9 +106,9 @@ class Network:
         return np.concatenate([x.ravel() for x in self.weights])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        out = self.weights[0][near[:, 0]]
+        out = self.weights[0].take(near[:, 0], axis=0)
         for k in range(1, near.shape[1]):
-            out += self.weights[0][near[:, k]]
+            out += self.weights[0].take(near[:, k], axis=0)
         out += self.weights[1]
         return np.tanh(out, out=out)
 
@@ -118,11 +118,15 @@ class Network:
         out = np.empty(len(cell), dtype=np.float64)
         for at in range(0, len(cell), _BLOCK):
             order = at + _by(cell[at : at + _BLOCK] // s.members)
-            h = self.hidden(near[order])
+            h = self.hidden(near.take(order, axis=0))
             kind, member = np.divmod(cell[order], s.members)
-            logp = _log_softmax(h @ w1 + c1)[np.arange(len(kind)), kind].astype(np.float64)
+            logits = h @ w1
+            logits += c1
+            logp = _log_share(logits, kind).astype(np.float64)
             for k, x, y in _segments(kind):
-                logp[x:y] += _log_softmax(h[x:y] @ w2[k] + c2[k])[np.arange(y - x), member[x:y]]
+                logits = h[x:y] @ w2[k]
+                logits += c2[k]
+                logp[x:y] += _log_share(logits, member[x:y])
             out[order] = logp
         return out
 
@@ -130,10 +134,12 @@ class Network:
         """One Adagrad step; ``memory`` holds the squared slopes so far."""
         s, p = self.shape, self.weights
         order = _by(cell // s.members)
-        near, (kind, member) = near[order], np.divmod(cell[order], s.members)
+        near, (kind, member) = near.take(order, axis=0), np.divmod(cell[order], s.members)
         every = np.arange(len(kind))
         h = self.hidden(near)
-        slope = _softmax(h @ p[2] + p[3])
+        slope = h @ p[2]
+        slope += p[3]
+        slope = _softmax(slope)
         slope.ravel()[every * s.classes + kind] -= 1
         back = slope @ p[2].T
         self._step(2, memory, h.T @ slope)
@@ -143,7 +149,7 @@ class Network:
         for k, x, y in segments:
             np.matmul(h[x:y], p[4][k], out=inner[x:y])
         at, starts = np.array([k for k, _, _ in segments]), np.array([x for _, x, _ in segments])
-        inner += p[5][kind]
+        inner += p[5].take(kind, axis=0)
         inner = _softmax(inner)
         inner.ravel()[every * s.members + member] -= 1
         slopes = np.empty((len(at), s.hidden, s.members), dtype=np.float32)
@@ -157,15 +163,23 @@ class Network:
         back *= h
         self._step(1, memory, back.sum(axis=0))
         # Slopes of the neighbours' embeddings, added up by row.
-        flat, places = near.ravel(), near.shape[1]
-        rows = np.flatnonzero(np.bincount(flat, minlength=len(p[0])))
-        sums = [np.bincount(flat, weights=np.repeat(back[:, j], places), minlength=len(p[0]))[rows] for j in range(s.hidden)]
-        self._step(0, memory, np.stack(sums, axis=1).astype(np.float32), rows)
+        flat = near.ravel()
+        order = _by(flat) if len(p[0]) <= 1 << 16 else np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        self._step(0, memory, np.add.reduceat(back.take(order // near.shape[1], axis=0), starts, axis=0), flat[starts])
 
     def _step(self, which: int, memory: list[np.ndarray], slope: np.ndarray, at=slice(None)) -> None:
-        seen = memory[which][at] + slope * slope
+        if not isinstance(at, slice) and len(at) == len(memory[which]):
+            at = slice(None)
+        seen = slope * slope
+        seen += memory[which][at]
         memory[which][at] = seen
-        self.weights[which][at] -= self.shape.rate * slope / np.sqrt(seen + 1e-6)
+        seen += 1e-6
+        np.sqrt(seen, out=seen)
+        slope *= self.shape.rate
+        slope /= seen
+        self.weights[which][at] -= slope
 
 
 def _by(numbers: np.ndarray) -> np.ndarray:
@@ -173,19 +187,37 @@ def _by(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16), kind="stable")
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+#: Differences of logits whose exponentials float32 holds as normal numbers.
+_SPAN = 60.0
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` becomes the exponentials of its rows less what each row was lowered by; that, and the rows' sums.
+
+    All rows are lowered by the same number where their values lie close enough
+    together, since a row's own maximum takes numpy longer than its exponentials.
+    """
+    top = x.max(keepdims=True)
+    if not top[0, 0] - x.min() <= _SPAN:
+        top = x.max(axis=1, keepdims=True)
+    x -= top
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return top[:, 0], x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    _, total = _exp(x)
+    x *= (1 / total)[:, None]
     return x
 
 
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place; ``x`` is used up."""
+    own = x[np.arange(len(x)), at]
+    top, total = _exp(x)
+    return own - top - np.log(total)
+
+
 def _segments(kind: np.ndarray) -> list[tuple[int, int, int]]:
     """(class, start, end) of the runs of a sorted array."""
     new = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))).tolist()
@@ -220,9 +252,11 @@ class Tokens:
 
 def tokens_of(raw: list[bytes]) -> Tokens:
     data, _, starts, ends, first = group_words(raw, lower=True)
-    suffix = np.zeros(len(ends), dtype=np.int64)
-    for k in range(1, 4):
-        suffix = suffix * 256 + np.where(ends - starts >= k, data[np.maximum(ends - k, 0)], 0)
+    sizes, padded = ends - starts, np.concatenate((np.zeros(2, dtype=np.uint8), data))
+    suffix = padded.take(ends + 1).astype(np.int64)
+    for k in (2, 3):
+        suffix <<= 8
+        suffix += padded.take(ends + (2 - k)) * (sizes >= k)
     return Tokens(word_hashes(data, starts, ends), suffix, first, data, starts, ends)
 
 
@@ -231,26 +265,34 @@ def suffix_cells(suffix: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def cells_of(tokens: Tokens, own_hashes: np.ndarray, own_cells: np.ndarray, shape: Shape) -> np.ndarray:
-    out = suffix_cells(tokens.suffix, shape)
-    if len(own_hashes):
-        at = np.minimum(np.searchsorted(own_hashes, tokens.hashes), len(own_hashes) - 1)
-        out = np.where(own_hashes[at] == tokens.hashes, own_cells[at], out)
+    if not len(own_hashes):
+        return suffix_cells(tokens.suffix, shape)
+    at = np.minimum(np.searchsorted(own_hashes, tokens.hashes), len(own_hashes) - 1)
+    out = own_cells.take(at)
+    others = np.flatnonzero(own_hashes.take(at) != tokens.hashes)
+    out[others] = suffix_cells(tokens.suffix.take(others), shape)
     return out
 
 
-def neighbours(cells: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
-    """The embeddings' rows of the cells around each token, left ones first; beyond a text's borders a row of its own."""
+def neighbours(cells: np.ndarray, first: np.ndarray, shape: Shape, some: np.ndarray | None = None) -> np.ndarray:
+    """The embeddings' rows of the cells around each token (or ``some``), left ones first; beyond a text's borders a row of its own."""
     r, texts, side = shape.reach, len(first) - 1, shape.cells + 1
     at = np.arange(len(cells)) + r * (np.repeat(np.arange(texts), np.diff(first)) + 1)
     padded = np.full(len(cells) + r * (texts + 1), shape.cells, dtype=np.int32)
     padded[at] = cells
+    at = at if some is None else at[some]
     return np.stack([padded[at + k] + (side if k > 0 else 0) for k in (*range(-r, 0), *range(1, r + 1))], axis=1)
 
 
+#: Every byte, white space as 0.
+_UNSPACED = np.where(SPACES, 0, np.arange(256)).astype(np.uint8)
+
+
 def byte_pairs(tokens: Tokens) -> np.ndarray:
     """For every place of the data, its byte and the one after it as one number; borders of words are 0."""
-    data = np.where(SPACES[tokens.data], 0, tokens.data).astype(np.int64)
-    return np.concatenate(([0], data)) * 256 + np.concatenate((data, [0]))
+    data = np.zeros(len(tokens.data) + 2, dtype=np.uint16)
+    data[1:-1] = _UNSPACED[tokens.data]
+    return data[:-1] << 8 | data[1:]
 
 
 def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
@@ -295,8 +337,8 @@ def word_counts(texts: DataFrame, shape: Shape) -> DataFrame:
     return rows.groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
-def train_round(texts: DataFrame, network: Network, own: tuple[np.ndarray, np.ndarray], share: float) -> tuple[Network, np.ndarray]:
-    """The average of the networks that the tasks train on ``share`` of their tokens, and counts of byte pairs."""
+def train_round(texts: DataFrame, network: Network, own: tuple[np.ndarray, np.ndarray], share: float, spelled: bool = True) -> tuple[Network, np.ndarray]:
+    """The average of the networks that the tasks train on ``share`` of their tokens, and counts of byte pairs (0 unless ``spelled``)."""
     shape, start = network.shape, network.flat()
     blocks = -(-len(start) // _BLOCK)
 
@@ -309,12 +351,13 @@ def train_round(texts: DataFrame, network: Network, own: tuple[np.ndarray, np.nd
                 tokens = tokens_of(raw)
                 if not len(tokens.hashes):
                     continue
-                pairs += np.bincount(byte_pairs(tokens), minlength=1 << 16)
+                if spelled:
+                    pairs += np.bincount(byte_pairs(tokens), minlength=1 << 16)
                 cells = cells_of(tokens, *own, shape)
-                near = neighbours(cells, tokens.first, shape)
                 order = np.random.default_rng([shape.seed, groups]).permutation(len(cells))[: max(1, round(share * len(cells)))]
+                near, drawn = neighbours(cells, tokens.first, shape, order), cells[order]
                 for at in range(0, len(order), shape.batch):
-                    mine.train(near[order[at : at + shape.batch]], cells[order[at : at + shape.batch]], memory)
+                    mine.train(near[at : at + shape.batch], drawn[at : at + shape.batch], memory)
                 seen += len(order)
                 groups += 1
         if seen:
@@ -384,8 +427,8 @@ def learn(docs: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> Mo
     totals[:n_own] = amount[:n_own]
 
     network, pairs = Network.fresh(shape, totals), np.zeros(1 << 16)
-    for share in shape.rounds:
-        network, pairs = train_round(texts, network, own, share)
+    for k, share in enumerate(shape.rounds, 1):
+        network, pairs = train_round(texts, network, own, share, spelled=k == len(shape.rounds))
     pairs = pairs.reshape(256, 256)
     pairs[0, 0] = 0
     spelling = np.log((pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True))

@@ -445,3 +445,24 @@ def test_regular_words_are_not_repeats(spark):
     one, other = (x.decode() for x in regular_words(1024))
     found = quality_rules.quality_rules(spark_docs(spark, [(1, f"{one} x y {other} x y", "en", "s", 0), (2, f"{one} x y {one} x y", "en", "s", 0)]), digest=True).collect()
     assert {r["doc_id"]: r["n_repeat_words"] for r in found} == {1: 0, 2: 6}
+
+
+def test_softmax_of_any_logits():
+    """Rows that lie close together and rows far apart, against float64."""
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (5, 70), (50, -300), (3000, 1e4)):
+        x = (rng.normal(0, scale, (40, 32)) + shift * rng.integers(0, 2, (40, 1))).astype(np.float32)
+        at, wide = rng.integers(0, 32, 40), x.astype(np.float64)
+        wide -= wide.max(axis=1, keepdims=True)
+        logs = wide - np.log(np.exp(wide).sum(axis=1, keepdims=True))
+        assert np.allclose(lm_score._log_share(x.copy(), at), logs[np.arange(40), at], rtol=1e-5, atol=1e-4)
+        assert np.allclose(lm_score._softmax(x.copy()), np.exp(logs), atol=1e-6)
+
+
+def test_neighbours_of_some_tokens():
+    tokens = lm_score.tokens_of([b"a bb ccc", b"", b"dddd e", b"f"])
+    shape = lm_score.Shape(own=16, suffixes=48, members=16)
+    cells = lm_score.suffix_cells(tokens.suffix, shape)
+    assert tokens.suffix.tolist() == [int.from_bytes(x[::-1][:3].ljust(3, b"\0"), "big") for x in (b"a", b"bb", b"ccc", b"dddd", b"e", b"f")]
+    some = np.array([5, 0, 3])
+    assert (lm_score.neighbours(cells, tokens.first, shape, some) == lm_score.neighbours(cells, tokens.first, shape)[some]).all()
